@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.llm.hashsets import similar_pairs, similar_sets
 from siftlane.llm.lookalikes import look_classes, same_look
 from siftlane.llm.runs import runs
 from siftlane.session import table
@@ -20,6 +21,17 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("entity").alias("video_like_id"), "first_index", "last_index", "n_events", F.col("duration_millis").cast("bigint").alias("duration_millis"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = similar_sets(table(spark, d, "stored_image_hash"), ["chat_id"])
+    return similar_pairs(members, links).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    members, links = similar_sets(table(spark, d, "stored_image_hash"), ["chat_id"])
+    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(n, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
@@ -28,7 +40,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), "look")
 
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p9_found": p9_found, "p9_classes": p9_classes}
+QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p9_found": p9_found, "p9_classes": p9_classes}
 
 _RUNS = """WITH f AS (SELECT video_like_id, frame_index, position_millis, hash, row_number() OVER (PARTITION BY video_like_id, frame_index ORDER BY hash NULLS LAST, position_millis NULLS LAST) AS nth
   FROM (SELECT DISTINCT * FROM blocked_video_like_frame_hash) WHERE video_like_id IS NOT NULL AND frame_index IS NOT NULL),
@@ -37,6 +49,11 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY video_like_id ORDER BY frame_index
 r AS (SELECT video_like_id, min(frame_index) AS a, max(frame_index) AS z, count(*) AS n, max(position_millis) - min(position_millis) AS dur FROM s GROUP BY video_like_id, run HAVING count(*) > 1)
 """
 
+_NEAR = "(SELECT count(*) FROM unnest({0}) AS p(x) WHERE EXISTS (SELECT 1 FROM unnest({1}) AS q(y) WHERE bit_count(xor(x, y)) <= 4))"
+_SETS = f"""WITH r AS (SELECT DISTINCT id, chat_id, list_filter(hashes, h -> h IS NOT NULL) AS hs FROM stored_image_hash WHERE len(list_filter(hashes, h -> h IS NOT NULL)) > 0 AND chat_id IS NOT NULL),
+c AS (SELECT a.id AS id_a, b.id AS id_b, len(a.hs) + len(b.hs) AS n, a.hs AS ha, b.hs AS hb FROM r a JOIN r b ON a.chat_id = b.chat_id AND a.id < b.id)
+"""
+
 SQL = {
     "p4_found": _RUNS + "SELECT video_like_id, a AS first_frame_index, z AS last_frame_index FROM r",
     "p4_runs": _RUNS + "SELECT video_like_id, a AS first_index, z AS last_index, n AS n_events, dur::BIGINT AS duration_millis FROM r",
