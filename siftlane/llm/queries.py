@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlane.llm.hashsets import similar_pairs, similar_sets
+from siftlane.llm.history import records, repeats
 from siftlane.llm.lookalikes import look_classes, same_look
 from siftlane.llm.runs import runs
 from siftlane.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    names = ("blocked_image", "blocked_video_like", "vector_ban")
+    found = repeats(records(*(table(spark, d, t) for t in names)))
+    return found.select(F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1).alias("src"), F.col("id").alias("row_id"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     r = runs(table(spark, d, "blocked_video_like_frame_hash"), "video_like_id", "frame_index", "position_millis", "hash")
     return r.select(F.col("entity").alias("video_like_id"), F.col("first_index").alias("first_frame_index"), F.col("last_index").alias("last_frame_index"))
@@ -40,7 +47,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), "look")
 
 
-QUERIES = {"p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p9_found": p9_found, "p9_classes": p9_classes}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p9_found": p9_found, "p9_classes": p9_classes}
 
 _RUNS = """WITH f AS (SELECT video_like_id, frame_index, position_millis, hash, row_number() OVER (PARTITION BY video_like_id, frame_index ORDER BY hash NULLS LAST, position_millis NULLS LAST) AS nth
   FROM (SELECT DISTINCT * FROM blocked_video_like_frame_hash) WHERE video_like_id IS NOT NULL AND frame_index IS NOT NULL),
