@@ -9,9 +9,15 @@ from siftlane.llm.hashsets import similar_pairs, similar_sets
 from siftlane.llm.history import records, repeats
 from siftlane.llm.lookalikes import look_classes, same_look
 from siftlane.llm.runs import runs
+from siftlane.llm.vectors import most_similar
 from siftlane.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = most_similar(table(spark, d, "stored_vector_frame"), table(spark, d, "vector_ban"))
+    return near.select(F.least("q", "n").alias("frame_id_a"), F.greatest("q", "n").alias("frame_id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     names = ("blocked_image", "blocked_video_like", "vector_ban")
     found = repeats(records(*(table(spark, d, t) for t in names)))
@@ -47,7 +53,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), "look")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p9_found": p9_found, "p9_classes": p9_classes}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p9_found": p9_found, "p9_classes": p9_classes}
 
 _RUNS = """WITH f AS (SELECT video_like_id, frame_index, position_millis, hash, row_number() OVER (PARTITION BY video_like_id, frame_index ORDER BY hash NULLS LAST, position_millis NULLS LAST) AS nth
   FROM (SELECT DISTINCT * FROM blocked_video_like_frame_hash) WHERE video_like_id IS NOT NULL AND frame_index IS NOT NULL),
