@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from siftlane.llm.hashsets import similar_pairs, similar_sets
 from siftlane.llm.history import records, repeats
 from siftlane.llm.lookalikes import look_classes, same_look
+from siftlane.llm.mixing import mix, shares
+from siftlane.llm.packing import pack
 from siftlane.llm.runs import runs
+from siftlane.llm.tokens import token_count
 from siftlane.llm.vectors import most_similar
-from siftlane.session import table
+from siftlane.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +48,29 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(n, "rep", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("text_hash"), token_count(spark)("text").alias("n_tokens"))
+    return cut(docs.dropDuplicates(["doc_id"]))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sizes(spark, d).select("doc_id", "n_tokens"), table(spark, d, "token_container"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    bins = p7_containers(spark, d).filter("bin_id is not null").groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("n"))
+    used = bins.groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("n").alias("tokens"))
+    return used.join(table(spark, d, "token_container"), "container").select("container", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("filled"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sizes(spark, d), table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p8_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
@@ -53,7 +79,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), "look")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p9_found": p9_found, "p9_classes": p9_classes}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_classes": p9_classes}
 
 _RUNS = """WITH f AS (SELECT video_like_id, frame_index, position_millis, hash, row_number() OVER (PARTITION BY video_like_id, frame_index ORDER BY hash NULLS LAST, position_millis NULLS LAST) AS nth
   FROM (SELECT DISTINCT * FROM blocked_video_like_frame_hash) WHERE video_like_id IS NOT NULL AND frame_index IS NOT NULL),
