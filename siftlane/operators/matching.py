@@ -33,24 +33,30 @@ def exact_blocked(items: DataFrame, blocklist: DataFrame) -> DataFrame:
     return items.filter("file_unique_id <> ''").join(blocklist.select("chat_id", "file_unique_id").distinct(), ["chat_id", "file_unique_id"], "left_semi")
 
 
-def image_blocked(queries: DataFrame, stored: DataFrame, bits: int = IMAGE_BITS) -> DataFrame:
+def _variants(queries: DataFrame, stored: DataFrame, itself: bool) -> tuple[DataFrame, DataFrame, list]:
+    """Both sides by hash, salted, and the conditions of a join; ``itself`` false leaves out rows of the query's own id."""
+    q = queries.select("id", "chat_id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
+    own = [] if itself else [F.col("id").alias("sid")]
+    s = stored.select("chat_id", *own, F.explode("hashes").alias("sh")).filter("sh is not null").distinct()
+    q, s = salted(q, s)
+    on = [q["chat_id"] == s["chat_id"], q["salt"] == s["salt"]]
+    return q, s, on if itself else [*on, q["id"] != s["sid"]]
+
+
+def image_blocked(queries: DataFrame, stored: DataFrame, bits: int = IMAGE_BITS, itself: bool = True) -> DataFrame:
     """(id) of ``queries`` (id, chat_id, hashes) of which any hash lies within ``bits`` of any stored hash of the chat.
 
-    Null and empty arrays match nothing. The search stops at the first match of a query hash (semi-join).
+    Null and empty arrays match nothing. The search stops at the first match of a query hash (semi-join). Where a
+    collection is searched for its own rows, ``itself`` false leaves out a query's own row.
     """
-    q = queries.select("id", "chat_id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
-    s = stored.select("chat_id", F.explode("hashes").alias("sh")).filter("sh is not null").distinct()
-    q, s = salted(q, s)
-    near = (q["chat_id"] == s["chat_id"]) & (q["salt"] == s["salt"]) & (hamming(q["h"], s["sh"]) <= bits)
-    return q.join(s, near, "left_semi").select("id").distinct()
+    q, s, on = _variants(queries, stored, itself)
+    return q.join(s, [*on, hamming(q["h"], s["sh"]) <= bits], "left_semi").select("id").distinct()
 
 
-def image_distances(queries: DataFrame, stored: DataFrame) -> DataFrame:
+def image_distances(queries: DataFrame, stored: DataFrame, itself: bool = True) -> DataFrame:
     """(id, distance): the least Hamming distance between any hash of a query and any stored one of its chat."""
-    q = queries.select("id", "chat_id", F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
-    s = stored.select("chat_id", F.explode("hashes").alias("sh")).filter("sh is not null").distinct()
-    q, s = salted(q, s)
-    return q.join(s, ["chat_id", "salt"]).groupBy("id").agg(F.min(hamming("h", "sh")).alias("distance"))
+    q, s, on = _variants(queries, stored, itself)
+    return q.join(s, on).groupBy("id").agg(F.min(hamming("h", "sh")).alias("distance"))
 
 
 def required_frames(nq: Column, ns: Column, min_frames: int = MIN_FRAMES, min_ratio: float = MIN_RATIO) -> Column:

@@ -1,6 +1,6 @@
 """All named queries outside the subpackage for training data."""
 
-from siftlane.plans import data_quality
+from siftlane.plans import data_quality, reference
 
-QUERIES = {**data_quality.QUERIES}
-SQL = {**data_quality.SQL}
+QUERIES = {**reference.QUERIES, **data_quality.QUERIES}
+SQL = {**reference.SQL, **data_quality.SQL}
