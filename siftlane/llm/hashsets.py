@@ -19,12 +19,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlane.operators.skew import heavy_keys, lookup
 from siftlane.session import cut
 
 #: Buckets of the frequency sketch that orders prefixes: its size is fixed, whatever the input.
 SKETCH = 1 << 16
 #: A token that more rows have is extended by further tokens, up to LEVELS tokens in a combination.
 FREQUENT, LEVELS = 32, 3
+#: Tokens in buckets with more rows than this may be hot: they are counted before they are shuffled, the others within
+#: the partition that joins them.
+HEAVY = 200_000
 
 
 def pieces(width: int, n: int) -> list[tuple[int, int]]:
@@ -69,7 +73,7 @@ def _count(bits: int):
     return run
 
 
-def _prefixes(bits: int, cover: float, sketch):
+def _prefixes(bits: int, cover: float, sketch, heavy: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -88,50 +92,65 @@ def _prefixes(bits: int, cover: float, sketch):
             starts = np.append(0, np.cumsum(sizes))[:-1]
             before = at - starts[row[at]]  # weight of the elements before this one in its row
             rest = np.floor((1 - cover) * sizes[row[at]] + 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(g[at].view("i8")), pa.array(batch.column("id").to_numpy()[row[at]]), pa.array(h[at].view("i8")), pa.array(before <= rest), pa.array(weight)], ["g", "id", "e", "x", "w"])
+            hot = sum((sketch.value[b] > heavy).astype(np.int32) << p for p, b in enumerate(_buckets(g[at], h[at], bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].view("i8")), pa.array(batch.column("id").to_numpy()[row[at]]), pa.array(h[at].view("i8")), pa.array(before <= rest), pa.array(weight), pa.array(hot)], ["g", "id", "e", "x", "w", "hot"])
 
     return run
 
 
 def elements(rows: DataFrame, bits: int, cover: float) -> DataFrame:
-    """(g, id, e, x, w): the distinct elements of ``rows`` (g, id, elems), whether each is in the prefix, its weight."""
+    """(g, id, e, x, w, hot): the distinct elements of ``rows`` (g, id, elems), whether each is in the prefix, its weight.
+
+    Bit p of ``hot`` is set if the element's token p may be one that very many rows have.
+    """
     counted = rows.mapInArrow(_count(bits), "bucket BIGINT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n"))
     sketch = np.zeros(SKETCH, np.int64)
     for bucket, n in counted.collect():  # at most SKETCH rows
         sketch[bucket] = n
-    return rows.mapInArrow(_prefixes(bits, cover, rows.sparkSession.sparkContext.broadcast(sketch)), "g BIGINT, id BIGINT, e BIGINT, x BOOLEAN, w BIGINT")
+    return rows.mapInArrow(_prefixes(bits, cover, rows.sparkSession.sparkContext.broadcast(sketch), HEAVY), "g BIGINT, id BIGINT, e BIGINT, x BOOLEAN, w BIGINT, hot INT")
 
 
-def tokens(seed: Column, value: Column, width: Column | int, bits: int, most: int) -> Column:
-    """An array of (key, rest): the tokens of a value of at most ``most`` bits, and its bits outside each token."""
+def tokens(seed: Column, value: Column, width: int, bits: int) -> Column:
+    """An array of (key, p, rest): the tokens of a value of at most ``width`` bits, and its bits outside each token."""
     out = []
-    for p, (low, size) in enumerate(pieces(most, bits + 1)):
+    for p, (low, size) in enumerate(pieces(width, bits + 1)):
         token = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
         high = F.shiftleft(F.shiftrightunsigned(value, low + size), low) if low + size < 64 else F.lit(0).cast("bigint")
         rest = high.bitwiseOR(value.bitwiseAND(F.lit((1 << low) - 1).cast("bigint")))
-        out.append(F.struct(F.xxhash64(seed, F.lit(p), token).alias("key"), rest.alias("rest")))
+        out.append(F.struct(F.xxhash64(seed, F.lit(p), token).alias("key"), F.lit(p).alias("p"), rest.alias("rest")))
     return F.array(*out)
 
 
+def _counted(at: DataFrame) -> DataFrame:
+    """``at`` with n, the rows of each key, and nx, those of them in a prefix; keys that cannot give a pair are left out."""
+    w = Window.partitionBy("key")
+    cold = at.filter("not hot").withColumns({"n": F.count(F.lit(1)).over(w), "nx": F.sum(F.col("x").cast("int")).over(w)})
+    hot = at.filter("hot")
+    counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("int")).alias("nx"))
+    keys = counts.filter(F.col("n") > HEAVY)
+    hot = lookup(hot, counts, "key", cut(heavy_keys(keys, "key")), "inner") if not keys.isEmpty() else hot.join(counts, "key")
+    return cold.unionByName(hot).filter("n > 1 and nx > 0")
+
+
 def near_elements(elems: DataFrame, bits: int) -> DataFrame:
     """(a, b), a < b, each once: rows of which one has a prefix element near some element of the other.
 
     Level by level: keys that at most FREQUENT rows have, or of the last level, are joined; the rows of the others go on
     with one more token. Keys without a prefix element, or of a single row, end there.
     """
-    at = elems.select("id", "e", "x", F.explode(tokens(F.col("g"), F.col("e"), 64, bits, 64)).alias("t")).select("id", "e", "x", "t.*")
+    first = F.explode(tokens(F.col("g"), F.col("e"), 64, bits))
+    at = elems.select("id", "e", "x", "hot", first.alias("t"))
+    at = at.select("id", "e", "x", F.expr("shiftright(hot, t.p) & 1 = 1").alias("hot"), "t.key", "t.rest")
     width, found = 64, []
     for level in range(1, LEVELS + 1):
-        w = Window.partitionBy("key")
-        seen = at.withColumns({"n": F.count(F.lit(1)).over(w), "nx": F.sum(F.col("x").cast("int")).over(w)}).filter("n > 1 and nx > 0")
-        seen = cut(seen)
+        seen = cut(_counted(at))
         here = seen if level == LEVELS else seen.filter(F.col("n") <= FREQUENT)
         p, q = here.filter("x").select("key", F.col("id").alias("a"), F.col("e").alias("ea")), here.select("key", F.col("id").alias("b"), F.col("e").alias("eb"))
         pairs = p.join(q, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= bits))
         found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         width -= min(size for _, size in pieces(width, bits + 1))
         deeper = seen.filter(F.col("n") > FREQUENT)
-        at = deeper.select("id", "e", "x", F.explode(tokens(F.col("key"), F.col("rest"), width, bits, width)).alias("t")).select("id", "e", "x", "t.*")
+        at = deeper.select("id", "e", "x", "hot", F.explode(tokens(F.col("key"), F.col("rest"), width, bits)).alias("t")).select("id", "e", "x", "hot", "t.key", "t.rest")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -62,9 +62,10 @@ class Transducer:
             if 0xD800 <= code < 0xE000 or 0x3400 <= code < 0x9FFF or 0xAC00 <= code < 0xD7A4:
                 continue
             ch = chr(code)
-            if unicodedata.category(ch) in ("Mn", "Mc", "Me") or 0x1160 <= code < 0x1200:
-                marks.append(ch)
             form = self._form(ch)
+            # what joins the character before it: marks, forms of marks, vowels and finals of Hangul
+            if unicodedata.category((form or ch)[0]) in ("Mn", "Mc", "Me") or 0x1160 <= code < 0x1200:
+                marks.append(ch)
             if form != ch:
                 self._add(ch, form)
             parts = unicodedata.normalize("NFD", ch)

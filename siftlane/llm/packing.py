@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftlane.session import cut
 
 #: Items a shard is meant to hold, and the share of a bin that may stay empty without another try.
-SHARD, SLACK = 4000, 0.005
+SHARD, SLACK = 10_000, 0.005
 
 _PACKED = "container STRING, capacity BIGINT, doc_id BIGINT, piece BIGINT, size BIGINT, shard BIGINT, bin BIGINT, filled BIGINT"
 

@@ -41,23 +41,36 @@ def _unit(table, name: str = "vector") -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def balanced(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """``k`` unit centroids of unit vectors; crowded clusters are charged more, so sizes even out."""
+def balanced(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """About ``k`` unit centroids of unit vectors; crowded clusters are cut again until all hold about the same.
+
+    Vectors that cannot be told apart stay one cluster.
+    """
     rng = np.random.default_rng(7)
-    c = x[rng.permutation(len(x))[:k]].astype(np.float32)
     x = x.astype(np.float32)
-    charge = np.zeros(k, np.float32)
-    for _ in range(rounds):
-        sums, sizes = np.zeros((k, x.shape[1]), np.float32), np.zeros(k)
-        for lo in range(0, len(x), 8192):
-            own = np.argmax(x[lo : lo + 8192] @ c.T - charge, axis=1)
-            np.add.at(sums, own, x[lo : lo + 8192])
-            sizes += np.bincount(own, minlength=k)
-        charge += 0.02 * (sizes / (len(x) / k) - 1).clip(-1, 2).astype(np.float32)
-        empty = sizes == 0
-        sums[empty] = x[rng.integers(0, len(x), empty.sum())]
-        c = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
-    return c
+    limit = 1.4 * len(x) / k
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        parts = min(8, -(-len(at) // max(1, int(limit / 1.4))))
+        if len(at) <= limit or parts < 2:
+            out.append(at)
+            continue
+        c = x[rng.permutation(at)[:parts]]
+        for _ in range(rounds):
+            own = np.argmax(x[at] @ c.T, axis=1)
+            sums = np.stack([x[at[own == j]].sum(0) for j in range(parts)])
+            length = np.sqrt((sums * sums).sum(1, keepdims=True))
+            # an empty cluster starts again from some vector
+            c = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), x[at[rng.integers(0, len(at), parts)]])
+        own = np.argmax(x[at] @ c.T, axis=1)
+        split = [at[own == j] for j in range(parts) if (own == j).any()]
+        if len(split) == 1:
+            out.append(at)
+        else:
+            todo += split
+    c = np.stack([x[at].sum(0) for at in sorted(out, key=lambda a: a[0])])
+    return c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
 
 
 def linked(c: np.ndarray) -> np.ndarray:
