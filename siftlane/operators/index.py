@@ -36,6 +36,29 @@ def manifest(vectors: DataFrame, path: str) -> dict:
     return {"path": path, "kind": "normalised-parquet", "count": vectors.count(), "digest": content_digest(vectors), "parameters": GRAPH}
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest that is in force, null if there is none."""
+    fs, p = _file_system(spark, f"{path}/manifest")
+    return json.loads(spark.read.text(str(p)).orderBy("value").first()[0]) if fs.exists(p) else None
+
+
+def publish(spark: SparkSession, path: str, new: dict) -> None:
+    """Puts a manifest into force with one rename; readers see the old one or the new one, never a part of it."""
+    fs, p = _file_system(spark, f"{path}/manifest")
+    _, fresh = _file_system(spark, f"{path}/manifest-new")
+    _, old = _file_system(spark, f"{path}/manifest-old")
+    spark.createDataFrame([(json.dumps(new, sort_keys=True),)], "value STRING").coalesce(1).write.mode("overwrite").text(str(fresh))
+    fs.delete(old, True)
+    if fs.exists(p):
+        fs.rename(p, old)
+    fs.rename(fresh, p)
+
+
 def load_or_rebuild(spark: SparkSession, vectors: DataFrame, path: str, stored: dict | None) -> tuple[DataFrame, dict, bool]:
     """(index, manifest, rebuilt): the snapshot at ``path`` if its manifest and rows agree with ``vectors``, else a new one.
 

@@ -1,0 +1,72 @@
+from decimal import Decimal
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftlane.config import Settings
+from siftlane.engine import Engine, ExactMatcher, ImageMatcher, byte_histogram, embedder, upload_violation
+from siftlane.operators import index
+from siftlane.sources.log_source import OutboxSource
+
+ITEMS = "id BIGINT, ban_uid STRING, chat_id BIGINT, media_type STRING, file_unique_id STRING, hashes ARRAY<BIGINT>"
+
+
+def test_settings():
+    s = Settings().with_values({"image_bits": "8", "sticker_bytes": "1KiB", "catch_up_seconds": "500ms", "min_ratio": 0.5})
+    assert (s.image_bits, s.sticker_bytes, s.catch_up_seconds, s.min_ratio, s.top_k) == (8, 1024, 0.5, 0.5, 5)
+    for wrong in ({"nope": 1}, {"min_ratio": 0}, {"top_k": 0}, {"vector_score": 1.1}, {"sticker_bytes": "x"}, {"image_bits": -1}):
+        with pytest.raises(ValueError):
+            Settings().with_values(wrong)
+
+
+def test_ban_then_check(spark):
+    empty = {"exact": spark.createDataFrame([], "ban_uid STRING, chat_id BIGINT, file_unique_id STRING"), "imagehash": spark.createDataFrame([], "ban_uid STRING, chat_id BIGINT, hashes ARRAY<BIGINT>, hash_signature STRING")}
+    e = Engine([ExactMatcher(), ImageMatcher(bits=2)], empty)
+    bans = spark.createDataFrame([(1, "u1", 10, "photo", "f1", [0, 255]), (2, "u2", 10, "photo", "f2", [0, 255])], ITEMS)
+    parents, events = e.ban(bans)
+    assert sorted(r.ban_uid for r in parents.collect()) == ["u1", "u2"] and events.count() == 2
+    parents, events = e.ban(bans.withColumn("ban_uid", F.concat("ban_uid", F.lit("again"))))
+    assert parents.count() == 0 and events.count() == 0
+    seen = spark.createDataFrame([(1, None, 10, "photo", "f1", None), (2, None, 10, "photo", "x", [3]), (3, None, 20, "photo", "f1", [0]), (4, None, 10, "photo", "y", [7 << 40])], ITEMS)
+    got = {r.id: (r.status, r.matched_by) for r in e.check(seen).collect()}
+    assert got == {1: ("blocked", "exact"), 2: ("blocked", "imagehash"), 3: ("clean", None), 4: ("clean", None)}
+    cp = spark.createDataFrame([("a", "exact", Decimal(1), 1, True, "r")], "consumer_id STRING, index_name STRING, last_tx DECIMAL(20,0), last_offset BIGINT, stale BOOLEAN, stale_reason STRING")
+    assert not e.ready(cp, "a") and e.ready(cp, "b")
+
+
+def test_uploads(spark):
+    d = spark.createDataFrame([(1, 5), (1, 5), (2, 50), (3, 1)], "request_id INT, length BIGINT")
+    assert {tuple(r) for r in upload_violation(d, 1, 20).collect()} == {(1, "too many files"), (2, "too many bytes"), (3, None)}
+
+
+def test_embedding(spark):
+    d = spark.createDataFrame([(b"abc" * 10,), (b"abc" * 20,), (None,), (b"\x00\xff",)], "img BINARY").coalesce(1)
+    r = [x[0] for x in d.select(embedder(lambda: byte_histogram)("img")).collect()]
+    assert r[2] is None and np.allclose(r[0], r[1]) and abs(float(np.dot(r[3], r[3])) - 1) < 1e-6
+
+
+def test_manifest(spark, tmp_path):
+    path = str(tmp_path)
+    assert index.read_manifest(spark, path) is None
+    for k in (1, 2):
+        index.publish(spark, path, {"count": k})
+        assert index.read_manifest(spark, path) == {"count": k}
+
+
+def test_log_source(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = "transaction_id DECIMAL(20,0), log_offset BIGINT, msg_uuid STRING, payload BINARY, metadata STRING"
+    add = lambda *p: spark.createDataFrame([(Decimal(t), o, f"{t}/{o}", b"", None) for t, o in p], schema).coalesce(1).write.mode("append").parquet(log)
+    spark.dataSource.register(OutboxSource)
+
+    def run():
+        s = spark.readStream.format("outbox").option("path", log).option("tx", 1).option("offset", 1).load()
+        q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(r.msg_uuid for r in spark.read.parquet(out).collect())
+
+    add((1, 1), (1, 2), (9, 1))
+    assert run() == ["1/2", "9/1"]
+    add((10, 1), (9, 2))
+    assert run() == ["1/2", "10/1", "9/1", "9/2"]
