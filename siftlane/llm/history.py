@@ -31,6 +31,8 @@ IMAGE_BITS, IMAGE_BAD, VIDEO_BITS, VIDEO_SHARE, EDITS = 6, 0.25, 4, 0.6, 2
 #: Characters at the start of a file id that name its kind and tell little; they never make a piece by themselves.
 LEAD = 4
 INDEX, PROBE = 1, 2
+#: Pairs that one task goes through in order.
+SETTLE = 200_000
 
 _RECORD = "rid", "kind", "grp", "g", "seq", "elems", "txt"
 
@@ -153,20 +155,38 @@ def _matching(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
     return d.filter("ok is null or ok").mapInArrow(_exact, "new BIGINT, old BIGINT")
 
 
+def _settled(batches: Iterator) -> Iterator:
+    """The records taken out, from all pairs of one task, each record after all earlier ones."""
+    import pyarrow as pa
+
+    parts = list(batches)
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    gone: set[int] = set()
+    order = np.lexsort((table.column("id").to_numpy(), table.column("batch").to_numpy()))
+    new, old = table.column("new").to_numpy(), table.column("old").to_numpy()
+    for k in order:
+        if old[k] not in gone:
+            gone.add(int(new[k]))
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], ["rid"])
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
-    """(rid): records that an accepted earlier one matches, from all matching pairs (old before new) of one batch.
+    """(rid): records that an accepted earlier one matches, from all matching pairs (new, old, at) of one batch.
 
-    Records without an earlier match are accepted and take their later matches out, again and again until no pair is
-    left. A round settles every record whose earlier matches are settled, so few rounds are needed.
+    ``at`` is the place of the new record. Records without an earlier match are accepted and take their later matches
+    out, in rounds; once at most SETTLE pairs are left, which is counted, one task goes through them in order.
     """
     pairs = cut(pairs)
     out: DataFrame | None = None
-    while not pairs.isEmpty():
+    while pairs.count() > SETTLE:
         roots = pairs.select(F.col("old").alias("rid")).join(pairs.select(F.col("new").alias("rid")), "rid", "left_anti").distinct()
         gone = cut(pairs.join(roots.withColumnRenamed("rid", "old"), "old", "left_semi").select(F.col("new").alias("rid")).distinct())
         out = gone if out is None else out.unionByName(gone)
         pairs = cut(pairs.join(gone.withColumnRenamed("rid", "new"), "new", "left_anti").join(gone.withColumnRenamed("rid", "old"), "old", "left_anti"))
-    return out if out is not None else pairs.select(F.col("new").alias("rid"))
+    rest = pairs.select("new", "old", "at.batch", "at.id").coalesce(1).mapInArrow(_settled, "rid BIGINT")
+    return rest if out is None else out.unionByName(rest)
 
 
 class History:
@@ -197,7 +217,8 @@ class History:
         when = left.select("rid", "seq")
         pairs = pairs.join(when.select(F.col("rid").alias("new"), F.col("seq").alias("sn")), "new").join(when.select(F.col("rid").alias("old"), F.col("seq").alias("so")), "old")
         later = F.col("sn") > F.col("so")
-        gone = _in_order(pairs.select(F.when(later, F.col("new")).otherwise(F.col("old")).alias("new"), F.when(later, F.col("old")).otherwise(F.col("new")).alias("old")))
+        turned = pairs.select(F.when(later, F.col("new")).otherwise(F.col("old")).alias("new"), F.when(later, F.col("old")).otherwise(F.col("new")).alias("old"), F.greatest("sn", "so").alias("at"))
+        gone = cut(_in_order(turned))
         left.join(gone, "rid", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/records/{part}")
         # texts are only looked up by their pieces, so their other chunks need not be kept
         keep = new.filter(F.col("role").bitwiseAND(INDEX) > 0)
@@ -207,7 +228,7 @@ class History:
         return rec.select("rid").join(accepted, "rid", "left_anti")
 
 
-def repeats(rec: DataFrame, at_least: int = 20_000) -> DataFrame:
+def repeats(rec: DataFrame, at_least: int = 50_000) -> DataFrame:
     """(kind, id): every record that matches an accepted earlier one of its group, in the order (batch, id).
 
     Batches are accepted one after the other; neighbours are taken together while they hold fewer rows than all before

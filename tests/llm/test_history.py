@@ -91,6 +91,13 @@ def test_chain_is_settled_in_order(spark):
     assert found(spark, images) == {(0, 2), (0, 4)} == expected(images)
 
 
+def test_rounds_and_one_task_agree(spark, monkeypatch):
+    monkeypatch.setattr(history, "SETTLE", 3)
+    chain = [(1 << 6 * k) - 1 for k in range(9)]
+    images = [(k + 1, 1 + k // 9, "v", "|".join([str(chain[k % 9])] * 4), 1) for k in range(27)]
+    assert found(spark, images) == expected(images)
+
+
 def test_a_third_are_copies(spark):
     rng = np.random.default_rng(2)
     other = ["|".join(map(str, rng.integers(0, 2**63, 4))) for _ in range(200)]
