@@ -98,16 +98,18 @@ def _prefixes(bits: int, cover: float, sketch, heavy: int):
     return run
 
 
-def elements(rows: DataFrame, bits: int, cover: float) -> DataFrame:
+def elements(rows: DataFrame, bits: int, cover: float) -> tuple[DataFrame, bool]:
     """(g, id, e, x, w, hot): the distinct elements of ``rows`` (g, id, elems), whether each is in the prefix, its weight.
 
-    Bit p of ``hot`` is set if the element's token p may be one that very many rows have.
+    Bit p of ``hot`` is set if the element's token p may be one that very many rows have; the second value tells
+    whether any is.
     """
     counted = rows.mapInArrow(_count(bits), "bucket BIGINT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n"))
     sketch = np.zeros(SKETCH, np.int64)
     for bucket, n in counted.collect():  # at most SKETCH rows
         sketch[bucket] = n
-    return rows.mapInArrow(_prefixes(bits, cover, rows.sparkSession.sparkContext.broadcast(sketch), HEAVY), "g BIGINT, id BIGINT, e BIGINT, x BOOLEAN, w BIGINT, hot INT")
+    out = rows.mapInArrow(_prefixes(bits, cover, rows.sparkSession.sparkContext.broadcast(sketch), HEAVY), "g BIGINT, id BIGINT, e BIGINT, x BOOLEAN, w BIGINT, hot INT")
+    return out, bool((sketch > HEAVY).any())
 
 
 def tokens(seed: Column, value: Column, width: int, bits: int) -> Column:
@@ -121,18 +123,21 @@ def tokens(seed: Column, value: Column, width: int, bits: int) -> Column:
     return F.array(*out)
 
 
-def _counted(at: DataFrame) -> DataFrame:
+def _counted(at: DataFrame, any_hot: bool) -> DataFrame:
     """``at`` with n, the rows of each key, and nx, those of them in a prefix; keys that cannot give a pair are left out."""
     w = Window.partitionBy("key")
-    cold = at.filter("not hot").withColumns({"n": F.count(F.lit(1)).over(w), "nx": F.sum(F.col("x").cast("int")).over(w)})
-    hot = at.filter("hot")
+    seen = {"n": F.count(F.lit(1)).over(w), "nx": F.sum(F.col("x").cast("int")).over(w)}
+    if not any_hot:  # the sketch bounds every key, so none is too large for the task that joins it
+        return at.withColumns(seen).filter("n > 1 and nx > 0")
+    at = cut(at)
+    cold, hot = at.filter("not hot").withColumns(seen), at.filter("hot")
     counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("int")).alias("nx"))
     keys = counts.filter(F.col("n") > HEAVY)
     hot = lookup(hot, counts, "key", cut(heavy_keys(keys, "key")), "inner") if not keys.isEmpty() else hot.join(counts, "key")
     return cold.unionByName(hot).filter("n > 1 and nx > 0")
 
 
-def near_elements(elems: DataFrame, bits: int) -> DataFrame:
+def near_elements(elems: DataFrame, any_hot: bool, bits: int) -> DataFrame:
     """(a, b), a < b, each once: rows of which one has a prefix element near some element of the other.
 
     Level by level: keys that at most FREQUENT rows have, or of the last level, are joined; the rows of the others go on
@@ -143,7 +148,7 @@ def near_elements(elems: DataFrame, bits: int) -> DataFrame:
     at = at.select("id", "e", "x", F.expr("shiftright(hot, t.p) & 1 = 1").alias("hot"), "t.key", "t.rest")
     width, found = 64, []
     for level in range(1, LEVELS + 1):
-        seen = cut(_counted(at))
+        seen = cut(_counted(at, any_hot))
         here = seen if level == LEVELS else seen.filter(F.col("n") <= FREQUENT)
         p, q = here.filter("x").select("key", F.col("id").alias("a"), F.col("e").alias("ea")), here.select("key", F.col("id").alias("b"), F.col("e").alias("eb"))
         pairs = p.join(q, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= bits))
@@ -212,7 +217,7 @@ def similar_sets(rows: DataFrame, group: list[str], key: str = "id", hashes: str
     # rows that are their own class need no join
     members = cut(d.join(same, ["g", "elems"], "left").select("id", F.coalesce("rep", "id").alias("rep")))
     rows_ = reps.select("id", "g", "elems")
-    links = cut(verified(near_elements(elements(rows_, bits, cover), bits), rows_, bits, cover))
+    links = cut(verified(near_elements(*elements(rows_, bits, cover), bits), rows_, bits, cover))
     return members, links
 
 

@@ -108,7 +108,7 @@ def chunks(rec: DataFrame) -> DataFrame:
     """(key, rid, e, near, bits, role): the chunks of records; e is the hash a chunk is from, near its tolerance."""
     img = rec.filter(F.col("kind") == IMAGE).select("rid", "g", F.posexplode(F.slice("elems", 1, (F.size("elems") * IMAGE_BAD + 1).cast("int"))).alias("p", "e"))
     img = img.select("rid", "e", F.lit(IMAGE_BITS).alias("near"), F.explode(_combined(F.xxhash64("g", "p"), F.col("e"), IMAGE_BITS + 2)).alias("c"))
-    vid = elements(rec.filter(F.col("kind") == VIDEO).select("g", F.col("rid").alias("id"), "elems"), VIDEO_BITS, VIDEO_SHARE)
+    vid, _ = elements(rec.filter(F.col("kind") == VIDEO).select("g", F.col("rid").alias("id"), "elems"), VIDEO_BITS, VIDEO_SHARE)
     vid = vid.select(F.col("id").alias("rid"), "e", F.lit(VIDEO_BITS).alias("near"), F.when(F.col("x"), INDEX | PROBE).otherwise(INDEX).alias("role"), F.explode(_combined(F.col("g"), F.col("e"), VIDEO_BITS + 2)).alias("c"))
     txt = rec.filter(F.col("kind") == TEXT).select("rid", F.lit(0).cast("bigint").alias("e"), F.lit(0).alias("near"), F.explode(_text_chunks()).alias("c"))
     return (
