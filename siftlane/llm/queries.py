@@ -88,12 +88,22 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY video_like_id ORDER BY frame_index
 r AS (SELECT video_like_id, min(frame_index) AS a, max(frame_index) AS z, count(*) AS n, max(position_millis) - min(position_millis) AS dur FROM s GROUP BY video_like_id, run HAVING count(*) > 1)
 """
 
-_NEAR = "(SELECT count(*) FROM unnest({0}) AS p(x) WHERE EXISTS (SELECT 1 FROM unnest({1}) AS q(y) WHERE bit_count(xor(x, y)) <= 4))"
-_SETS = f"""WITH r AS (SELECT DISTINCT id, chat_id, list_filter(hashes, h -> h IS NOT NULL) AS hs FROM stored_image_hash WHERE len(list_filter(hashes, h -> h IS NOT NULL)) > 0 AND chat_id IS NOT NULL),
-c AS (SELECT a.id AS id_a, b.id AS id_b, len(a.hs) + len(b.hs) AS n, a.hs AS ha, b.hs AS hb FROM r a JOIN r b ON a.chat_id = b.chat_id AND a.id < b.id)
+_SETS = """WITH r AS (SELECT DISTINCT id, chat_id, list_filter(hashes, lambda h: h IS NOT NULL) AS hs FROM stored_image_hash WHERE id IS NOT NULL AND chat_id IS NOT NULL),
+e AS (SELECT id, chat_id, len(hs) AS n, unnest(hs) AS h, unnest(range(len(hs))) AS k FROM r),
+m AS (SELECT a.id AS id_a, b.id AS id_b, count(DISTINCT a.k) + count(DISTINCT b.k) AS near, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.chat_id = b.chat_id AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY 1, 2)
+"""
+_NEIGHBOURS = """WITH b AS (SELECT DISTINCT ON (id) id AS ban, chat_id, model_name, model_revision, vector_dim FROM vector_ban WHERE active),
+f AS (SELECT DISTINCT ON (id) id, ban_id AS ban, vector FROM stored_vector_frame WHERE vector IS NOT NULL),
+u AS (SELECT id, ban, chat_id, model_name, model_revision, list_transform(vector, lambda x: x::DOUBLE) AS v FROM f JOIN b USING (ban)
+  WHERE len(vector) = vector_dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+w AS (SELECT *, sqrt(list_inner_product(v, v)) AS l FROM u),
+c AS (SELECT p.id AS q, o.id AS n, round(list_inner_product(p.v, o.v) / (p.l * o.l), 6) AS cos FROM w p JOIN w o ON p.chat_id = o.chat_id AND p.model_name = o.model_name AND p.model_revision = o.model_revision AND p.ban <> o.ban),
+t AS (SELECT q, n FROM c WHERE cos >= 0.8 QUALIFY row_number() OVER (PARTITION BY q ORDER BY cos DESC, n) <= 5)
 """
 
 SQL = {
+    "p1_found": _NEIGHBOURS + "SELECT DISTINCT least(q, n) AS frame_id_a, greatest(q, n) AS frame_id_b FROM t",
+    "p5_found": _SETS + "SELECT id_a, id_b FROM m WHERE near / n >= 0.6",
     "p4_found": _RUNS + "SELECT video_like_id, a AS first_frame_index, z AS last_frame_index FROM r",
     "p4_runs": _RUNS + "SELECT video_like_id, a AS first_index, z AS last_index, n AS n_events, dur::BIGINT AS duration_millis FROM r",
 }
