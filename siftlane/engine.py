@@ -64,7 +64,7 @@ class Engine:
         """(id, status, matched_by) of ``items``; each matcher is given only what those before it left."""
         left, tiers = items, []
         for m in self.matchers:
-            found = m.blocked(left, self.stored[m.name]).select("id").distinct()
+            found = m.blocked(left, self.stored[m.name]).select("id")
             tiers.append((m.name, found))
             left = left.join(found, "id", "left_anti")
         return matching.cascade(items, tiers, errors)

@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = a[keys[0]] == b[keys[0]]
-    for k in keys[1:]:
-        cond = cond & (a[k] == b[k])
-    return cond
-
-
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the first in ``order``; rows of a null key stay. The rank is limited before the shuffle, too."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -24,7 +17,7 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows of ``new`` to append: one a key, those whose key is not there yet."""
-    return first_of(new, keys, order).join(existing.select(*keys).distinct(), keys, "left_anti")
+    return first_of(new, keys, order).join(existing.select(*keys), keys, "left_anti")
 
 
 def insert_or_get(new: DataFrame, existing: DataFrame, keys: list[str], id_: str = "id") -> DataFrame:
@@ -42,13 +35,13 @@ def insert_or_get(new: DataFrame, existing: DataFrame, keys: list[str], id_: str
 def children(parents: DataFrame, id_: str, values: str, index: str, value: str, existing: DataFrame | None = None) -> DataFrame:
     """(id, index, value) rows of an array column, without those whose (id, index) is there already."""
     d = parents.select(F.col(id_), F.posexplode(values).alias(index, value))
-    return d if existing is None else d.join(existing.select(id_, index).distinct(), [id_, index], "left_anti")
+    return d if existing is None else d.join(existing.select(id_, index), [id_, index], "left_anti")
 
 
 def without_children(parents: DataFrame, key: str, *artifacts: DataFrame) -> DataFrame:
     """Parents that no artifact refers to (a chain of anti-joins); an artifact has a column ``key``."""
     for a in artifacts:
-        parents = parents.join(a.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+        parents = parents.join(a.select(key).filter(F.col(key).isNotNull()), key, "left_anti")
     return parents
 
 

@@ -30,7 +30,7 @@ def salted(queries: DataFrame, stored: DataFrame, tenant: str = "chat_id", rows:
 
 def exact_blocked(items: DataFrame, blocklist: DataFrame) -> DataFrame:
     """The ``items`` whose (chat_id, file_unique_id) is blocked; an empty or null file_unique_id never is."""
-    return items.filter("file_unique_id <> ''").join(blocklist.select("chat_id", "file_unique_id").distinct(), ["chat_id", "file_unique_id"], "left_semi")
+    return items.filter("file_unique_id <> ''").join(blocklist.select("chat_id", "file_unique_id"), ["chat_id", "file_unique_id"], "left_semi")
 
 
 def _variants(queries: DataFrame, stored: DataFrame, itself: bool) -> tuple[DataFrame, DataFrame, list]:
@@ -126,11 +126,11 @@ def cascade(items: DataFrame, tiers: list[tuple[str, DataFrame]], errors: DataFr
     """
     left, out = items.select("id").distinct(), []
     for name, ids in tiers:
-        hit = left.join(ids.select("id").distinct(), "id", "left_semi")
+        hit = left.join(ids.select("id"), "id", "left_semi")
         out.append(hit.select("id", F.lit("blocked").alias("status"), F.lit(name).alias("matched_by")))
-        left = left.join(ids.select("id").distinct(), "id", "left_anti")
+        left = left.join(ids.select("id"), "id", "left_anti")
         if errors is not None:
-            failed = errors.filter(F.col("tier") == name).select("id").distinct()
+            failed = errors.filter(F.col("tier") == name).select("id")
             out.append(left.join(failed, "id", "left_semi").select("id", F.lit("error").alias("status"), F.lit(name).alias("matched_by")))
             left = left.join(failed, "id", "left_anti")
     out.append(left.select("id", F.lit("clean").alias("status"), F.lit(None).cast("string").alias("matched_by")))

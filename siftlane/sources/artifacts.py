@@ -10,12 +10,12 @@ from siftlane.functions.vectors import is_usable
 
 
 def active_parents(media_ban: DataFrame) -> DataFrame:
-    """(ban_uid) of active bans, in the canonical spelling, each once."""
-    return media_ban.filter("active").select(uuid_key("ban_uid").alias("ban_uid")).filter("ban_uid is not null").distinct()
+    """(ban_uid) of active bans, in the canonical spelling."""
+    return media_ban.filter("active").select(uuid_key("ban_uid").alias("ban_uid")).filter("ban_uid is not null")
 
 
 def _of_active(artifacts: DataFrame, media_ban: DataFrame) -> DataFrame:
-    return artifacts.withColumn("ban_uid", uuid_key("ban_uid")).join(active_parents(media_ban), "ban_uid")
+    return artifacts.withColumn("ban_uid", uuid_key("ban_uid")).join(active_parents(media_ban), "ban_uid", "left_semi")
 
 
 def exact(blocked: DataFrame, media_ban: DataFrame, ban_uid: str | None = None) -> DataFrame:
