@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlane.functions.hashes import hamming
 from siftlane.functions.vectors import dot, norm
+from siftlane.session import cut
 
 # Thresholds and rules used where none is given.
 IMAGE_BITS = VIDEO_BITS = 12
@@ -21,11 +22,16 @@ SALT_ROWS = 2000
 
 
 def salted(queries: DataFrame, stored: DataFrame, tenant: str = "chat_id", rows: int = SALT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column ``salt``: tenants with many queries are spread, their stored rows repeated as often."""
+    """Both sides with a column ``salt``: tenants with many queries are spread, their stored rows repeated as often.
+
+    Few query rows can mean many comparisons, so they are spread over as many tasks as there are cores; partitions sized
+    by bytes would put them into one, and a semi-join would be pushed below the exchange that spreads them.
+    """
+    first = next(c for c in queries.columns if c != tenant)
     n = queries.groupBy(tenant).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_salts"))
-    q = queries.join(n, tenant).withColumn("salt", F.pmod(F.xxhash64(*[c for c in queries.columns if c != tenant][:1]), F.col("_salts")).cast("int")).drop("_salts")
+    q = queries.join(n, tenant).withColumn("salt", F.pmod(F.xxhash64(first), F.col("_salts")).cast("int")).drop("_salts")
     s = stored.join(n, tenant).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    return q, s
+    return cut(q.repartition(queries.sparkSession.sparkContext.defaultParallelism, F.xxhash64(first))), s
 
 
 def exact_blocked(items: DataFrame, blocklist: DataFrame) -> DataFrame:
