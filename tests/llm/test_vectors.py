@@ -92,3 +92,37 @@ def test_clusters_are_balanced():
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     own = np.argmax(np.float32(x) @ vectors.balanced(x, 16).T, axis=1)
     assert np.bincount(own, minlength=16).max() < 1400
+
+
+def whole(x, ids, bans, k=5, least=0.8):
+    """The definition for one group of vectors, in blocks."""
+    u = np.float32(x).astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    order = np.argsort(ids)
+    u, ids, bans = u[order], np.array(ids)[order], np.array(bans)[order]
+    out = set()
+    for q in range(len(u)):
+        cos = np.where(bans == bans[q], -1, np.round(u @ u[q], 6))
+        out |= {(int(ids[q]), int(ids[n])) for n in np.lexsort((ids, -cos))[:k] if cos[n] >= least}
+    return out
+
+
+def crowded(kind):
+    """(vectors, ids, bans) of one group in which true neighbours lie in many lists."""
+    rng = np.random.default_rng(8)
+    n, d = 9000, 16
+    x = rng.normal(size=d) + rng.normal(size=(n, d)) * {"dense": 0.3, "near equal": 1e-4, "scattered": 9, "copies": 1e-4}[kind]
+    ids, bans = rng.permutation(n), rng.integers(0, 900, n)
+    if kind == "copies":  # rows of one ban with the smallest ids stand before those of all others
+        x[:4000], bans[:4000] = x[0], np.arange(4000) % 400
+        bans[np.isin(ids, np.arange(30))] = 399
+    return x, ids.tolist(), bans.tolist()
+
+
+@pytest.mark.parametrize("kind", ["dense", "near equal", "scattered", "copies"])
+@pytest.mark.parametrize("block", [1000, 20_000])
+def test_no_neighbour_is_missed(spark, monkeypatch, kind, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    x, ids, bans = crowded(kind)
+    got = {(q, n) for q, n, _ in found(spark, [(i, b, list(map(float, v))) for i, b, v in zip(ids, bans, x, strict=True)], [(b, 1, "m", "r", 16, True) for b in range(900)])}
+    assert got == whole(x, ids, bans)
