@@ -69,13 +69,14 @@ def follow(log: DataFrame, target: str, progress: str, apply: Callable[[DataFram
 def catch_up(log: DataFrame, indexes: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]], seconds: int = 3600) -> dict[str, str]:
     """Catches up several indexes (target, progress, apply) at the same time; gives the error of each that failed.
 
-    A failed index keeps its progress and is to be marked stale; the others go on.
+    One whose time is up counts as failed, too; its query goes on. A failed index keeps its progress and is to be marked stale; the others go on.
     """
     started = {name: follow(log, target, progress, apply) for name, (target, progress, apply) in indexes.items()}
     failed = {}
     for name, query in started.items():
         try:
-            query.awaitTermination(seconds)
+            if not query.awaitTermination(seconds):
+                failed[name] = f"not caught up within {seconds} s"
         except Exception as e:  # noqa: BLE001 - reported, the other indexes go on
             failed[name] = str(e).splitlines()[0]
     return failed

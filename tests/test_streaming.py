@@ -1,4 +1,5 @@
 import json
+import time
 from decimal import Decimal
 
 import pytest
@@ -77,6 +78,16 @@ def test_several_indexes(spark, follow):
     assert bans(catchup.snapshot(spark, at("exact")[0])) == [("a", 1, 1), ("b", 1, 2)] and bans(catchup.snapshot(spark, at("image")[0])) == [("b", 1, 2)]
 
 
+def test_an_index_out_of_time_is_reported(spark, follow):
+    add, run = follow
+    add(event(1, 1, "a"))
+    at = (str(run.dir / "slow"), str(run.dir / "slow-progress"))
+    slow = lambda b: time.sleep(8) or catchup.applied(b)
+    assert list(catchup.catch_up(catchup.log_stream(spark, add.log), {"slow": (*at, slow)}, 1)) == ["slow"]
+    for q in spark.streams.active:
+        q.awaitTermination(60)
+
+
 def test_messages(spark):
     photo = lambda *uids: [{"file_id": u, "file_unique_id": u, "file_size": 5} for u in uids]
     raw = [
