@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlane.operators.skew import heavy_keys, lookup
@@ -112,15 +112,14 @@ def elements(rows: DataFrame, bits: int, cover: float) -> tuple[DataFrame, bool]
     return out, bool((sketch > HEAVY).any())
 
 
-def tokens(seed: Column, value: Column, width: int, bits: int) -> Column:
-    """An array of (key, p, rest): the tokens of a value of at most ``width`` bits, and its bits outside each token."""
+def tokens(seed: str, value: str, width: int, bits: int) -> str:
+    """SQL of an array of (key, p, rest): the tokens of a value of at most ``width`` bits, and its bits outside each token."""
     out = []
     for p, (low, size) in enumerate(pieces(width, bits + 1)):
-        token = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
-        high = F.shiftleft(F.shiftrightunsigned(value, low + size), low) if low + size < 64 else F.lit(0).cast("bigint")
-        rest = high.bitwiseOR(value.bitwiseAND(F.lit((1 << low) - 1).cast("bigint")))
-        out.append(F.struct(F.xxhash64(seed, F.lit(p), token).alias("key"), F.lit(p).alias("p"), rest.alias("rest")))
-    return F.array(*out)
+        token = f"shiftrightunsigned({value}, {low}) & {(1 << size) - 1}L"
+        high = f"shiftleft(shiftrightunsigned({value}, {low + size}), {low})" if low + size < 64 else "0L"
+        out.append(f"named_struct('key', xxhash64({seed}, {p}, {token}), 'p', {p}, 'rest', {high} | {value} & {(1 << low) - 1}L)")
+    return f"array({', '.join(out)})"
 
 
 def _counted(at: DataFrame, any_hot: bool) -> DataFrame:
@@ -143,8 +142,7 @@ def near_elements(elems: DataFrame, any_hot: bool, bits: int) -> DataFrame:
     Level by level: keys that at most FREQUENT rows have, or of the last level, are joined; the rows of the others go on
     with one more token. Keys without a prefix element, or of a single row, end there.
     """
-    first = F.explode(tokens(F.col("g"), F.col("e"), 64, bits))
-    at = elems.select("id", "e", "x", "hot", first.alias("t"))
+    at = elems.select("id", "e", "x", "hot", F.explode(F.expr(tokens("g", "e", 64, bits))).alias("t"))
     at = at.select("id", "e", "x", F.expr("shiftright(hot, t.p) & 1 = 1").alias("hot"), "t.key", "t.rest")
     width, found = 64, []
     for level in range(1, LEVELS + 1):
@@ -155,7 +153,7 @@ def near_elements(elems: DataFrame, any_hot: bool, bits: int) -> DataFrame:
         found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         width -= min(size for _, size in pieces(width, bits + 1))
         deeper = seen.filter(F.col("n") > FREQUENT)
-        at = deeper.select("id", "e", "x", "hot", F.explode(tokens(F.col("key"), F.col("rest"), width, bits)).alias("t")).select("id", "e", "x", "hot", "t.key", "t.rest")
+        at = deeper.select("id", "e", "x", "hot", F.explode(F.expr(tokens("key", "rest", width, bits))).alias("t")).select("id", "e", "x", "hot", "t.key", "t.rest")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

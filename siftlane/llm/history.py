@@ -1,40 +1,53 @@
 """Deduplicating new batches against all history (problem 2).
 
 Method: a persistent table from chunks to records. A record's content is cut into chunks; a batch's chunks are joined
-with the table, the bytes two records share are summed, and pairs with enough coverage are verified exactly. What is
-accepted is appended, so a batch costs its own rows and a join with narrow chunk keys, never a new pass over contents.
+with the table, the bytes two records share are summed pair by pair, the covered share of both decides, and the chunks of
+what is accepted are appended. The table is bucketed by chunk, so a batch costs a shuffle of its own chunks and one scan
+of the narrow table, bucket by bucket; it is the only thing kept, and contents of earlier batches are never read again.
 
 Chunk boundaries: content-defined boundaries from a rolling hash move with every flipped bit of a 32-byte signature and
 miss cases (see README), so contents are cut where a pigeonhole argument holds instead:
-- images: two of the eight bytes of a hash, 28 chunks a hash; at most 6 flipped bits leave two bytes. Of n positions a
-  quarter may differ, so the first n // 4 + 1 hold one that does not.
-- videos: two of six pieces of a frame's hash, 15 chunks a frame; at most 4 flipped bits leave two pieces. One side has
-  0.6 of its frames near the other's, so frames that weigh more than 0.4 are looked up among all frames of the other.
+- images: seven pieces of the hash at each position; at most 6 flipped bits leave one of them.
+- videos: five pieces of each frame's hash; at most 4 flipped bits leave one of them.
 - texts: three pieces by length; at most two edits leave one of them, moved by at most two characters.
+So every pair of near hashes meets, and the shared totals are exact: 8 bytes for each hash of either side that is near one
+of the other (images: one at the same position).
+
+A chunk that many records have is extended by a further piece of the hash, up to LEVELS pieces. Which chunks these are is
+told by a sketch of fixed size that counts all chunks ever seen; when one of its counts passes the limit, stored rows are
+extended once and later rows at once. At the last level, rows of a chunk are split into blocks.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.llm.hashsets import elements, near_counts, pieces
-from siftlane.session import cut, shared_folder
+from siftlane import files
+from siftlane.llm.hashsets import pieces, tokens
+from siftlane.session import cut, shared_folder, written
 
 IMAGE, VIDEO, TEXT = 0, 1, 2
-IMAGE_BITS, IMAGE_BAD, VIDEO_BITS, VIDEO_SHARE, EDITS = 6, 0.25, 4, 0.6, 2
+#: Bits in which near hashes may differ, the share of bytes that must be covered, edits of a text.
+BITS, COVER, EDITS = {IMAGE: 6, VIDEO: 4}, {IMAGE: 0.75, VIDEO: 0.6}, 2
 #: Characters at the start of a file id that name its kind and tell little; they never make a piece by themselves.
 LEAD = 4
 INDEX, PROBE = 1, 2
 #: Pairs that one task goes through in order.
 SETTLE = 200_000
+#: Counts of the sketch, rows beyond which a count is hot, pieces in a chunk at most.
+SKETCH, FREQUENT, LEVELS = 1 << 16, 20_000, 3
+#: Parts of the table that are merged into one of the next size.
+MERGE = 8
 
 _RECORD = "rid", "kind", "grp", "g", "seq", "elems", "txt"
+_CHUNK = "key BIGINT, rid BIGINT, kind TINYINT, batch INT, role TINYINT, e BIGINT, slot BIGINT, w BIGINT, n BIGINT, level TINYINT, path INT, txt STRING"
+_NAMES = [c.split()[0] for c in _CHUNK.split(", ")]
 
 
 def _hashes(text: Column, last_part: bool) -> Column:
@@ -76,83 +89,74 @@ def records(images: DataFrame | None = None, videos: DataFrame | None = None, te
     return d.withColumn("g", F.xxhash64("grp")).select(*_RECORD)
 
 
-def _combined(seed: Column, value: Column, n: int) -> Column:
-    """An array of (key, bytes): each two of the ``n`` pieces of a hash."""
-    part = [F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint")) for low, size in pieces(64, n)]
-    return F.array(*(F.struct(F.xxhash64(seed, F.lit(p * n + q), part[p], part[q]).alias("key"), F.lit(round(128 / n)).alias("bits")) for p, q in combinations(range(n), 2)))
-
-
-def _text_pieces(length: Column) -> list[tuple[Column, Column]]:
-    """(start, length) of the three pieces of a text of a given length."""
-    n0 = F.when(length >= LEAD + 3, LEAD + F.floor((length - LEAD) / 3)).otherwise(F.floor(length / 3)).cast("int")
-    n1 = F.floor((length - n0) / 2).cast("int")
-    return [(F.lit(0), n0), (n0, n1), (n0 + n1, (length - n0 - n1).cast("int"))]
-
-
-def _text_chunks() -> Column:
-    """An array of (key, bits, role): the three pieces of txt to be found, and those of other lengths to look up."""
-    size, key = F.length("txt"), lambda n, k, start, m: F.xxhash64(F.col("g"), n, F.lit(k), F.col("txt").substr(start + 1, m))
-    out = [F.struct(key(size, k, a, m).alias("key"), (8 * m).alias("bits"), F.lit(INDEX).alias("role")) for k, (a, m) in enumerate(_text_pieces(size))]
+def _text_chunks(rec: DataFrame) -> DataFrame:
+    """``rec`` with key and role: the three pieces of txt to be found, and those of other lengths to look up."""
+    looks = []
     for delta in range(-EDITS, EDITS + 1):  # length of this text less that of the other
-        other = size - delta
-        for k, (a, m) in enumerate(_text_pieces(other)):
+        for k in range(3):
             for shift in range(-k, k + 1):
                 # edits before the piece move it by ``shift``, those after it by the rest; k before and EDITS - k after
                 if abs(shift - delta) <= EDITS - k:
-                    fits = (other >= 0) & (a + shift >= 0) & (a + shift + m <= size)
-                    out.append(F.when(fits, F.struct(key(other, k, a + shift, m).alias("key"), (8 * m).alias("bits"), F.lit(PROBE).alias("role"))))
-    return F.filter(F.array(*out), lambda c: c.isNotNull())
+                    looks.append(f"struct({delta} as delta, {k} as k, {shift} as shift, {PROBE if delta or shift else INDEX | PROBE} as role)")
+    d = rec.selectExpr("*", f"inline(array({', '.join(looks)}))").selectExpr("*", "length(txt) - delta as other").filter("other >= 0")
+    d = d.selectExpr("*", f"cast(if(other >= {LEAD + 3}, {LEAD} + floor((other - {LEAD}) / 3), floor(other / 3)) as int) as n0").selectExpr("*", "cast(floor((other - n0) / 2) as int) as n1")
+    d = d.selectExpr("*", "case k when 0 then 0 when 1 then n0 else n0 + n1 end + shift as start", "case k when 0 then n0 when 1 then n1 else other - n0 - n1 end as m")
+    return d.filter("start >= 0 and start + m <= length(txt)").selectExpr("*", "xxhash64(g, other, k, substr(txt, start + 1, m)) as key")
 
 
 def chunks(rec: DataFrame) -> DataFrame:
-    """(key, rid, e, near, bits, role): the chunks of records; e is the hash a chunk is from, near its tolerance."""
-    img = rec.filter(F.col("kind") == IMAGE).select("rid", "g", F.posexplode(F.slice("elems", 1, (F.size("elems") * IMAGE_BAD + 1).cast("int"))).alias("p", "e"))
-    img = img.select("rid", "e", F.lit(IMAGE_BITS).alias("near"), F.explode(_combined(F.xxhash64("g", "p"), F.col("e"), IMAGE_BITS + 2)).alias("c"))
-    vid, _ = elements(rec.filter(F.col("kind") == VIDEO).select("g", F.col("rid").alias("id"), "elems"), VIDEO_BITS, VIDEO_SHARE)
-    vid = vid.select(F.col("id").alias("rid"), "e", F.lit(VIDEO_BITS).alias("near"), F.when(F.col("x"), INDEX | PROBE).otherwise(INDEX).alias("role"), F.explode(_combined(F.col("g"), F.col("e"), VIDEO_BITS + 2)).alias("c"))
-    txt = rec.filter(F.col("kind") == TEXT).select("rid", F.lit(0).cast("bigint").alias("e"), F.lit(0).alias("near"), F.explode(_text_chunks()).alias("c"))
-    return (
-        img.select("c.key", "rid", "e", "near", "c.bits", F.lit(INDEX | PROBE).alias("role"))
-        .unionByName(vid.select("c.key", "rid", "e", "near", "c.bits", "role"))
-        .unionByName(txt.select("c.key", "rid", "e", "near", "c.bits", "c.role"))
-    )
-
-
-def _shared(new: DataFrame, old: DataFrame, earlier: bool) -> DataFrame:
-    """(new, old, shared_bits): pairs whose chunks meet; of one batch each pair once, as its order is not yet known."""
-    n, o = new.alias("n"), old.alias("o")
-    role = ((F.col("n.role").bitwiseAND(PROBE) > 0) & (F.col("o.role").bitwiseAND(INDEX) > 0)) | ((F.col("n.role").bitwiseAND(INDEX) > 0) & (F.col("o.role").bitwiseAND(PROBE) > 0))
-    near = F.bit_count(F.col("n.e").bitwiseXOR(F.col("o.e"))) <= F.col("n.near")
-    which = F.col("n.rid") < F.col("o.rid") if earlier else F.col("n.rid") != F.col("o.rid")
-    return n.join(o, F.col("n.key") == F.col("o.key")).filter(which & role & near).groupBy(F.col("n.rid").alias("new"), F.col("o.rid").alias("old")).agg(F.sum("n.bits").alias("shared_bits"))
-
-
-def _exact(batches: Iterator) -> Iterator:
-    """The pairs that match; ``ok`` is null for videos, whose frames are compared here."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        open_ = batch.column("ok").is_null().to_numpy(zero_copy_only=False)
-        ok = pc.fill_null(batch.column("ok"), False).to_numpy(zero_copy_only=False).copy()
-        if open_.any():
-            part = batch.filter(pa.array(open_))
-            na, nb = (np.diff(part.column(c).offsets.to_numpy()) for c in ("ea", "eb"))
-            a, b = (part.column(c).flatten().to_numpy().view("u8") for c in ("ea", "eb"))
-            ok[open_] = near_counts(a, na, b, nb, VIDEO_BITS) / (na + nb) >= VIDEO_SHARE
-        yield batch.filter(pa.array(ok)).select(["new", "old"])
-
-
-def _matching(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
-    """The (new, old) of ``pairs`` that match by the rule of their kind. Every pair shares a chunk, the coverage needed."""
-    a = new.select(F.col("rid").alias("new"), "kind", F.col("grp").alias("ga"), F.col("elems").alias("ea"), F.col("txt").alias("ta"))
-    b = old.select(F.col("rid").alias("old"), F.col("grp").alias("gb"), F.col("elems").alias("eb"), F.col("txt").alias("tb"))
-    good = F.aggregate(F.zip_with("ea", "eb", lambda x, y: (F.bit_count(x.bitwiseXOR(y)) <= IMAGE_BITS).cast("int")), F.lit(0), lambda s, x: s + x)
-    image = good >= F.size("ea") * (1 - IMAGE_BAD)
-    text = F.levenshtein("ta", "tb", EDITS) >= 0
-    ok = F.when(F.col("kind") == IMAGE, image).when(F.col("kind") == TEXT, text)
-    d = pairs.join(a, "new").join(b, "old").filter("ga = gb").select("new", "old", ok.alias("ok"), *(F.when(F.col("kind") == VIDEO, F.col(c)).alias(c) for c in ("ea", "eb")))
-    return d.filter("ok is null or ok").mapInArrow(_exact, "new BIGINT, old BIGINT")
+    """The chunks of records, of one piece each: slot is what a hash counts as (its position, or itself), w how often."""
+    base = "rid", "kind", "seq.batch as batch", "cast(size(elems) as bigint) as n"
+    of = lambda kind: rec.filter(f"kind = {kind}")
+    img = of(IMAGE).selectExpr(*base, "g", "posexplode(elems) as (p, e)").selectExpr("rid", "kind", "batch", "n", "e", "cast(p as bigint) as slot", "1L as w", "xxhash64(g, p) as seed")
+    vid = of(VIDEO).selectExpr(*base, "g", "explode(elems) as e").groupBy("rid", "kind", "batch", "n", "g", "e").agg(F.expr("count(1) as w"))
+    vid = vid.selectExpr("rid", "kind", "batch", "n", "e", "e as slot", "w", "g as seed")
+    out = None
+    for rows, kind in ((img, IMAGE), (vid, VIDEO)):
+        d = rows.selectExpr("*", f"explode({tokens('seed', 'e', 64, BITS[kind])}) as c")
+        d = d.selectExpr("c.key", "rid", "kind", "batch", f"{INDEX | PROBE} as role", "e", "slot", "w", "n", "1 as level", "c.p as path", "cast(null as string) as txt")
+        out = d if out is None else out.unionByName(d)
+    txt = _text_chunks(of(TEXT).selectExpr(*base, "g", "txt"))
+    txt = txt.selectExpr("key", "rid", "kind", "batch", "role", "0L as e", "0L as slot", "0L as w", "0L as n", f"{LEVELS} as level", "0 as path", "txt")
+    return _typed(out.unionByName(txt))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(*("cast({0} as {1}) as {0}".format(*c.split()) for c in _CHUNK.split(", ")))
+
+
+def _bucket(key: str = "key") -> Column:
+    return F.pmod(F.col(key), F.lit(SKETCH)).cast("int")
+
+
+def _longer(rows: DataFrame) -> DataFrame:
+    """``rows``, of fewer than LEVELS pieces, with each one more piece of the bits outside those they have."""
+    out = None
+    for kind, bits in BITS.items():
+        value, width = "e", 64
+        for level in range(1, LEVELS):
+            left = f"get({tokens('0', value, width, bits)}, shiftright(path, {4 * (level - 1)}) & 15).rest"
+            width -= min(size for _, size in pieces(width, bits + 1))
+            d = rows.filter((F.col("kind") == kind) & (F.col("level") == level)).withColumn("_left", F.expr(left))
+            d = d.withColumn("c", F.explode(F.expr(tokens("key", "_left", width, bits))))
+            d = d.withColumns({"key": F.col("c.key"), "path": F.col("path").bitwiseOR(F.shiftleft("c.p", 4 * level)), "level": F.col("level") + 1})
+            out = _typed(d) if out is None else out.unionByName(_typed(d))
+            value = left
+    return out
+
+
+def _covered(near: DataFrame) -> DataFrame:
+    """(new, old, at_new, at_old, shared, size) of pairs whose covered share decides for a match, in bytes of both sides."""
+    d = near.groupBy("new", "old", "kind", "at_new", "at_old", "size").agg(F.expr("collect_set(struct(ns, nw))").alias("a"), F.expr("collect_set(struct(os, ow))").alias("b"))
+    total = "aggregate({0}, 0L, (s, x) -> s + x.{1})"
+    d = d.selectExpr("*", f"8 * ({total.format('a', 'nw')} + {total.format('b', 'ow')}) as shared")
+    enough = f"kind = {TEXT} or shared / size >= if(kind = {IMAGE}, {COVER[IMAGE]}D, {COVER[VIDEO]}D)"
+    return d.filter(enough).select("new", "old", "at_new", "at_old", "shared", "size")
+
+
+# pairs of rows n, o are near by the rule of their kind; what is kept of them
+_NEAR = f"if(n.kind = {TEXT}, levenshtein(n.txt, o.txt, {EDITS}) >= 0, bit_count(n.e ^ o.e) <= if(n.kind = {IMAGE}, {BITS[IMAGE]}, {BITS[VIDEO]}))"
+_PAIR = "n.rid as new", "o.rid as old", "n.kind as kind", "n.batch as at_new", "o.batch as at_old", "8 * (n.n + o.n) as size", "n.slot as ns", "n.w as nw", "o.slot as os", "o.w as ow"
 
 
 def _settled(batches: Iterator) -> Iterator:
@@ -173,85 +177,179 @@ def _settled(batches: Iterator) -> Iterator:
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
-    """(rid): records that an accepted earlier one matches, from all matching pairs (new, old, at) of one batch.
+    """(rid): records that an accepted earlier one matches, from all matching pairs (new, old, batch, id) of one batch.
 
-    ``at`` is the place of the new record. Records without an earlier match are accepted and take their later matches
+    batch and id are the place of the new record. Records without an earlier match are accepted and take their later matches
     out, in rounds; once at most SETTLE pairs are left, which is counted, one task goes through them in order.
     """
-    pairs = cut(pairs)
+    pairs = written(pairs)
     out: DataFrame | None = None
     while pairs.count() > SETTLE:
         roots = pairs.select(F.col("old").alias("rid")).join(pairs.select(F.col("new").alias("rid")), "rid", "left_anti").distinct()
-        gone = cut(pairs.join(roots.withColumnRenamed("rid", "old"), "old", "left_semi").select(F.col("new").alias("rid")).distinct())
+        gone = written(pairs.join(roots.withColumnRenamed("rid", "old"), "old", "left_semi").select(F.col("new").alias("rid")).distinct())
         out = gone if out is None else out.unionByName(gone)
-        pairs = cut(pairs.join(gone.withColumnRenamed("rid", "new"), "new", "left_anti").join(gone.withColumnRenamed("rid", "old"), "old", "left_anti"))
-    rest = pairs.select("new", "old", "at.batch", "at.id").coalesce(1).mapInArrow(_settled, "rid BIGINT")
+        pairs = written(pairs.join(gone.withColumnRenamed("rid", "new"), "new", "left_anti").join(gone.withColumnRenamed("rid", "old"), "old", "left_anti"))
+    rest = pairs.select("new", "old", "batch", "id").coalesce(1).mapInArrow(_settled, "rid BIGINT")
     return rest if out is None else out.unionByName(rest)
 
 
 class History:
-    """What has been accepted: tables of records and of chunks in ``folder``, appended batch by batch."""
-
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-        self.parts: list[str] = []
-
-    def _table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(*(f"{self.folder}/{name}/{p}" for p in self.parts)) if self.parts else None
+    """What has been accepted: a table of chunks in ``folder``, bucketed by chunk, appended batch by batch.
 
-    def accept(self, batch: DataFrame, part: str) -> DataFrame:
-        """(rid) of the records of ``batch`` that repeat accepted content; all others are appended as ``part``.
+    Its parts in force stand in a manifest, so a part that a failed batch left behind is not read, and is replaced when
+    the batch is given again. ``buckets`` is fixed with the first batch; it bounds the tasks that join a batch.
+    """
 
-        A part is written once; a batch that failed is given again under its name and replaces what it left behind.
-        Copies with equal content count as one, so a content that a third of a batch has is compared once.
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, frequent: int = FREQUENT) -> None:
+        self.spark, self.frequent, self.tag = spark, frequent, uuid.uuid4().hex
+        self.folder = folder or f"{shared_folder(spark)}/history-{self.tag}"
+        kept = json.loads(files.current(spark, f"{self.folder}/manifest") or "{}")
+        self.parts: list[tuple[str, int]] = [(p, size) for p, size in kept.get("parts", [])]
+        self.buckets = kept.get("buckets") or buckets or max(6, spark.sparkContext.defaultParallelism)
+        self.counts, self.hot = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, bool)
+        for name in ("chunks", "staged"):
+            spark.sql(f"CREATE TABLE {self._name(name)} ({_CHUNK}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        if self.parts:  # the sketch of what is stored
+            spark.catalog.recoverPartitions(self._name("chunks"))
+            self._count(self._stored(None))
+            self.hot = self.counts > frequent
+
+    def _name(self, table: str) -> str:
+        return f"siftlane_{table}_{self.tag}"
+
+    def _write(self, rows: DataFrame, table: str, part: str, more: bool = False) -> None:
+        """Writes one part of a table; what an earlier attempt left of it is removed before, unless ``more`` is added."""
+        if not more:
+            files.delete(self.spark, f"{self.folder}/{table}/part={part}")
+        rows.select(*_NAMES, F.lit(part).alias("part")).write.insertInto(self._name(table))
+        self.spark.catalog.refreshTable(self._name(table))
+
+    def _read(self, table: str, parts: list[str]) -> DataFrame:
+        return self.spark.table(self._name(table)).filter(F.col("part").isin(parts)).drop("part")
+
+    def _stored(self, without: str | None) -> DataFrame:
+        return self._read("chunks", [p for p, _ in self.parts if p != without])
+
+    def _publish(self) -> None:
+        files.publish(self.spark, f"{self.folder}/manifest", json.dumps({"buckets": self.buckets, "parts": self.parts}))
+
+    def _count(self, rows: DataFrame) -> None:
+        for bucket, n in rows.groupBy(_bucket().alias("bucket")).count().collect():  # at most SKETCH rows
+            self.counts[bucket] += n
+
+    def _marked(self, rows: DataFrame, which: np.ndarray, hot: bool) -> DataFrame:
+        """The rows whose chunk is in the buckets ``which`` of the sketch, or those whose is not, with ``salts``."""
+        at = np.flatnonzero(which)
+        salts = np.maximum(1, -(-self.counts[at] // self.frequent))
+        table = F.broadcast(self.spark.createDataFrame([(int(a), int(b)) for a, b in zip(at, salts, strict=True)], "bucket INT, salts INT"))  # at most SKETCH rows
+        d = rows.withColumn("bucket", _bucket())
+        return d.join(table, "bucket") if hot else d.join(table, "bucket", "left_anti").drop("bucket")
+
+    def _extend(self, part: str) -> None:
+        """Counts the chunks of a staged batch and extends those that have become too frequent, stored or new."""
+        fresh = self._read("staged", [part])
+        self._count(fresh)
+        for _ in range(LEVELS):
+            was, self.hot = self.hot, self.counts > self.frequent
+            if not self.hot.any():
+                return
+            open_ = lambda d: d.filter((F.col("level") < LEVELS) & (F.col("kind") != TEXT))
+            # new rows of all hot chunks; stored rows only of those that have become hot, as others were extended then
+            longer = written(_longer(self._marked(open_(fresh), self.hot, True).select(*_NAMES)))
+            self._write(longer.repartition(self.buckets, "key"), "staged", part, True)
+            self._count(longer)
+            if (turned := self.hot & ~was).any() and self.parts:
+                old = written(_longer(self._marked(open_(self._stored(part)), turned, True).select(*_NAMES)))
+                if not old.isEmpty():
+                    name = f"{self.parts[-1][0]}-longer-{len(self.parts)}"
+                    self._write(old.repartition(self.buckets, "key"), "chunks", name)
+                    self.parts.append((name, 0))
+                    self._count(old)
+            fresh = longer
+            if fresh.isEmpty():
+                return
+
+    def _near(self, new: DataFrame, old: DataFrame, order: str = "true") -> DataFrame:
+        """Pairs of rows n, o with one chunk and near contents; frequent chunks meet at the last level only, in blocks."""
+        new, old = new.filter(f"role & {PROBE} > 0"), old.filter(f"role & {INDEX} > 0")
+        near = F.expr(f"{order} and {_NEAR}")
+        cold = self._marked(new, self.hot, False) if self.hot.any() else new
+        # the batch is the side that is held in memory, the table streams by
+        found = cold.alias("n").hint("shuffle_hash").join(old.alias("o"), F.expr("n.key = o.key")).filter(near).selectExpr(*_PAIR)
+        if self.hot.any():
+            last = lambda d: self._marked(d.filter(f"level = {LEVELS}"), self.hot, True)
+            a = last(new).selectExpr("*", "explode(sequence(0, salts - 1)) as salt")
+            b = last(old).selectExpr("*", "cast(pmod(xxhash64(rid, slot), salts) as int) as salt")
+            found = found.unionByName(a.alias("n").join(b.alias("o"), F.expr("n.key = o.key and n.salt = o.salt")).filter(near).selectExpr(*_PAIR))
+        return found
+
+    def accept(self, batch: DataFrame, part: str) -> None:
+        """Compares the records of ``batch`` with all accepted before, then with each other; what is new is appended.
+
+        A part is put into force last; a batch that failed is given again under its name and replaces what it left
+        behind. Copies with equal content count as one, so a content that a third of a batch has is compared once.
         """
-        rec = cut(batch)
-        first = cut(rec.groupBy("g", "elems", "txt").agg(F.min(F.struct("seq", *(c for c in _RECORD if c not in ("g", "elems", "txt", "seq")))).alias("r")).select("g", "elems", "txt", "r.*").select(*_RECORD))
-        new = cut(chunks(first))
-        left = first
-        if (old := self._table("chunks")) is not None:
-            seen = _matching(_shared(new, old, False), first, self._table("records")).select(F.col("new").alias("rid")).distinct()
-            left = cut(first.join(seen, "rid", "left_anti"))
-            new = cut(new.join(left.select("rid"), "rid", "left_semi"))
-        pairs = _matching(_shared(new, new, True), left, left)
-        when = left.select("rid", "seq")
-        pairs = pairs.join(when.select(F.col("rid").alias("new"), F.col("seq").alias("sn")), "new").join(when.select(F.col("rid").alias("old"), F.col("seq").alias("so")), "old")
-        later = F.col("sn") > F.col("so")
-        turned = pairs.select(F.when(later, F.col("new")).otherwise(F.col("old")).alias("new"), F.when(later, F.col("old")).otherwise(F.col("new")).alias("old"), F.greatest("sn", "so").alias("at"))
-        gone = cut(_in_order(turned))
-        left.join(gone, "rid", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/records/{part}")
-        # texts are only looked up by their pieces, so their other chunks need not be kept
-        keep = new.filter(F.col("role").bitwiseAND(INDEX) > 0)
-        keep.join(gone, "rid", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/chunks/{part}")
-        self.parts.append(part)
-        accepted = self.spark.read.parquet(f"{self.folder}/records/{part}").select("rid")
-        return rec.select("rid").join(accepted, "rid", "left_anti")
-
-
-def repeats(rec: DataFrame, at_least: int = 50_000) -> DataFrame:
+        least = F.min(F.struct("seq", "rid", "kind")).alias("r")
+        first = batch.groupBy("g", "elems", "txt").agg(least).select("g", "elems", "txt", "r.*")
+        self._write(chunks(first).repartition(self.buckets, "key"), "staged", part)
+        self._extend(part)
+        left = staged = self._read("staged", [part])
+        if any(p != part for p, _ in self.parts):
+            seen = written(_covered(self._near(staged, self._stored(part))).select(F.col("new").alias("rid")).distinct())
+            left = staged.join(seen, "rid", "left_anti")
+        pairs = _covered(self._near(left, left, "n.rid < o.rid"))
+        # the one with the later place in (batch, id) repeats the other; of one kind, ids are in the order of rids
+        later = "struct(at_new, new) > struct(at_old, old)"
+        turned = pairs.selectExpr(f"if({later}, new, old) as new", f"if({later}, old, new) as old", "greatest(at_new, at_old) as batch", f"if({later}, new, old) as id")
+        accepted = left.join(_in_order(turned), "rid", "left_anti")
+        # rows that are only looked up need not be kept, nor do those of chunks that are extended
+        self._write(accepted.filter(f"role & {INDEX} > 0"), "chunks", part)
+        self.parts = [x for x in self.parts if x[0] != part] + [(part, 1)]
+        self._merge()
+        self._publish()
+        files.delete(self.spark, f"{self.folder}/staged/part={part}")
+
+    def _merge(self) -> None:
+        """Parts of one size are merged when there are MERGE of them, so a table of k parts has about log k left."""
+        size = self.parts[-1][1]
+        same = [p for p in self.parts if p[1] == size]
+        while len(same) >= MERGE:
+            name = f"{same[-1][0]}-merged-{size}"
+            self._write(self._read("chunks", [p for p, _ in same]).repartition(self.buckets, "key"), "chunks", name)
+            self.parts = [p for p in self.parts if p not in same] + [(name, size + 1)]
+            self._publish()
+            for p, _ in same:
+                files.delete(self.spark, f"{self.folder}/chunks/part={p}")
+            self.spark.catalog.refreshTable(self._name("chunks"))
+            size += 1
+            same = [p for p in self.parts if p[1] == size]
+
+    def accepted(self) -> DataFrame:
+        """(rid) of all that has been accepted."""
+        return self._stored(None).select("rid").distinct()
+
+    def forget(self, keep: bool = True) -> None:
+        """Takes the tables out of the session; with ``keep`` false also removes the folder."""
+        for name in ("chunks", "staged"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+        if not keep:
+            files.delete(self.spark, self.folder)
+
+
+def repeats(rec: DataFrame, **options: int) -> DataFrame:
     """(kind, id): every record that matches an accepted earlier one of its group, in the order (batch, id).
 
-    Batches are accepted one after the other; neighbours are taken together while they hold fewer rows than all before
-    them, or than ``at_least``, so that the history is read a logarithmic number of times. The result is the same for any
-    cut into batches.
+    Batches are accepted one after the other, each against the table of all before it. ``options`` go to ``History``.
     """
-    rec = cut(rec)
-    batch = F.col("seq.batch")
-    sizes = rec.groupBy(batch.alias("batch")).count().orderBy("batch").collect()  # one row a batch
-    rounds: list[tuple[int, int]] = []
-    before, size, start = 0, 0, None
-    for row in sizes:
-        if start is not None and size + row["count"] > max(before, at_least):
-            rounds.append((start, last))
-            before, size, start = before + size, 0, None
-        start = row["batch"] if start is None else start
-        size, last = size + row["count"], row["batch"]
-    if start is not None:
-        rounds.append((start, last))
-    history = History(rec.sparkSession)
-    out: DataFrame | None = None
-    for k, (a, z) in enumerate(rounds):
-        found = history.accept(rec.filter(batch.between(a, z)), f"part-{k:05d}")
-        out = found if out is None else out.unionByName(found)
-    out = out if out is not None else rec.select("rid").limit(0)
+    spark = rec.sparkSession
+    folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    rec.withColumn("batch", F.col("seq.batch")).write.partitionBy("batch").parquet(folder)
+    rec = spark.read.schema(rec.withColumn("batch", F.col("seq.batch")).schema).parquet(folder)
+    numbers = sorted(r[0] for r in rec.select("batch").distinct().collect())  # one row a batch
+    history = History(spark, **options)
+    for k, number in enumerate(numbers):
+        history.accept(rec.filter(F.col("batch") == number).drop("batch"), f"batch-{k:06d}")
+    out = cut(rec.select("rid").join(history.accepted(), "rid", "left_anti")) if numbers else rec.select("rid")
+    history.forget(keep=False)
+    files.delete(spark, folder) if numbers else None
     return out.select(F.pmod("rid", F.lit(3)).cast("int").alias("kind"), F.floor((F.col("rid") - F.pmod("rid", F.lit(3))) / 3).alias("id"))

@@ -1,7 +1,6 @@
 from collections import defaultdict
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,11 +68,27 @@ def read(spark, data):
     return pick("blocked_image", *hashed), pick("blocked_video_like", *hashed), pick("vector_ban", "id", "chat_id", "file_unique_id", "batch_no")
 
 
-@pytest.mark.parametrize("at_least", [1_000_000, 50])
-def test_whole_tables_in_any_cut(spark, data, at_least):
+def test_whole_tables(spark, data):
     tables = read(spark, data)
     want = expected(*tables)
-    assert want and found(spark, *tables, at_least=at_least) == want
+    assert want and found(spark, *tables) == want
+
+
+def test_frequent_chunks_are_extended(spark, monkeypatch):
+    """A third of all rows share hashes, and counts of few rows are hot: all levels and blocks are used, in every batch."""
+    monkeypatch.setattr(history, "MERGE", 2)
+    rng = np.random.default_rng(6)
+    flip = lambda h, n: h ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False))
+    hot = int(rng.integers(0, 2**63))
+    near = [flip(hot, 5) for _ in range(20)]
+    image = lambda k: "|".join(str(flip(near[k % 20], int(rng.integers(0, 3))) if k % 3 == 0 and p < 2 else int(rng.integers(0, 2**63))) for p in range(4))
+    images = [(k, 1, "v", image(k), k // 40) for k in range(160)]
+    images += [(1000 + k, 1, "v", "|".join(str(flip(int(x), 6)) for x in images[k][3].split("|")), 5) for k in range(30)]
+    video = lambda k: "|".join(f"{j}:{j}:{flip(hot, 2) if j == 0 else int(rng.integers(0, 2**63))}" for j in range(1 + k % 4))
+    videos = [(k, 1, "v", video(k), k // 40) for k in range(120)]
+    texts = [(k, 1, f"AgAD{k % 7:03d}abcd{k // 7:05d}", k // 50) for k in range(150)]
+    want = expected(images, videos, texts)
+    assert len(want) > 60 and found(spark, images, videos, texts, frequent=12) == want
 
 
 def test_edges(spark):
@@ -102,16 +117,21 @@ def test_a_third_are_copies(spark):
     rng = np.random.default_rng(2)
     other = ["|".join(map(str, rng.integers(0, 2**63, 4))) for _ in range(200)]
     images = [(k, 1, "v", "7|8|9|10" if k % 3 == 0 else other[k % 200], k // 50) for k in range(600)]
-    assert found(spark, images, at_least=100) == expected(images)
+    assert found(spark, images) == expected(images)
 
 
-def test_given_again_a_batch_replaces_its_part(spark):
+def test_a_history_is_kept_and_a_batch_given_again_replaces_its_part(spark, tmp_path):
     rec = history.records(spark.createDataFrame([(1, 1, "v", "1|2|3|4", 1), (2, 1, "v", "1|2|3|5", 1)], IMAGES))
-    h = history.History(spark)
-    assert [r.rid for r in h.accept(rec, "a").collect()] == [6]
-    h.parts.remove("a")
-    assert [r.rid for r in h.accept(rec, "a").collect()] == [6]
-    assert [r.rid for r in h.accept(history.records(spark.createDataFrame([(9, 1, "v", "1|2|3|4", 2)], IMAGES)), "b").collect()] == [27]
+    h = history.History(spark, str(tmp_path / "h"), buckets=3)
+    for _ in range(2):
+        h.accept(rec, "a")
+        assert [r.rid for r in h.accepted().collect()] == [3]
+    h.forget()
+    again = history.History(spark, str(tmp_path / "h"))
+    again.accept(history.records(spark.createDataFrame([(9, 1, "v", "1|2|3|4", 2), (10, 1, "v", "|".join([str(2**60 - 1)] * 4), 2)], IMAGES)), "b")
+    assert again.buckets == 3 and sorted(r.rid for r in again.accepted().collect()) == [3, 30]
+    again.forget(keep=False)
+    assert not (tmp_path / "h").exists()
 
 
 def test_extra_columns_do_not_clash(spark):
