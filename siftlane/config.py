@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
-from siftlane.functions.settings import DURATION_UNITS, SIZE_UNITS
-
-
-def _scaled(text: object, units: dict, name: str) -> float:
-    m = re.fullmatch(r"([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)", str(text).strip().lower())
-    if not m or m[2] not in units:
-        raise ValueError(f"{name}: {text!r} cannot be read")
-    return float(m[1]) * units[m[2]]
+from siftlane.functions.settings import DURATION_UNITS, SIZE_UNITS, scaled
 
 
 @dataclass(frozen=True)
@@ -49,10 +42,32 @@ class Settings:
             raise ValueError("unknown: " + ", ".join(unknown))
         read: dict[str, object] = {}
         for name, value in values.items():
-            if name.endswith("_seconds"):
-                read[name] = _scaled(value, DURATION_UNITS, name)
-            elif name.endswith("_bytes"):
-                read[name] = int(_scaled(value, SIZE_UNITS, name))
+            if name.endswith(("_seconds", "_bytes")):
+                number = scaled(value, DURATION_UNITS if name.endswith("_seconds") else SIZE_UNITS)
+                if number is None:
+                    raise ValueError(f"{name}: {value!r} cannot be read")
+                read[name] = number if name.endswith("_seconds") else int(number)
             else:
                 read[name] = int(str(value)) if kinds[name] == "int" else float(str(value))
         return replace(self, **read)
+
+    @classmethod
+    def load(cls, path: str | None = None, environment: Mapping[str, str] | None = None, prefix: str = "SIFTLANE_") -> Settings:
+        """Defaults, then the values of a YAML file, then those of the environment (``SIFTLANE_TOP_K`` is top_k).
+
+        A name in the file or, with the prefix, in the environment that is no setting is an error; empty values of the
+        environment count as not given.
+        """
+        values: dict[str, object] = {}
+        if path is not None:
+            try:
+                import yaml
+            except ImportError as e:
+                raise RuntimeError("reading a settings file needs yaml") from e
+            with open(path) as f:
+                values = yaml.safe_load(f) or {}
+            if not isinstance(values, dict):
+                raise ValueError(f"{path} has no mapping of settings")
+        given = os.environ if environment is None else environment
+        values |= {k.removeprefix(prefix).lower(): v for k, v in given.items() if k.startswith(prefix) and v != ""}
+        return cls().with_values(values)

@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.config import Settings
-from siftlane.functions.hashes import image_signature
+from siftlane.functions.hashes import image_signature, video_signature
+from siftlane.functions.vectors import vector_signature
 from siftlane.operators import ingest, matching, progress
+from siftlane.operators.approximate import Parameters, approximate_top_k
+from siftlane.session import cut
 
 
 class Matcher(Protocol):
@@ -54,6 +57,69 @@ class ImageMatcher:
         return matching.image_blocked(items.select("id", "chat_id", "hashes"), stored, self.bits)
 
 
+@dataclass
+class VideoMatcher:
+    """Items with frames (an array of frame_index, position_millis, hash) and a hash_version."""
+
+    bits: int = matching.VIDEO_BITS
+    min_frames: int = matching.MIN_FRAMES
+    min_ratio: float = matching.MIN_RATIO
+    name: str = "videolike"
+    keys: tuple[str, ...] = ("chat_id", "hash_version", "hash_signature")
+
+    def fingerprint(self, items: DataFrame) -> DataFrame:
+        # the stored id is derived, so that the same content has the same id in every run
+        d = items.filter(F.size("frames") > 0).withColumn("hash_signature", video_signature("frames"))
+        return d.select(F.xxhash64("chat_id", "hash_version", "hash_signature").alias("id"), "ban_uid", "chat_id", "hash_version", "frames", "hash_signature")
+
+    def blocked(self, items: DataFrame, stored: DataFrame) -> DataFrame:
+        found = matching.video_matches(items.select("id", "chat_id", "hash_version", "frames"), stored, self.bits, self.min_frames, self.min_ratio)
+        return found.select(F.col("q_id").alias("id")).distinct()
+
+
+@dataclass
+class VectorMatcher:
+    """Items with vectors (an array of frame_index, position_millis, vector), a model_name and a model_revision.
+
+    An item of one frame is blocked by any hit of the score, one of several by enough frames that hit the same ban.
+    """
+
+    score: float = matching.VECTOR_SCORE
+    top_k: int = matching.TOP_K
+    min_frames: int = matching.MIN_FRAMES
+    min_ratio: float = matching.MIN_RATIO
+    parameters: Parameters | None = None
+    name: str = "vector"
+    keys: tuple[str, ...] = ("chat_id", "model_name", "model_revision", "vector_signature")
+
+    def fingerprint(self, items: DataFrame) -> DataFrame:
+        d = items.filter(F.size("vectors") > 0).withColumn("vector_signature", vector_signature("vectors"))
+        return d.select(F.xxhash64("chat_id", "model_name", "model_revision", "vector_signature").alias("id"), "ban_uid", "chat_id", "model_name", "model_revision", "vectors", "vector_signature")
+
+    def hits(self, items: DataFrame, stored: DataFrame) -> DataFrame:
+        """(item_id, frame, ban_id, score): the top hits of each frame."""
+        scope = ("chat_id", "model_name", "model_revision")
+        q = items.select(F.col("id").alias("item_id"), *scope, F.inline("vectors")).withColumn("query_id", F.xxhash64("item_id", "frame_index"))
+        s = stored.select(F.col("id").alias("ban_id"), *scope, F.inline("vectors")).withColumn("frame_id", F.xxhash64("ban_id", "frame_index"))
+        asked = q.select("query_id", *scope, "vector")
+        top = matching.vector_top_k(asked, s, self.top_k) if self.parameters is None else approximate_top_k(asked, s, self.top_k, self.parameters)
+        return top.select("query_id", "ban_id", "score").join(q.select("query_id", "item_id", F.col("frame_index").alias("frame")), "query_id").drop("query_id")
+
+    def blocked(self, items: DataFrame, stored: DataFrame) -> DataFrame:
+        items = items.filter(F.size("vectors") > 0)
+        hits = cut(self.hits(items, stored))
+        checked = items.select(F.col("id").alias("item_id"), F.size("vectors").alias("checked_frames"))
+        return voted(hits, checked, self.score, self.min_frames, self.min_ratio)
+
+
+def voted(hits: DataFrame, checked: DataFrame, score: float = matching.VECTOR_SCORE, min_frames: int = matching.MIN_FRAMES, min_ratio: float = matching.MIN_RATIO) -> DataFrame:
+    """(id) of blocked items: those of one frame by their best hit, those of several by the votes of their frames."""
+    one = checked.filter("checked_frames = 1").select("item_id")
+    single = matching.static_vote(hits.join(one, "item_id", "left_semi"), score).filter("blocked").select("item_id")
+    many = matching.frame_vote(hits, checked.filter("checked_frames > 1"), score, min_frames, min_ratio).select("item_id")
+    return single.unionByName(many).select(F.col("item_id").alias("id")).distinct()
+
+
 class Engine:
     """Matchers in the order in which they are asked, over tables of what each has stored."""
 
@@ -62,12 +128,8 @@ class Engine:
 
     def check(self, items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
         """(id, status, matched_by) of ``items``; each matcher is given only what those before it left."""
-        left, tiers = items, []
-        for m in self.matchers:
-            found = m.blocked(left, self.stored[m.name]).select("id")
-            tiers.append((m.name, found))
-            left = left.join(found, "id", "left_anti")
-        return matching.cascade(items, tiers, errors)
+        ask = lambda m: lambda left: m.blocked(left, self.stored[m.name])
+        return matching.cascade(items, [(m.name, ask(m)) for m in self.matchers], errors)
 
     def ban(self, items: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(parents, events) of ``items`` (ban_uid, chat_id, media_type, file_unique_id, ...); what is new is stored."""
@@ -77,9 +139,11 @@ class Engine:
             self.stored[name] = self.stored[name].unionByName(rows, allowMissingColumns=True)
         return parents, events
 
-    def search(self, queries: DataFrame, vectors: DataFrame) -> DataFrame:
-        """The nearest stored vectors of each query; see ``operators.matching.vector_top_k``."""
-        return matching.vector_top_k(queries, vectors, self.settings.top_k)
+    def search(self, queries: DataFrame, vectors: DataFrame, parameters: Parameters | None = None) -> DataFrame:
+        """The nearest stored vectors of each query: all of them, or by the approximate index if it has ``parameters``."""
+        if parameters is None:
+            return matching.vector_top_k(queries, vectors, self.settings.top_k)
+        return approximate_top_k(queries, vectors, self.settings.top_k, parameters)
 
     def ready(self, checkpoints: DataFrame, consumer: str) -> bool:
         """Whether no index of ``consumer`` is stale; one without a checkpoint counts as fresh."""
@@ -93,6 +157,15 @@ def upload_violation(files: DataFrame, max_files: int, max_bytes: int) -> DataFr
     return d.select("request_id", F.when(F.col("n") > max_files, "too many files").when(F.col("bytes") > max_bytes, "too many bytes").alias("violation"))
 
 
+def request_violation(files: DataFrame) -> DataFrame:
+    """(request_id, violation): requests (request_id, name, length) whose files cannot be embedded; null if they can.
+
+    A request has one file at least, and every file a name and content.
+    """
+    d = files.groupBy("request_id").agg(F.count("length").alias("n"), F.count_if(F.coalesce(F.trim("name") == "", F.lit(True)) & F.col("length").isNotNull()).alias("nameless"), F.count_if(F.col("length") == 0).alias("empty"))
+    return d.select("request_id", F.when(F.col("n") == 0, "no files").when(F.col("nameless") > 0, "a file without a name").when(F.col("empty") > 0, "an empty file").alias("violation"))
+
+
 def embedder(load: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> Callable[[Column | str], Column]:
     """A column function from image bytes to unit vectors; ``load`` runs once a worker and gives the model.
 

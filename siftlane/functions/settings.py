@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,21 +14,30 @@ SIZE_UNITS = {"": 1, "b": 1, "kb": 1000, "mb": 1000**2, "gb": 1000**3, "kib": 10
 VIDEO_EXTENSIONS = (".mp4", ".webm", ".mov", ".mkv")
 
 
-def _scaled(text: Column, units: dict, pattern: str) -> Column:
-    t = F.lower(F.trim(text))
-    unit = F.regexp_extract(t, pattern, 2)
+_NUMBER = r"^([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)$"
+
+
+def _scaled(text: Column | str, units: dict) -> Column:
+    t = F.lower(F.trim(F.col(text) if isinstance(text, str) else text))
+    unit = F.regexp_extract(t, _NUMBER, 2)
     factor = F.element_at(F.create_map(*(F.lit(x) for pair in units.items() for x in pair)), unit)
-    return F.when(t.rlike(pattern) & unit.isin(list(units)), F.regexp_extract(t, pattern, 1).try_cast("double") * factor)
+    return F.when(t.rlike(_NUMBER) & unit.isin(list(units)), F.regexp_extract(t, _NUMBER, 1).try_cast("double") * factor)
+
+
+def scaled(text: object, units: dict) -> float | None:
+    """The same for a single value on the driver; None for anything that cannot be read."""
+    m = re.fullmatch(_NUMBER, str(text).strip().lower())
+    return float(m[1]) * units[m[2]] if m and m[2] in units else None
 
 
 def duration_seconds(text: Column | str) -> Column:
     """Seconds of ``10s``, ``500ms``, ``5m``, ``1h`` or a bare number; null for anything else."""
-    return _scaled(F.col(text) if isinstance(text, str) else text, DURATION_UNITS, r"^([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)$")
+    return _scaled(text, DURATION_UNITS)
 
 
 def size_bytes(text: Column | str) -> Column:
     """Bytes of ``256KiB``, ``20MiB``, ``1kb`` or a bare number; null for anything else."""
-    return _scaled(F.col(text) if isinstance(text, str) else text, SIZE_UNITS, r"^([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)$").cast("bigint")
+    return _scaled(text, SIZE_UNITS).cast("bigint")
 
 
 def extension(path: Column | str) -> Column:
@@ -49,6 +60,11 @@ def frame_position(index: Column | str) -> Column:
     return (F.col(index) if isinstance(index, str) else index) * 1000
 
 
+def formatted(template: str, *values: Column | str) -> Column:
+    """A name from a template with ``%s``, as of queues; a template without a place for a value is taken as it is."""
+    return F.format_string(template, *values) if "%" in template else F.lit(template)
+
+
 def derived_uid(*parts: Column | str) -> Column:
     """A reproducible identifier in UUID spelling from the values of ``parts``."""
     h = F.sha2(F.concat_ws("|", *parts), 256)

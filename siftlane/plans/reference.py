@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.engine import voted
 from siftlane.functions import hashes as H
 from siftlane.functions import settings, vectors
 from siftlane.functions.ids import uuid_key
 from siftlane.operators import index, ingest, matching, media, messages, progress
+from siftlane.operators.approximate import approximate_top_k
 from siftlane.plans.data_quality import _UNWRAPPED, _uid
 from siftlane.session import table
 from siftlane.sources import artifacts, outbox
@@ -26,13 +28,13 @@ def _images(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _videos(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = artifacts.videos(table(spark, d, "blocked_video_like"), table(spark, d, "blocked_video_like_frame_hash"))
+    s = artifacts.videos(table(spark, d, "blocked_video_like"), table(spark, d, "blocked_video_like_frame_hash"), table(spark, d, "media_ban"))
     return s.filter(F.col("id") % EVERY == 0), s
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = artifacts.active_vectors(table(spark, d, "stored_vector_frame"), table(spark, d, "vector_ban"))
-    q = s.filter(F.col("ban_id") % EVERY == 0).select(F.col("frame_id").alias("query_id"), "chat_id", "model_name", "model_revision", "vector")
+    q = s.filter(F.col("frame_id") % EVERY == 0).select(F.col("frame_id").alias("query_id"), F.col("ban_id").alias("own_ban"), "chat_id", "model_name", "model_revision", "vector")
     return q, s
 
 
@@ -70,38 +72,55 @@ def video_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def videolike_match(spark: SparkSession, d: str) -> DataFrame:
-    return matching.video_matches(*_videos(spark, d)).withColumn("matched_ratio", F.round("matched_ratio", 9)).withColumn("reported_ratio", F.round("reported_ratio", 9))
+    return matching.video_matches(*_videos(spark, d), itself=False).withColumn("matched_ratio", F.round("matched_ratio", 9)).withColumn("reported_ratio", F.round("reported_ratio", 9))
 
 
 def videolike_first_match(spark: SparkSession, d: str) -> DataFrame:
-    return matching.first_match(matching.video_matches(*_videos(spark, d)))
+    return matching.first_match(matching.video_matches(*_videos(spark, d), itself=False))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return matching.vector_top_k(*_vectors(spark, d))
+    return matching.vector_top_k(*_vectors(spark, d), itself=False)
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    q, s = _vectors(spark, d)
-    top = matching.vector_top_k(q, s)
-    frames = s.select(F.col("frame_id").alias("query_id"), F.col("ban_id").alias("item_id"), F.col("frame_index").alias("frame"))
-    return top.join(frames, "query_id").select("item_id", "frame", "ban_id", "score")
+def vector_topk_approximate(spark: SparkSession, d: str) -> DataFrame:
+    return approximate_top_k(*_vectors(spark, d), itself=False)
+
+
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(hits, checked) of the bans whose id is divisible by EVERY as items, against the vectors of all other bans."""
+    s = artifacts.active_vectors(table(spark, d, "stored_vector_frame"), table(spark, d, "vector_ban"))
+    i = s.filter(F.col("ban_id") % EVERY == 0)
+    q = i.select(F.col("frame_id").alias("query_id"), F.col("ban_id").alias("own_ban"), "chat_id", "model_name", "model_revision", "vector")
+    frames = i.select(F.col("frame_id").alias("query_id"), F.col("ban_id").alias("item_id"), F.col("frame_index").alias("frame"))
+    hits = matching.vector_top_k(q, s, itself=False).join(frames, "query_id").select("item_id", "frame", "ban_id", "score")
+    return hits, i.groupBy(F.col("ban_id").alias("item_id")).agg(F.count(F.lit(1)).alias("checked_frames"))
 
 
 def vector_static_vote(spark: SparkSession, d: str) -> DataFrame:
-    return matching.static_vote(_hits(spark, d))
+    return matching.static_vote(_items(spark, d)[0])
 
 
 def vector_frame_vote(spark: SparkSession, d: str) -> DataFrame:
-    q, s = _vectors(spark, d)
-    checked = s.join(q.select(F.col("query_id").alias("frame_id")), "frame_id", "left_semi").groupBy(F.col("ban_id").alias("item_id")).agg(F.count(F.lit(1)).alias("checked_frames"))
-    return matching.frame_vote(_hits(spark, d), checked)
+    return matching.frame_vote(*_items(spark, d))
 
 
 def matcher_cascade(spark: SparkSession, d: str) -> DataFrame:
-    q, s = _images(spark, d)
-    i = table(spark, d, "stored_image_hash").filter(F.col("id") % EVERY == 0).select("id", "chat_id", "file_unique_id").dropDuplicates(["id"])
-    return matching.cascade(i, [("exact", matching.exact_blocked(i, table(spark, d, "media_ban").filter("active"))), ("imagehash", matching.image_blocked(q, s, itself=False))])
+    """Media files (chat_id, file_unique_id) of every 50th image, video and vector ban through all four matchers.
+
+    An item has the fingerprints that its record has; a record does not match itself.
+    """
+    pick = lambda t, kind, *c: table(spark, d, t).filter(F.col("id") % EVERY == 0).select(F.concat(F.lit(kind), F.col("id")).alias("id"), F.col("id").alias("key"), "chat_id", "file_unique_id", *c).dropDuplicates(["id"])
+    files = [pick("stored_image_hash", "i"), pick("blocked_video_like", "v"), pick("vector_ban", "f")]
+    named = lambda ids, kind, column="id": ids.select(F.concat(F.lit(kind), F.col(column)).alias("id"))
+    hits, checked = _items(spark, d)
+    tiers = [
+        ("exact", lambda left: matching.exact_blocked(left, table(spark, d, "media_ban").filter("active"))),
+        ("imagehash", lambda left: named(matching.image_blocked(*_images(spark, d), itself=False), "i")),
+        ("videolike", lambda left: named(matching.video_matches(*_videos(spark, d), itself=False).select("q_id").distinct(), "v", "q_id")),
+        ("vector", lambda left: named(voted(hits, checked), "f")),
+    ]
+    return matching.cascade(files[0].unionByName(files[1]).unionByName(files[2]), tiers)
 
 
 def media_routing(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +135,11 @@ def limit_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = table(spark, d, "blocked_image").filter("hash_signature is not null").select("id", "chat_id", "hash_version", H.image_signature(H.hashes_of("hash_signature")).alias("signature"), "batch_no").dropDuplicates(["id"])
-    return b.filter("batch_no = 24").drop("batch_no"), b.filter("batch_no < 24").drop("batch_no")
+    # the last batch is the new one; a row without a batch comes after all
+    b = b.withColumn("batch_no", F.coalesce("batch_no", F.lit(2**31 - 1)))
+    last = b.agg(F.max("batch_no").alias("last"))
+    marked = b.join(F.broadcast(last))  # one row
+    return marked.filter("batch_no = last").drop("batch_no", "last"), marked.filter("batch_no < last").drop("batch_no", "last")
 
 
 def ingest_insert_or_get(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +243,7 @@ def setting_texts(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.round(settings.duration_seconds("duration"), 6).alias("seconds"), settings.size_bytes("size").alias("bytes"), settings.frame_name("event_id").alias("frame"))
 
 
-QUERIES = {f.__name__: f for f in (exact_active_scan, exact_block_semi, imagehash_radius_semi, imagehash_min_distance, imagehash_fold, imagehash_signature_dedupe, video_fold, videolike_match, videolike_first_match, vector_topk, vector_static_vote, vector_frame_vote, matcher_cascade, media_routing, limit_check, ingest_insert_or_get, ingest_insert_if_absent, ingest_orphan_delete, deactivate_cascade, manifest_upsert, outbox_load_after, outbox_unwrap, outbox_backlog, event_artifact_join, checkpoint_advance, checkpoint_fresh, active_vector_count, index_apply_status, vector_blob_roundtrip, vector_signatures, http_metrics_histogram, message_targets, setting_texts)}
+QUERIES = {f.__name__: f for f in (exact_active_scan, exact_block_semi, imagehash_radius_semi, imagehash_min_distance, imagehash_fold, imagehash_signature_dedupe, video_fold, videolike_match, videolike_first_match, vector_topk, vector_topk_approximate, vector_static_vote, vector_frame_vote, matcher_cascade, media_routing, limit_check, ingest_insert_or_get, ingest_insert_if_absent, ingest_orphan_delete, deactivate_cascade, manifest_upsert, outbox_load_after, outbox_unwrap, outbox_backlog, event_artifact_join, checkpoint_advance, checkpoint_fresh, active_vector_count, index_apply_status, vector_blob_roundtrip, vector_signatures, http_metrics_histogram, message_targets, setting_texts)}
 
 _ACTIVE = f"act AS (SELECT DISTINCT {_uid('ban_uid')} AS ban_uid FROM media_ban WHERE active AND ban_uid <> '')"
 # hashes of a signature as unsigned numbers, in order
@@ -229,19 +252,22 @@ _SIG = f"array_to_string(list_transform({_HS}, lambda h: h::VARCHAR), '|')"
 _UNSIGNED = "(CASE WHEN {0} < 0 THEN {0}::HUGEINT + 18446744073709551616 ELSE {0}::HUGEINT END)"
 _DIST = """h AS (SELECT DISTINCT id, chat_id, h FROM (SELECT id, chat_id, unnest(hashes) AS h FROM stored_image_hash) WHERE h IS NOT NULL),
 dist AS (SELECT q.id, min(bit_count(xor(q.h, s.h))::INT) AS distance FROM h q JOIN h s ON q.chat_id = s.chat_id AND q.id <> s.id WHERE q.id % 50 = 0 GROUP BY q.id)"""
-_V = """fr AS (SELECT DISTINCT video_like_id AS id, frame_index, position_millis, hash FROM blocked_video_like_frame_hash WHERE hash IS NOT NULL),
-v AS (SELECT DISTINCT b.id, b.chat_id, b.hash_version, frame_index, position_millis, hash, count(*) OVER (PARTITION BY b.id) AS n FROM (SELECT DISTINCT id, chat_id, source_type, duration_sec, hash_version FROM blocked_video_like) b JOIN fr USING (id)),
-m AS (SELECT q.id AS q_id, s.id AS s_id, q.n AS nq, s.n AS ns, count(DISTINCT (q.frame_index, q.position_millis, q.hash))::INT AS matched_frames FROM v q JOIN v s ON q.chat_id = s.chat_id AND q.hash_version = s.hash_version AND bit_count(xor(q.hash, s.hash)) <= 12 WHERE q.id % 50 = 0 GROUP BY ALL),
+_V = f"""{_ACTIVE},
+fr AS (SELECT DISTINCT video_like_id AS id, frame_index, position_millis, hash FROM blocked_video_like_frame_hash WHERE hash IS NOT NULL),
+v AS (SELECT DISTINCT b.id, b.chat_id, b.hash_version, frame_index, position_millis, hash, count(*) OVER (PARTITION BY b.id) AS n FROM (SELECT DISTINCT id, chat_id, source_type, duration_sec, hash_version FROM blocked_video_like WHERE {_uid('ban_uid')} IN (SELECT ban_uid FROM act)) b JOIN fr USING (id)),
+m AS (SELECT q.id AS q_id, s.id AS s_id, q.n AS nq, s.n AS ns, count(DISTINCT (q.frame_index, q.position_millis, q.hash))::INT AS matched_frames FROM v q JOIN v s ON q.chat_id = s.chat_id AND q.hash_version = s.hash_version AND q.id <> s.id AND bit_count(xor(q.hash, s.hash)) <= 12 WHERE q.id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, greatest(2, ceil(0.4 * least(nq, ns))::INT) AS required FROM m),
 ok AS (SELECT * FROM r WHERE matched_frames >= required AND least(nq, ns) >= required)"""
-_VEC = """fr AS (SELECT DISTINCT ON (id) id AS frame_id, ban_id, frame_index, vector FROM stored_vector_frame),
-b AS (SELECT DISTINCT ON (id) id AS ban_id, chat_id, model_name, model_revision, vector_dim FROM vector_ban WHERE active),
-u AS (SELECT frame_id, ban_id, chat_id, model_name, model_revision, frame_index, list_transform(vector, lambda x: x::DOUBLE) AS v FROM fr JOIN b USING (ban_id)
+_VEC = """vf AS (SELECT DISTINCT ON (id) id AS frame_id, ban_id, frame_index, vector FROM stored_vector_frame),
+vb AS (SELECT DISTINCT ON (id) id AS ban_id, chat_id, model_name, model_revision, vector_dim FROM vector_ban WHERE active),
+u AS (SELECT frame_id, ban_id, chat_id, model_name, model_revision, frame_index, list_transform(vector, lambda x: x::DOUBLE) AS v FROM vf JOIN vb USING (ban_id)
   WHERE vector IS NOT NULL AND len(vector) = vector_dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
-_TOP = f"""{_VEC}, uu AS (SELECT *, sqrt(list_inner_product(v, v)) AS nrm FROM u),
-sc AS (SELECT q.frame_id AS query_id, q.ban_id AS item_id, q.frame_index AS frame, s.ban_id, s.frame_index, s.frame_id, round(list_inner_product(q.v, s.v) / (q.nrm * s.nrm), 6) AS score FROM uu q JOIN uu s USING (chat_id, model_name, model_revision) WHERE q.ban_id % 50 = 0),
+_TOP = _VEC + """, uu AS (SELECT *, sqrt(list_inner_product(v, v)) AS nrm FROM u),
+sc AS (SELECT q.frame_id AS query_id, q.ban_id AS item_id, q.frame_index AS frame, s.ban_id, s.frame_index, s.frame_id, round(list_inner_product(q.v, s.v) / (q.nrm * s.nrm), 6) AS score FROM uu q JOIN uu s USING (chat_id, model_name, model_revision) WHERE q.ban_id <> s.ban_id AND q.{0} % 50 = 0),
 top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ban_id, frame_index, frame_id) <= 5)"""
-_BATCH = f"b AS (SELECT DISTINCT id, chat_id, hash_version, {_SIG} AS signature, batch_no FROM blocked_image WHERE hash_signature IS NOT NULL)"
+_ITEMS = f"""{_TOP.format("ban_id")}, chk AS (SELECT ban_id AS item_id, count(*) AS n FROM u WHERE ban_id % 50 = 0 GROUP BY ban_id),
+vt AS (SELECT item_id, ban_id, count(DISTINCT frame) AS frames FROM top WHERE score >= 0.92 GROUP BY ALL)"""
+_BATCH = f"b AS (SELECT DISTINCT id, chat_id, hash_version, {_SIG} AS signature, coalesce(batch_no, 2147483647) AS batch_no FROM blocked_image WHERE hash_signature IS NOT NULL), l AS (SELECT max(batch_no) AS z FROM b)"
 _PARENT = f"p AS (SELECT DISTINCT {_uid('ban_uid')} AS ban_uid, active, deactivated_at FROM media_ban)"
 
 SQL = {
@@ -254,14 +280,16 @@ SQL = {
     "video_fold": f"WITH {_V} SELECT id, string_agg(concat_ws(':', frame_index, position_millis, {_UNSIGNED.format('hash')}), '|' ORDER BY frame_index, position_millis NULLS FIRST, hash) AS signature FROM v GROUP BY id",
     "videolike_match": f"WITH {_V} SELECT q_id, s_id, matched_frames, round(matched_frames / least(nq, ns), 9) AS matched_ratio, required AS reported_frames, round(required / least(nq, ns), 9) AS reported_ratio FROM ok",
     "videolike_first_match": f"WITH {_V} SELECT q_id, min(s_id) AS s_id FROM ok GROUP BY q_id",
-    "vector_topk": f"WITH {_TOP} SELECT query_id, ban_id, frame_index, frame_id, score FROM top",
-    "vector_static_vote": f"WITH {_TOP} SELECT item_id, max(score) >= 0.92 AS blocked FROM top GROUP BY item_id",
-    "vector_frame_vote": f"WITH {_TOP}, chk AS (SELECT item_id, count(DISTINCT query_id) AS n FROM top GROUP BY item_id), vt AS (SELECT item_id, ban_id, count(DISTINCT frame) AS frames FROM top WHERE score >= 0.92 GROUP BY ALL) SELECT item_id, ban_id, frames FROM vt JOIN chk USING (item_id) WHERE frames >= 2 AND frames / n >= 0.4",
-    "matcher_cascade": f"WITH {_DIST}, i AS (SELECT DISTINCT id, chat_id, file_unique_id FROM stored_image_hash WHERE id % 50 = 0), x AS (SELECT i.id, file_unique_id <> '' AND EXISTS (SELECT 1 FROM media_ban m WHERE m.active AND m.chat_id = i.chat_id AND m.file_unique_id = i.file_unique_id) AS ex, coalesce(distance <= 12, false) AS im FROM i LEFT JOIN dist USING (id)) SELECT id, CASE WHEN ex OR im THEN 'blocked' ELSE 'clean' END AS status, CASE WHEN ex THEN 'exact' WHEN im THEN 'imagehash' END AS matched_by FROM x",
+    "vector_topk": f"WITH {_TOP.format('frame_id')} SELECT query_id, ban_id, frame_index, frame_id, score FROM top",
+    # every tenant of the test tables is small enough to be searched exactly
+    "vector_topk_approximate": f"WITH {_TOP.format('frame_id')} SELECT query_id, ban_id, frame_index, frame_id, score FROM top",
+    "vector_static_vote": f"WITH {_ITEMS} SELECT item_id, max(score) >= 0.92 AS blocked FROM top GROUP BY item_id",
+    "vector_frame_vote": f"WITH {_ITEMS} SELECT item_id, ban_id, frames FROM vt JOIN chk USING (item_id) WHERE frames >= 2 AND frames / n >= 0.4",
+    "matcher_cascade": f"WITH {_V}, {_DIST}, {_ITEMS}, i AS (SELECT DISTINCT ON (id) 'i' || id AS id, id AS key, chat_id, file_unique_id FROM stored_image_hash WHERE id % 50 = 0 UNION ALL SELECT DISTINCT ON (id) 'v' || id, id, chat_id, file_unique_id FROM blocked_video_like WHERE id % 50 = 0 UNION ALL SELECT DISTINCT ON (id) 'f' || id, id, chat_id, file_unique_id FROM vector_ban WHERE id % 50 = 0), vec AS (SELECT item_id FROM top JOIN chk USING (item_id) WHERE n = 1 AND score >= 0.92 UNION SELECT item_id FROM vt JOIN chk USING (item_id) WHERE n > 1 AND frames >= 2 AND frames / n >= 0.4), x AS (SELECT id, CASE WHEN file_unique_id <> '' AND EXISTS (SELECT 1 FROM media_ban m WHERE m.active AND m.chat_id = i.chat_id AND m.file_unique_id = i.file_unique_id) THEN 'exact' WHEN id LIKE 'i%' AND key IN (SELECT id FROM dist WHERE distance <= 12) THEN 'imagehash' WHEN id LIKE 'v%' AND key IN (SELECT q_id FROM ok) THEN 'videolike' WHEN id LIKE 'f%' AND key IN (SELECT item_id FROM vec) THEN 'vector' END AS matched_by FROM i) SELECT id, CASE WHEN matched_by IS NULL THEN 'clean' ELSE 'blocked' END AS status, matched_by FROM x",
     "media_routing": f"SELECT DISTINCT {_uid('ban_uid')} AS ban_uid, media_type, media_type IN ('photo', 'animation', 'sticker_static', 'sticker_animated') AS exact, media_type IN ('photo', 'sticker_static') AND length(file_unique_id) % 2 = 1 AS imagehash, media_type = 'animation' OR media_type = 'sticker_static' AND length(file_unique_id) % 2 = 0 AS videolike, media_type = 'photo' AND length(file_unique_id) % 2 = 1 OR media_type IN ('animation', 'sticker_static') AS vector FROM media_ban",
     "limit_check": "SELECT DISTINCT id, CASE WHEN source_type = 'animation' AND duration_sec > 10 THEN 'animation duration' WHEN source_type = 'animation' AND length(hash_signature) > 20971520 THEN 'animation size' WHEN source_type = 'sticker_static' AND duration_sec > 3 THEN 'sticker duration' WHEN source_type = 'sticker_static' AND length(hash_signature) > 262144 THEN 'sticker size' END AS violation FROM blocked_video_like",
-    "ingest_insert_or_get": f"WITH {_BATCH}, o AS (SELECT chat_id, hash_version, signature, min(id) AS old FROM b WHERE batch_no < 24 GROUP BY ALL), n AS (SELECT *, min(id) OVER (PARTITION BY chat_id, hash_version, signature) AS fresh FROM b WHERE batch_no = 24) SELECT id, coalesce(old, fresh) AS stored_id, old IS NULL AND id = fresh AS created FROM n LEFT JOIN o USING (chat_id, hash_version, signature)",
-    "ingest_insert_if_absent": f"WITH {_BATCH} SELECT min(id) AS id FROM b n WHERE batch_no = 24 AND NOT EXISTS (SELECT 1 FROM b o WHERE batch_no < 24 AND o.chat_id = n.chat_id AND o.hash_version = n.hash_version AND o.signature = n.signature) GROUP BY chat_id, hash_version, signature",
+    "ingest_insert_or_get": f"WITH {_BATCH}, o AS (SELECT chat_id, hash_version, signature, min(id) AS old FROM b WHERE batch_no < (SELECT z FROM l) GROUP BY ALL), n AS (SELECT *, min(id) OVER (PARTITION BY chat_id, hash_version, signature) AS fresh FROM b WHERE batch_no = (SELECT z FROM l)) SELECT id, coalesce(old, fresh) AS stored_id, old IS NULL AND id = fresh AS created FROM n LEFT JOIN o USING (chat_id, hash_version, signature)",
+    "ingest_insert_if_absent": f"WITH {_BATCH} SELECT min(id) AS id FROM b n WHERE batch_no = (SELECT z FROM l) AND NOT EXISTS (SELECT 1 FROM b o WHERE batch_no < (SELECT z FROM l) AND o.chat_id = n.chat_id AND o.hash_version = n.hash_version AND o.signature = n.signature) GROUP BY chat_id, hash_version, signature",
     "ingest_orphan_delete": f"WITH c AS (SELECT {_uid('ban_uid')} AS ban_uid FROM blocked_image UNION SELECT {_uid('ban_uid')} FROM blocked_video_like) SELECT DISTINCT {_uid('ban_uid')} AS ban_uid FROM media_ban WHERE {_uid('ban_uid')} NOT IN (SELECT ban_uid FROM c WHERE ban_uid IS NOT NULL)",
     "deactivate_cascade": f"WITH {_PARENT}, g AS (SELECT DISTINCT {_uid('ban_uid')} AS ban_uid FROM blocked_image WHERE hash_version LIKE '%v0') SELECT p.ban_uid, active AND g.ban_uid IS NULL AS active, strftime(CASE WHEN active AND g.ban_uid IS NOT NULL THEN coalesce(deactivated_at, TIMESTAMP '{NOW}') ELSE deactivated_at END, '%Y-%m-%d %H:%M:%S') AS deactivated FROM p LEFT JOIN g USING (ban_uid)",
     "manifest_upsert": "WITH b AS (SELECT DISTINCT id, model_name, model_revision, vector_dim, active FROM vector_ban), g AS (SELECT model_name, model_revision, vector_dim, count(*) AS n, count(*) FILTER (WHERE active) AS a FROM b GROUP BY ALL) SELECT model_name, model_revision, vector_dim, CASE WHEN model_revision <> 'r1' AND a > 0 THEN a ELSE n END AS bans FROM g",

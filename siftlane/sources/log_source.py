@@ -33,6 +33,7 @@ class OutboxReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.first = {"tx": str(options.get("tx", 0)), "offset": int(options.get("offset", 0))}
+        self.spans: dict[str, tuple[tuple[int, int], tuple[int, int]] | None] = {}
 
     def _files(self) -> list[str]:
         import pyarrow.dataset as ds
@@ -42,22 +43,29 @@ class OutboxReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return self.first
 
-    def latestOffset(self) -> dict:
-        """The largest position there is; row groups whose statistics end before the one known are skipped."""
+    def _span(self, file: str):
+        """The first and last position of a file, which is read once: a file of the log does not change."""
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        best = (int(self.first["tx"]), self.first["offset"])
-        for file in self._files():
-            t = pq.read_table(file, columns=["transaction_id", "log_offset"], filters=_after(best))
-            if t.num_rows:
-                tx = pc.max(t.column("transaction_id")).as_py()
-                best = (int(tx), pc.max(t.filter(pc.equal(t.column("transaction_id"), tx)).column("log_offset")).as_py())
+        if file not in self.spans:
+            t = pq.read_table(file, columns=["transaction_id", "log_offset"])
+            ends = []
+            for of in (pc.min, pc.max) if t.num_rows else ():
+                tx = of(t.column("transaction_id")).as_py()
+                ends.append((int(tx), of(t.filter(pc.equal(t.column("transaction_id"), tx)).column("log_offset")).as_py()))
+            self.spans[file] = tuple(ends) or None
+        return self.spans[file]
+
+    def latestOffset(self) -> dict:
+        """The largest position there is; only files that have come since the last call are looked into."""
+        ends = [s[1] for s in map(self._span, self._files()) if s]
+        best = max([(int(self.first["tx"]), self.first["offset"]), *ends])
         return {"tx": str(best[0]), "offset": best[1]}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         a, z = ((int(x["tx"]), int(x["offset"])) for x in (start, end))
-        return [Range(f, a, z) for f in self._files()]
+        return [Range(f, a, z) for f in self._files() if (s := self._span(f)) and s[1] > a and s[0] <= z]
 
     def read(self, partition: Range) -> Iterator:
         import pyarrow.parquet as pq

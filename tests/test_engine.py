@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlane.config import Settings
-from siftlane.engine import Engine, ExactMatcher, ImageMatcher, byte_histogram, embedder, upload_violation
+from siftlane.engine import Engine, ExactMatcher, ImageMatcher, VectorMatcher, VideoMatcher, byte_histogram, embedder, request_violation, upload_violation
 from siftlane.operators import index
 from siftlane.sources.log_source import OutboxSource
 
@@ -46,12 +46,92 @@ def test_embedding(spark):
     assert r[2] is None and np.allclose(r[0], r[1]) and abs(float(np.dot(r[3], r[3])) - 1) < 1e-6
 
 
-def test_manifest(spark, tmp_path):
+VECTORS = "frame_id BIGINT, ban_id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, frame_index INT, vector ARRAY<FLOAT>"
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "index")
+    v = spark.createDataFrame([(k, k // 2, k % 3, "m", "r", k % 2, [float(k + 1), 1.0]) for k in range(20)], VECTORS)
+    first, rebuilt = index.load_or_rebuild(spark, v, path)
+    assert rebuilt and first.count() == 20 and abs(sum(x * x for x in first.first().vector) - 1) < 1e-9
+    again, rebuilt = index.load_or_rebuild(spark, v.orderBy(F.desc("frame_id")), path)
+    assert not rebuilt and again.count() == 20
+    _, rebuilt = index.load_or_rebuild(spark, v.filter("frame_id < 19"), path)
+    assert rebuilt and index.read_manifest(spark, path)["count"] == 19
+    # rows that were lost, or a writer that stopped before its manifest, are noticed
+    stored = index.read_manifest(spark, path)
+    victim = next((tmp_path / "index" / stored["version"]).rglob("*.parquet"))
+    victim.unlink()
+    assert index.verified(spark, path, stored) is None
+    (tmp_path / "index" / "version-stopped").mkdir()
+    whole, rebuilt = index.load_or_rebuild(spark, v, path)
+    assert rebuilt and whole.count() == 20 and not (tmp_path / "index" / "version-stopped").exists()
+    with pytest.raises(ValueError):
+        index.load_or_rebuild(spark, v.unionByName(v.limit(1).withColumn("vector", F.array(F.lit(1.0).cast("float")))), path)
+
+
+def test_manifest_versions(spark, tmp_path):
     path = str(tmp_path)
     assert index.read_manifest(spark, path) is None
-    for k in (1, 2):
+    for k in range(5):
         index.publish(spark, path, {"count": k})
         assert index.read_manifest(spark, path) == {"count": k}
+    assert len(list((tmp_path / "manifest").glob("*.version"))) == 3
+
+
+def test_compensation():
+    log = []
+
+    class Rows(list):
+        def filter(self, _):
+            return Rows(r for r in self if r[1])
+
+    store = lambda new: Rows([(1, True), (2, False)])
+    assert index.add_with_compensation(None, store, lambda c: log.append(("index", list(c))), None) == [(1, True)]
+
+    def down(_):
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError):
+        index.add_with_compensation(None, store, down, lambda c: log.append(("undo", list(c))))
+    assert log == [("index", [(1, True)]), ("undo", [(1, True)])]
+
+
+FRAME = "ARRAY<STRUCT<frame_index: INT, position_millis: INT, {}>>"
+
+
+def test_all_four_tiers(spark):
+    schema = f"id BIGINT, ban_uid STRING, chat_id BIGINT, media_type STRING, file_unique_id STRING, hashes ARRAY<BIGINT>, hash_version STRING, frames {FRAME.format('hash: BIGINT')}, model_name STRING, model_revision STRING, vectors {FRAME.format('vector: ARRAY<FLOAT>')}"
+    film = lambda *h: [(k, k * 1000, x) for k, x in enumerate(h)]
+    shots = lambda *v: [(k, k * 1000, [float(y) for y in x]) for k, x in enumerate(v)]
+    row = lambda id_, file="", hashes=None, frames=None, vectors=None: (id_, f"u{id_}", 10, "photo", file, hashes, "w1", frames, "m", "r", vectors)
+    far = 0x0F0F_0F0F_0F0F_0F0F
+    bans = spark.createDataFrame([row(1, "f"), row(2, "g", [7]), row(3, "h", None, film(1, far)), row(4, "i", None, None, shots([1, 0], [0, 1])), row(5, "j", None, None, shots([-1, 0]))], schema)
+    empty = lambda m: spark.createDataFrame([], m.fingerprint(bans).schema)
+    matchers = [ExactMatcher(), ImageMatcher(bits=2), VideoMatcher(bits=2), VectorMatcher()]
+    e = Engine(matchers, {m.name: empty(m) for m in matchers})
+    parents, _ = e.ban(bans)
+    assert parents.count() == 5
+    seen = [row(1, "f", [7]), row(2, "x", [7]), row(3, "y", None, film(far, 1, 5)), row(4, "z", None, None, shots([1, 0.01], [0.01, 1], [9, 9])), row(5, "z", None, None, shots([-1, 0.01])), row(6, "z", None, film(far), shots([1, 0], [-1, 1])), row(7, "z", [far], film(2), None)]
+    errors = spark.createDataFrame([(2, "exact"), (7, "videolike"), (3, "vector")], "id BIGINT, tier STRING")
+    got = {r.id: (r.status, r.matched_by) for r in e.check(spark.createDataFrame(seen, schema), errors).collect()}
+    assert got == {1: ("blocked", "exact"), 2: ("error", "exact"), 3: ("blocked", "videolike"), 4: ("blocked", "vector"), 5: ("blocked", "vector"), 6: ("clean", None), 7: ("error", "videolike")}
+
+
+def test_settings_of_a_file_and_the_environment(tmp_path):
+    f = tmp_path / "s.yaml"
+    f.write_text("top_k: 7\nsticker_bytes: 2kb\n")
+    s = Settings.load(str(f), {"SIFTLANE_TOP_K": "9", "SIFTLANE_MIN_FRAMES": "", "OTHER": "1"})
+    assert (s.top_k, s.sticker_bytes, s.min_frames) == (9, 2000, 2)
+    for text, env in (("nope: 1", {}), ("- 1", {}), ("", {"SIFTLANE_NOPE": "1"})):
+        f.write_text(text)
+        with pytest.raises(ValueError):
+            Settings.load(str(f), env)
+
+
+def test_requests(spark):
+    d = spark.createDataFrame([(1, "a", 5), (2, "", 5), (3, "b", 0), (4, None, None)], "request_id INT, name STRING, length BIGINT")
+    assert {r.request_id: r.violation for r in request_violation(d).collect()} == {1: None, 2: "a file without a name", 3: "an empty file", 4: "no files"}
 
 
 def test_log_source(spark, tmp_path):

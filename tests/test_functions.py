@@ -107,3 +107,60 @@ def test_files_are_bounded(spark, tmp_path):
     (tmp_path / "small.bin").write_bytes(b"abc")
     (tmp_path / "large.bin").write_bytes(b"x" * 100)
     assert [r.length for r in media.files(spark, str(tmp_path), 10).collect()] == [3]
+
+
+def png(width, height, value):
+    import struct
+    import zlib
+
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes([value]) * width for _ in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+GIF = bytes.fromhex("47494638396101000100800000000000ffffff2c00000000010001000002024401003b")
+JPEG = b"\xff\xd8\xff\xe0\x00\x10JFIF" + b"\0" * 10 + b"\xff\xc0\x00\x11\x08\x00\x30\x00\x40\x03" + b"\0" * 20
+WEBP = {
+    "x": b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"),
+    "l": b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + (99 | 49 << 14).to_bytes(4, "little") + b"\0" * 8,
+    "p": b"RIFF\0\0\0\0WEBPVP8 " + b"\0" * 7 + b"\x9d\x01\x2a" + (100).to_bytes(2, "little") + (50).to_bytes(2, "little"),
+}
+
+
+def test_images_of_all_kinds(spark, tmp_path):
+    for name, data in {"a.png": png(5, 4, 9), "big.png": png(50, 40, 9), "b.gif": GIF, "c.jpg": JPEG, "d.webp": WEBP["x"] + b"\0" * 9, "e.txt": b"none"}.items():
+        (tmp_path / name).write_bytes(data)
+    assert [media._size_of(w + b"\0" * 9) for w in WEBP.values()] == [("webp", 100, 50)] * 3
+    got = {r.path.rsplit("/", 1)[1]: r for r in media.images(spark, str(tmp_path), max_pixels=1999 * 4).collect()}
+    sizes = {n: (r.kind, r.width, r.height, r.problem) for n, r in got.items()}
+    assert sizes == {"a.png": ("png", 5, 4, None), "big.png": ("png", 50, 40, None), "b.gif": ("gif", 1, 1, None), "c.jpg": ("jpeg", 64, 48, "not decoded"), "d.webp": ("webp", 100, 50, "not decoded"), "e.txt": (None, None, None, "unknown kind")}
+    assert set(got["a.png"].pixels) == {9} and got["d.webp"].pixels is None
+    decode = lambda x: (100, 50, 1, b"\1" * 5000) if x[8:12] == b"WEBP" else None
+    got = {r.path.rsplit("/", 1)[1]: r for r in media.images(spark, str(tmp_path), 5000, decode).collect()}
+    assert got["d.webp"].problem is None and len(got["d.webp"].pixels) == 5000 and got["a.png"].problem == "not decoded"
+    assert {n: r.problem for n, r in got.items() if n == "big.png"} == {"big.png": "not decoded"}
+    heads = {r.path.rsplit("/", 1)[1]: r.problem for r in media.image_headers(spark, str(tmp_path), max_bytes=10_000, max_pixels=1000).collect()}
+    assert heads["big.png"] == heads["d.webp"] == heads["c.jpg"] == "too many pixels" and heads["a.png"] is None
+    assert media.image_headers(spark, str(tmp_path), max_bytes=3).filter("problem = 'too many bytes'").count() == 6
+
+
+def test_resizing():
+    assert media.contained(640, 480) == (320, 240) and media.contained(10, 40) == (80, 320)
+    flat = media.resized(np.full((30, 20, 3), 77, np.uint8), 8, 12)
+    assert flat.shape == (12, 8, 3) and (flat == 77).all()
+    ramp = media.resized(np.repeat(np.arange(0, 200, 10, dtype=np.uint8)[None, :, None], 4, 0), 10, 2)[0, :, 0].astype(int)
+    assert (np.diff(ramp) > 0).all() and abs(ramp[0] - 5) <= 4
+
+
+def test_lengths_and_names(spark):
+    d = spark.createDataFrame([(1, 2, 3, 4), (9, 2, 3, 4), (None, None, 3, 9), (8, None, None, None)], "a INT, b INT, c INT, d INT")
+    assert [r[0] for r in d.select(media.length_violation("a", "b", "c", "d", 8)).collect()] == [None, "declared length", "actual length", None]
+    assert spark.range(1).select(settings.formatted("queue.%s.x", F.lit("r1")), settings.formatted("plain")).first() == ("queue.r1.x", "plain")
+
+
+def test_vectors_that_cannot_be_normalised_are_an_error(spark):
+    d = spark.createDataFrame([([3.0, 4.0],)], "v ARRAY<FLOAT>")
+    assert d.select(vectors.checked_unit("v", 2)).first()[0] == [0.6, 0.8]
+    for bad in ([0.0, 0.0], [1.0], [1.0, float("nan")]):
+        with pytest.raises(Exception, match="vector"):
+            spark.createDataFrame([(bad,)], "v ARRAY<FLOAT>").select(vectors.checked_unit("v", 2)).collect()

@@ -1,14 +1,14 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlane.operators import matching, media
+from siftlane.operators import approximate, matching, media
 
-V = "frames-v1"
 FRAMES = "id BIGINT, chat_id BIGINT, hash_version STRING, frames ARRAY<STRUCT<frame_index: INT, position_millis: INT, hash: BIGINT>>"
 
 
-def video(id_, hashes, chat=10, version=V):
-    return (id_, chat, version, [(k, 1000 * k, h) for k, h in enumerate(hashes)])
+def video(id_, hashes, chat=3, version="w1"):
+    return (id_, chat, version, [(k, 250 * k, h) for k, h in enumerate(hashes)])
 
 
 def test_exact(spark):
@@ -18,32 +18,47 @@ def test_exact(spark):
     assert matching.exact_blocked(items, block.limit(0)).count() == 0
 
 
+IMAGES = "id BIGINT, chat_id BIGINT, hashes ARRAY<BIGINT>"
+
+
 def test_images(spark):
-    s = spark.createDataFrame([(7, 10, [0x1111]), (8, 10, None), (9, 10, [])], "id BIGINT, chat_id BIGINT, hashes ARRAY<BIGINT>")
-    q = spark.createDataFrame([(1, 10, [0x1111]), (2, 20, [0x1111]), (3, 10, [0x1110]), (4, 10, None), (5, 10, [None, 0x1111])], "id BIGINT, chat_id BIGINT, hashes ARRAY<BIGINT>")
+    s = spark.createDataFrame([(70, 5, [0b1010_0101]), (71, 5, None), (72, 5, []), (73, None, [1])], IMAGES)
+    q = spark.createDataFrame([(1, 5, [0b1010_0101]), (2, 6, [0b1010_0101]), (3, 5, [0b1010_0111]), (4, 5, None), (5, 5, [None, 0b1010_0101]), (6, None, [1])], IMAGES)
     ids = lambda **k: {r.id for r in matching.image_blocked(q, s, **k).collect()}
     assert ids(bits=0) == {1, 5} and ids(bits=1) == {1, 3, 5}
     assert {(r.id, r.distance) for r in matching.image_distances(q, s).collect()} == {(1, 0), (3, 1), (5, 0)}
     assert matching.image_blocked(s, s, itself=False).count() == 0
 
 
-@pytest.mark.parametrize(
-    ("stored", "query", "ratio", "want"),
-    [
-        (video(42, [0x1111, 0x2222, 0xBBBB, 0xCCCC]), video(1, [0x1111, 0x2222, 0x3333, 0x4444]), 0.4, [(42, 2, 0.5)]),
-        (video(42, [0x1111, 0x2222]), video(1, [0x1111, 0x2222], chat=20), 0.4, []),
-        (video(42, [0x1111, 0xAAAA, 0xBBBB, 0xCCCC]), video(1, [0x1111, 0x2222, 0x3333, 0x4444]), 0.4, []),
-        (video(42, [0x1111, 0x2222, 0xBBBB, 0xCCCC]), video(1, [0x1111, 0x2222, 0x3333, 0x4444]), 0.75, []),
-        (video(42, [0x1111, 0x2222], version="other"), video(1, [0x1111, 0x2222]), 0.4, []),
-        (video(42, [0x1111]), video(1, [0x1111]), 0.4, []),
-        (video(42, []), video(1, []), 0.4, []),
-        (video(42, [0x1111, 0x1111]), video(1, [0x1111, 0x1111]), 0.4, [(42, 2, 1.0)]),
-    ],
-)
-def test_videos(spark, stored, query, ratio, want):
-    q, s = spark.createDataFrame([query], FRAMES), spark.createDataFrame([stored, stored], FRAMES)
-    got = matching.video_matches(q, s, bits=0, min_ratio=ratio).collect()
-    assert [(r.s_id, r.matched_frames, r.matched_ratio) for r in got] == want
+def brute_videos(q, s, bits, ratio, least=2):
+    """The rule, pair by pair and frame by frame."""
+    out = set()
+    for i, chat, version, frames in q:
+        for j, chat_, version_, frames_ in s:
+            if (chat, version) != (chat_, version_) or not frames or not frames_:
+                continue
+            near = sum(any(((f[2] ^ g[2]) & (2**64 - 1)).bit_count() <= bits for g in frames_) for f in frames)
+            small = min(len(frames), len(frames_))
+            need = max(least, int(np.ceil(ratio * small)))
+            if near >= need and small >= need:
+                out.add((i, j, near, near / small))
+    return out
+
+
+@pytest.mark.parametrize(("cell", "step"), [(20_000, 4_000_000), (3, 5)])
+def test_videos_against_the_rule(spark, monkeypatch, cell, step):
+    """Random videos of 0 to 9 frames from few hashes, in two chats and versions; cells and steps of few rows, too."""
+    monkeypatch.setattr(matching, "CELL", cell)
+    monkeypatch.setattr(matching, "STEP", step)
+    rng = np.random.default_rng(12)
+    pool = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
+    make = lambda k: video(k, [pool[int(rng.integers(0, 6))] ^ int(1 << rng.integers(0, 60)) for _ in range(int(rng.integers(0, 10)))], int(rng.integers(1, 3)), f"w{int(rng.integers(1, 3))}")
+    q, s = [make(k) for k in range(12)], [make(100 + k) for k in range(25)]
+    for bits, ratio in ((0, 0.3), (2, 0.4), (2, 0.9)):
+        got = matching.video_matches(spark.createDataFrame(q, FRAMES), spark.createDataFrame(s + s[:3], FRAMES), bits=bits, min_ratio=ratio).collect()
+        assert {(r.q_id, r.s_id, r.matched_frames, r.matched_ratio) for r in got} == brute_videos(q, s, bits, ratio)
+        assert len(got) == len({(r.q_id, r.s_id) for r in got})
+    assert matching.video_matches(spark.createDataFrame(s, FRAMES), spark.createDataFrame(s[:1], FRAMES), itself=False).filter("q_id = s_id").count() == 0
 
 
 def test_reported_frames_stop_at_the_rule(spark):
@@ -57,17 +72,65 @@ def test_first_match(spark):
     assert [tuple(r) for r in matching.first_match(matching.video_matches(q, s, bits=0)).collect()] == [(1, 3)]
 
 
+STORED = "frame_id BIGINT, ban_id BIGINT, frame_index INT, chat_id BIGINT, model_name STRING, model_revision STRING, vector ARRAY<FLOAT>"
+ASKED = "query_id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, vector ARRAY<FLOAT>"
+
+
 def test_top_k(spark):
-    s = spark.createDataFrame([(1, 7, 0, 10, "m", "r", [1.0, 0.0, 0.0]), (2, 7, 1, 10, "m", "r", [0.0, 1.0, 0.0]), (3, 8, 0, 20, "m", "r", [1.0, 0.0, 0.0])], "frame_id BIGINT, ban_id BIGINT, frame_index INT, chat_id BIGINT, model_name STRING, model_revision STRING, vector ARRAY<FLOAT>")
-    q = lambda chat: spark.createDataFrame([(1, chat, "m", "r", [0.9, 0.1, 0.0])], "query_id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, vector ARRAY<FLOAT>")
+    s = spark.createDataFrame([(1, 4, 0, 10, "m", "r", [0.0, 2.0]), (2, 4, 1, 10, "m", "r", [3.0, 0.0]), (3, 9, 0, 20, "m", "r", [0.0, 1.0]), (5, 9, 0, 10, "m", "r", [0.0, 0.0]), (6, 9, 0, 10, "m", "r", [1.0, float("nan")]), (7, 9, 0, 10, "m", "r", [1.0, 1.0, 1.0])], STORED)
+    q = lambda chat: spark.createDataFrame([(1, chat, "m", "r", [0.2, 0.8])], ASKED)
     top = sorted(matching.vector_top_k(q(10), s, 2).collect(), key=lambda r: -r.score)
-    assert [(r.ban_id, r.frame_index) for r in top] == [(7, 0), (7, 1)] and top[0].score > 0.99
-    assert [r.ban_id for r in matching.vector_top_k(q(20), s, 5).collect()] == [8]
+    assert [(r.ban_id, r.frame_index) for r in top] == [(4, 0), (4, 1)] and top[0].score == round(0.8 / (0.2**2 + 0.8**2) ** 0.5, 6)
+    assert [r.ban_id for r in matching.vector_top_k(q(20), s, 5).collect()] == [9]
     assert matching.vector_top_k(q(30), s, 5).count() == 0 and matching.vector_top_k(q(10), s.limit(0), 5).count() == 0
+    assert matching.vector_top_k(q(10).withColumn("own_ban", F.lit(4)), s, 5, itself=False).count() == 0
     with pytest.raises(ValueError):
         matching.vector_top_k(q(10), s, 0)
 
 
+def clustered(spark, n, rng, dim=16):
+    centres = rng.standard_normal((40, dim))
+    x = centres[rng.integers(0, 40, n)] + 0.3 * rng.standard_normal((n, dim))
+    x[n // 2 : n // 2 + 30] = x[0]  # ties
+    return x, spark.createDataFrame([(k, k // 3, k % 3, 1 if k % 3 else 2, "m", "r", [float(v) for v in r]) for k, r in enumerate(x)], STORED)
+
+
+def exact_top(x, chats, k):
+    u = x.astype(np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    out = {}
+    for i in range(0, len(x), 50):
+        same = np.flatnonzero(chats == chats[i])
+        score = np.round(u[same] @ u[i], 6)
+        out[i] = set(same[np.lexsort((same, -score))[:k]].tolist())
+    return out
+
+
+def test_top_k_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CELL", 70)
+    monkeypatch.setattr(matching, "STEP", 300)
+    x, s = clustered(spark, 600, np.random.default_rng(3))
+    q = s.filter("frame_id % 50 = 0").withColumnRenamed("frame_id", "query_id")
+    got = {}
+    for r in matching.vector_top_k(q, s, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.frame_id)
+    assert got == exact_top(x, np.array([1 if k % 3 else 2 for k in range(600)]), 5)
+
+
+def test_approximate_recall(spark):
+    x, s = clustered(spark, 6000, np.random.default_rng(4))
+    q = s.filter("frame_id % 50 = 0").withColumnRenamed("frame_id", "query_id")
+    want = exact_top(x, np.array([1 if k % 3 else 2 for k in range(6000)]), 5)
+    p = approximate.Parameters(lists=64, probes=8, exact=3000)  # one chat is above, the other below
+    got = {(r.query_id, r.frame_id) for r in approximate.approximate_top_k(q, s, 5, p).collect()}
+    hit = sum((i, j) in got for i, js in want.items() for j in js) / sum(map(len, want.values()))
+    assert hit >= 0.9
+    with pytest.raises(ValueError):
+        approximate.Parameters(lists=0)
+    with pytest.raises(ValueError):
+        approximate.approximate_top_k(q, s.unionByName(s.limit(1).withColumn("vector", F.array(F.lit(1.0).cast("float")))))
+
+
 def test_votes(spark):
     hits = spark.createDataFrame([(1, 0, 10, 0.95), (1, 1, 10, 0.94), (1, 2, 11, 0.96), (1, 0, 10, 0.93)], "item_id BIGINT, frame INT, ban_id BIGINT, score DOUBLE")
     checked = spark.createDataFrame([(1, 3)], "item_id BIGINT, checked_frames INT")
@@ -83,11 +146,12 @@ def test_cascade(spark):
     assert {tuple(r) for r in got} == {(1, "blocked", "exact"), (2, "blocked", "image"), (3, "error", "video"), (4, "clean", None)}
 
 
-def test_salting_keeps_every_pair(spark):
-    q = spark.range(50).select("id", F.lit(1).alias("chat_id"))
-    s = spark.range(7).select(F.col("id").alias("sid"), F.lit(1).alias("chat_id"))
-    a, b = matching.salted(q, s, rows=10)
-    assert a.join(b, ["chat_id", "salt"]).select("id", "sid").distinct().count() == 350 and a.select("salt").distinct().count() > 1
+def test_tiers_are_given_what_is_left(spark):
+    seen = []
+    tier = lambda *x: lambda left: seen.append(sorted(r.id for r in left.collect())) or left.filter(F.col("id").isin(*x)).select("id")
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id BIGINT, v STRING")
+    got = matching.cascade(items, [("x", tier(1)), ("y", tier(1, 3))])
+    assert {tuple(r) for r in got.collect()} == {(1, "blocked", "x"), (3, "blocked", "y"), (2, "clean", None)} and seen == [[1, 2, 3], [2, 3]]
 
 
 ROUTES = [
