@@ -100,3 +100,68 @@ def ingest(candidates: DataFrame, stored: dict[str, DataFrame], keys: dict[str,
     payload = F.to_json(F.struct("ban_uid", "chat_id", "media_type", "file_unique_id"))
     events = parents.select(F.col("ban_uid").alias("event_uid"), F.lit("media.ban.created.v1").alias("event_type"), F.lit("media_ban").alias("aggregate_type"), F.col("ban_uid").alias("aggregate_uid"), payload.alias("payload"))
     return parents, appended, outbox_rows(events)
+
+
+def vector_ban_violation(chat: str = "chat_id", model: str = "model_name", dim: str = "vector_dim", frames: str = "frames") -> Column:
+    """Why a vector ban cannot be stored, null if it can: frames is ARRAY<STRUCT<frame_index, position_millis, vector>>."""
+    f, d = F.col(frames), F.col(dim)
+    return (
+        F.when(F.col(chat).isNull() | F.coalesce(F.trim(model) == "", F.lit(True)), "no chat or model")
+        .when(F.coalesce(d <= 0, F.lit(True)), "no dimension")
+        .when(F.coalesce(F.size(f) < 1, F.lit(True)), "no frames")
+        .when(F.exists(f, lambda x: F.coalesce(x["frame_index"] < 0, F.lit(True))), "frame index below 0")
+        .when(F.exists(f, lambda x: F.coalesce(x["position_millis"] < 0, F.lit(True))), "position below 0")
+        .when(F.size(F.array_distinct(F.transform(f, lambda x: x["frame_index"]))) < F.size(f), "frame index repeats")
+        .when(F.exists(f, lambda x: F.coalesce(F.size(x["vector"]) != d, F.lit(True))), "vector of another dimension")
+    )
+
+
+def insert_vector_bans(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """Valid rows of ``new`` (id, chat_id, model_name, model_revision, vector_signature, ...) with stored_id and created.
+
+    They are looked up by signature; a row whose key is there gets that id and is not created. Rows with a violation are
+    an error when they are read, so nothing of a batch is stored then.
+    """
+    bad = vector_ban_violation()
+    checked = F.when(bad.isNotNull(), F.raise_error(bad).cast("bigint")).otherwise(F.col("id"))
+    return insert_or_get(new.withColumn("id", checked), existing, ["chat_id", "model_name", "model_revision", "vector_signature"])
+
+
+def insert_videos(new: DataFrame, existing: DataFrame, version: str = "frames-v1") -> DataFrame:
+    """``new`` (id, chat_id, hash_version, frames) with hash_signature, stored_id and created; a blank version is ``version``.
+
+    A row without frames is an error when it is read.
+    """
+    from siftlane.functions.hashes import video_signature
+
+    empty = F.coalesce(F.size("frames") < 1, F.lit(True))
+    d = new.withColumns({"hash_version": F.when(F.coalesce(F.trim("hash_version"), F.lit("")) == "", version).otherwise(F.col("hash_version")), "id": F.when(empty, F.raise_error(F.lit("a video has no frames")).cast("bigint")).otherwise(F.col("id"))})
+    return insert_or_get(d.withColumn("hash_signature", video_signature("frames")), existing, ["chat_id", "hash_version", "hash_signature"])
+
+
+def unit_of_work(spark, folder: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Writes several tables as one: each under a new version, then one manifest that puts all of them into force.
+
+    Gives the paths by table. If any of them cannot be written, what was written is removed and the manifest before stays;
+    an error while removing is added to the first one.
+    """
+    import json
+    import uuid
+
+    from siftlane import files
+
+    version, paths = uuid.uuid4().hex, {}
+    try:
+        for name, d in tables.items():
+            paths[name] = f"{folder}/{name}/{version}"
+            d.write.parquet(paths[name])
+        before = json.loads(files.current(spark, f"{folder}/manifest") or "{}")
+        files.publish(spark, f"{folder}/manifest", json.dumps({**before, **paths}))
+    except Exception as first:
+        for path in paths.values():
+            try:
+                files.delete(spark, path)
+            except Exception as second:  # noqa: BLE001 - joined to the first
+                first.add_note(f"and while taking back: {second}")
+        raise
+    return {**before, **paths}

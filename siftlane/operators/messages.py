@@ -52,3 +52,29 @@ def targets(messages: DataFrame) -> DataFrame:
     reply = F.struct(F.col("reply_to.id").alias("message_id"), F.col("reply_to.chat_id").alias("chat_id"), F.col("reply_to.content").alias("content"))
     t = messages.select(F.explode(F.array(own, reply)).alias("t")).filter("t.content is not null")
     return t.select("t.message_id", "t.chat_id", "t.content.file_unique_id", F.col("t.content.type").alias("media_type"))
+
+
+def can_download(content_: Column) -> Column:
+    """Whether a message's content names a file."""
+    return F.coalesce(content_["file_id"] != "", F.lit(False))
+
+
+def is_zero(content_: Column) -> Column:
+    """Whether there is no content at all: no file, no unique id, no kind."""
+    empty = lambda c: F.coalesce(content_[c] == "", F.lit(True))
+    return content_.isNull() | (empty("file_id") & empty("file_unique_id") & empty("type"))
+
+
+def is_command(command_: Column | str, name: str | None = None) -> Column:
+    """Whether a message is a command, or the one called ``name``."""
+    c = F.col(command_) if isinstance(command_, str) else command_
+    return F.coalesce(c == name if name is not None else c != "", F.lit(False))
+
+
+def is_private(chat_type: Column | str) -> Column:
+    return F.coalesce((F.col(chat_type) if isinstance(chat_type, str) else chat_type) == "private", F.lit(False))
+
+
+def updates(spark, folder: str, files_per_trigger: int = 100) -> DataFrame:
+    """Raw messages (json) as they arrive in ``folder``, a file of lines each; at most so many files are taken at a time."""
+    return spark.readStream.schema("value STRING").option("maxFilesPerTrigger", files_per_trigger).text(folder).withColumnRenamed("value", "json")

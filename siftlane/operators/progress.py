@@ -39,6 +39,17 @@ def freshness(checkpoints: DataFrame, wanted: DataFrame) -> DataFrame:
     return get_or_create(checkpoints, wanted).select("index_name", "stale").orderBy("index_name")
 
 
+def of_indexes(checkpoints: DataFrame, consumer: str, names: list[str]) -> DataFrame:
+    """The checkpoints of a consumer whose index is among ``names``; the condition reaches the scan."""
+    return checkpoints.filter((F.col("consumer_id") == consumer) & F.col("index_name").isin(names))
+
+
+def require_fresh(checkpoints: DataFrame, consumer: str, names: list[str]) -> None:
+    """Raises an error that says how many of the indexes are stale, if any is."""
+    if n := of_indexes(checkpoints, consumer, names).agg(F.count_if("stale")).first()[0]:
+        raise RuntimeError(f"{n} stale indexes of {consumer}")
+
+
 def is_ready(checkpoints: DataFrame, wanted: DataFrame) -> bool:
     return freshness(checkpoints, wanted).filter("stale").isEmpty()
 

@@ -66,3 +66,11 @@ def active_vectors(frames: DataFrame, bans: DataFrame) -> DataFrame:
     b = bans.filter("active").select(F.col("id").alias("ban_id"), "chat_id", "model_name", "model_revision", "vector_dim").dropDuplicates(["ban_id"])
     f = frames.select(F.col("id").alias("frame_id"), "ban_id", "frame_index", "position_millis", "vector").dropDuplicates(["frame_id"])
     return f.join(b, "ban_id").filter(is_usable("vector", F.col("vector_dim"))).drop("vector_dim")
+
+
+def frame_violations(frames: DataFrame, bans: DataFrame) -> DataFrame:
+    """(frame_id, violation) of frames without a ban, without a vector, or with a vector of another length than their ban's."""
+    b = bans.select(F.col("id").alias("ban_id"), "vector_dim").dropDuplicates(["ban_id"])
+    d = frames.select(F.col("id").alias("frame_id"), "ban_id", F.size("vector").alias("n")).distinct().join(b, "ban_id", "left")
+    why = F.when(F.col("vector_dim").isNull(), "no ban").when(F.coalesce(F.col("n") < 0, F.lit(True)), "no vector").when(F.col("n") != F.col("vector_dim"), "other length")
+    return d.select("frame_id", why.alias("violation")).filter("violation is not null")

@@ -7,13 +7,19 @@ advance the progress like any other.
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from siftlane import files
 from siftlane.functions.ids import uuid_key
+from siftlane.operators import progress as checkpoints
 from siftlane.operators.ingest import first_of
 from siftlane.sources.outbox import CREATED, unwrap
 
@@ -38,26 +44,65 @@ def applied(batch: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     return first_of(d, ["ban_uid"], ["tx", "off"])
 
 
+#: Buckets of keys within a part; parts of one size that are merged into one of the next.
+BUCKETS, MERGE = 32, 8
+
+
+def _state(spark: SparkSession, target: str) -> dict:
+    return json.loads(files.current(spark, f"{target}/manifest") or '{"parts": []}')
+
+
+def _rows(spark: SparkSession, target: str, state: dict, parts: list[dict]) -> DataFrame:
+    """The rows of parts, with their bucket; the schema stands in the manifest, as no part need have any rows."""
+    schema = StructType.fromJson(state["schema"])
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", target).parquet(*(f"{target}/{p['name']}" for p in parts)).select(*schema.names)
+
+
 def projection(target: str, apply: Callable[[DataFrame], DataFrame], keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A handler for foreachBatch that appends to ``target`` the rows whose keys it does not hold.
 
-    A batch writes its own folder, so running it again after a failure replaces what it left behind.
+    The parts in force stand in a manifest, published last; a batch that is run again replaces its own part. Rows lie in
+    buckets of their keys, and only buckets that a batch touches are looked up. Parts of one size are merged, so their
+    number grows with the logarithm of the number of batches.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = apply(batch)
-        earlier = [f"{target}/batch={k}" for k in range(number) if _exists(spark, f"{target}/batch={k}")]
-        if earlier:
-            new = new.join(spark.read.parquet(*earlier).select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        state = _state(spark, target)
+        parts = [p for p in state["parts"] if p["batch"] != number]
+        new = apply(batch).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
+        try:
+            fresh, state["schema"] = new, json.loads(new.schema.json())
+            if parts:
+                have = _rows(spark, target, state, parts)
+                touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS rows
+                fresh = new.join(have.filter(F.col("bucket").isin(touched)).select("bucket", *keys), ["bucket", *keys], "left_anti").select(*new.columns)
+            parts.append({"name": _write(fresh, target), "batch": number, "size": 0})
+        finally:
+            new.unpersist()
+        merged: list[dict] = []
+        while len(same := [p for p in parts if p["size"] == parts[-1]["size"]]) >= MERGE and number >= 0:
+            # the latest batch stays apart, as it may be run again
+            old = same[:-1] if parts[-1]["batch"] == number else same
+            if len(old) < 2:
+                break
+            joined = {"name": _write(_rows(spark, target, state, old), target), "batch": -1, "size": old[0]["size"] + 1}
+            parts = [p for p in parts if p not in old]
+            parts.insert(0, joined)
+            merged += old
+        files.publish(spark, f"{target}/manifest", json.dumps({**state, "parts": parts}))
+        for p in merged:
+            files.delete(spark, f"{target}/{p['name']}")
 
     return run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _write(rows: DataFrame, target: str) -> str:
+    name = f"part={uuid.uuid4().hex}"
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{target}/{name}")
+    return name
 
 
 def follow(log: DataFrame, target: str, progress: str, apply: Callable[[DataFrame], DataFrame] = applied, keys: tuple[str, ...] = ("ban_uid",), every: str | None = None) -> StreamingQuery:
@@ -69,7 +114,7 @@ def follow(log: DataFrame, target: str, progress: str, apply: Callable[[DataFram
 def catch_up(log: DataFrame, indexes: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]], seconds: int = 3600) -> dict[str, str]:
     """Catches up several indexes (target, progress, apply) at the same time; gives the error of each that failed.
 
-    One whose time is up counts as failed, too; its query goes on. A failed index keeps its progress and is to be marked stale; the others go on.
+    One whose time is up counts as failed, too; its query is stopped. A failed index keeps its progress; see ``settled``.
     """
     started = {name: follow(log, target, progress, apply) for name, (target, progress, apply) in indexes.items()}
     failed = {}
@@ -77,12 +122,60 @@ def catch_up(log: DataFrame, indexes: dict[str, tuple[str, str, Callable[[DataFr
         try:
             if not query.awaitTermination(seconds):
                 failed[name] = f"not caught up within {seconds} s"
+                query.stop()
         except Exception as e:  # noqa: BLE001 - reported, the other indexes go on
             failed[name] = str(e).splitlines()[0]
     return failed
 
 
+def settled(stored: DataFrame, consumer: str, names: list[str], failed: dict[str, str], tx: int, offset: int) -> DataFrame:
+    """The checkpoints after ``catch_up``: indexes that failed are stale where they were, the others are at (tx, offset)."""
+    spark = stored.sparkSession
+    done = spark.createDataFrame([(consumer, n, str(tx), offset) for n in names if n not in failed], "consumer_id STRING, index_name STRING, tx STRING, off BIGINT")
+    wanted = spark.createDataFrame([(consumer, n) for n in names], "consumer_id STRING, index_name STRING")
+    others = stored.join(wanted, ["consumer_id", "index_name"], "left_anti").select("consumer_id", "index_name", "last_tx", "last_offset", "stale", "stale_reason")
+    mine = checkpoints.advance(checkpoints.get_or_create(stored, wanted), done)
+    for name, reason in failed.items():
+        mine = checkpoints.mark_stale(mine, F.col("index_name") == name, reason or "failed")
+    return others.unionByName(mine.select(*others.columns))
+
+
+def catch_up_then_follow(log: DataFrame, indexes: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]], every: str = "5 seconds", seconds: int = 3600) -> dict[str, StreamingQuery]:
+    """Brings all indexes up to date and only then starts their live queries; if one cannot be, none is started."""
+    if failed := catch_up(log, indexes, seconds):
+        raise RuntimeError("not caught up: " + "; ".join(f"{n}: {why}" for n, why in sorted(failed.items())))
+    return {name: follow(log, target, progress, apply, every=every) for name, (target, progress, apply) in indexes.items()}
+
+
+def with_restarts(start: Callable[[], StreamingQuery], attempts: int = 6, wait: float = 1.0, growth: float = 1.5, most: float = 60.0) -> None:
+    """Runs a query until it ends; one that fails is started again after a pause that grows, at most ``attempts`` times."""
+    for k in range(attempts):
+        try:
+            start().awaitTermination()
+            return
+        except Exception:
+            if k == attempts - 1:
+                raise
+            time.sleep(min(most, wait * growth**k))
+
+
+def forward(log: DataFrame, progress: str, send: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
+    """Hands each new part of the log to ``send`` (rows with topic, event_uid and the message as text), at least once.
+
+    A batch counts as sent when ``send`` returns; if it raises, the same batch comes again, so receivers keep one copy of
+    each event_uid.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        d = unwrap(batch)
+        send(d.filter("event_type is not null").select(F.col("event_type").alias("topic"), "event_uid", F.col("inner").alias("message"), "transaction_id", "log_offset"), number)
+
+    writer = log.writeStream.foreachBatch(run).option("checkpointLocation", progress)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def snapshot(spark: SparkSession, target: str, base: DataFrame | None = None, keys: tuple[str, ...] = ("ban_uid",)) -> DataFrame:
     """The projection as it stands; rows of ``base`` (a snapshot loaded before) come first, an overlap does no harm."""
-    d = spark.read.parquet(target).drop("batch")
+    state = _state(spark, target)
+    d = _rows(spark, target, state, state["parts"]).drop("bucket")
     return d if base is None else base.unionByName(d.join(base.select(*keys), list(keys), "left_anti"))

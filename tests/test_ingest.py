@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftlane import schemas
 from siftlane.operators import index, ingest, progress
+from siftlane.sources import artifacts
 
 
 def rows(df):
@@ -81,18 +82,19 @@ def test_checkpoints(spark):
 def test_index_snapshot(spark, tmp_path):
     v = spark.createDataFrame([(1, 7, 10, "m", "r", 0, [1.0, 0.0]), (2, 7, 10, "m", "r", 1, [0.0, 2.0])], "frame_id BIGINT, ban_id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, frame_index INT, vector ARRAY<FLOAT>")
     path = str(tmp_path / "index")
-    _, m, rebuilt = index.load_or_rebuild(spark, v, path, None)
-    assert rebuilt and m["count"] == 2
-    again, _, rebuilt = index.load_or_rebuild(spark, v, path, m)
-    assert not rebuilt and again.count() == 2
+    assert index.load_or_rebuild(spark, v, path)[1]
+    m = index.read_manifest(spark, path)
+    again, rebuilt = index.load_or_rebuild(spark, v, path)
+    assert not rebuilt and again.count() == m["count"] == 2
     changed = v.withColumn("vector", F.when(F.col("frame_id") == 1, F.array(F.lit(0.5).cast("float"), F.lit(0.5).cast("float"))).otherwise(F.col("vector")))
-    _, m2, rebuilt = index.load_or_rebuild(spark, changed, path, m)
-    assert rebuilt and m2["count"] == m["count"] and m2["digest"] != m["digest"]
+    assert index.load_or_rebuild(spark, changed, path)[1]
+    m2 = index.read_manifest(spark, path)
+    assert m2["count"] == m["count"] and m2["digest"] != m["digest"]
     for f in (tmp_path / "index").rglob("*.parquet"):
         f.write_bytes(b"garbage")
-    for f in (tmp_path / "index").rglob(".*.crc"):
+    for f in (tmp_path / "index").rglob(".*.parquet.crc"):
         f.unlink()
-    assert index.load_or_rebuild(spark, changed, path, m2)[2]
+    assert index.load_or_rebuild(spark, changed, path)[1]
     assert index.content_digest(v) == index.content_digest(v.orderBy(F.desc("frame_id")).repartition(3))
 
 
@@ -109,3 +111,51 @@ def test_schemas(spark):
     assert c.schema == schemas.schema("blocked_image")
     assert rows(schemas.key_violations(c, "blocked_image")) == [("id|1", 2)]
     assert all(schemas.schema(t) for t in schemas.TABLES)
+
+
+def test_vector_bans_are_checked_and_found_by_signature(spark):
+    schema = "id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, vector_signature STRING, vector_dim INT, frames ARRAY<STRUCT<frame_index: INT, position_millis: INT, vector: ARRAY<FLOAT>>>"
+    f = lambda i, ms, *v: (i, ms, list(v))
+    good = [(1, 5, "m", "r", "s1", 2, [f(0, 0, 1.0, 0.0)]), (2, 5, "m", "r", "s2", 2, [f(0, 0, 0.0, 1.0)]), (3, 5, "m", "r", "s2", 2, [f(0, 0, 0.0, 1.0)])]
+    bad = {"no chat or model": (5, None, "m", "r", "x", 2, [f(0, 0, 1.0, 1.0)]), "no dimension": (5, 5, "m", "r", "x", 0, [f(0, 0)]), "no frames": (5, 5, "m", "r", "x", 2, []), "frame index below 0": (5, 5, "m", "r", "x", 1, [f(-1, 0, 1.0)]), "position below 0": (5, 5, "m", "r", "x", 1, [f(0, None, 1.0)]), "frame index repeats": (5, 5, "m", "r", "x", 1, [f(0, 0, 1.0), f(0, 1, 1.0)]), "vector of another dimension": (5, 5, "m", "r", "x", 2, [f(0, 0, 1.0)])}
+    d = spark.createDataFrame([*good, *bad.values()], schema)
+    assert [r[0] for r in d.select(ingest.vector_ban_violation()).collect()] == [None] * 3 + list(bad)
+    have = spark.createDataFrame([(90, 5, "m", "r", "s1")], "id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, vector_signature STRING")
+    got = {r.id: (r.stored_id, r.created) for r in ingest.insert_vector_bans(spark.createDataFrame(good, schema), have).collect()}
+    assert got == {1: (90, False), 2: (2, True), 3: (2, False)}
+    with pytest.raises(Exception, match="no frames"):
+        ingest.insert_vector_bans(spark.createDataFrame([bad["no frames"]], schema), have).collect()
+
+
+def test_videos_need_frames_and_a_version(spark):
+    schema = "id BIGINT, chat_id BIGINT, hash_version STRING, frames ARRAY<STRUCT<frame_index: INT, position_millis: INT, hash: BIGINT>>"
+    none = spark.createDataFrame([], "id BIGINT, chat_id BIGINT, hash_version STRING, hash_signature STRING")
+    d = ingest.insert_videos(spark.createDataFrame([(1, 5, " ", [(0, 0, -1)]), (2, 5, None, [(0, 0, -1)])], schema), none, "w1")
+    assert {(r.id, r.hash_version, r.hash_signature, r.stored_id, r.created) for r in d.collect()} == {(1, "w1", "0:0:18446744073709551615", 1, True), (2, "w1", "0:0:18446744073709551615", 1, False)}
+    with pytest.raises(Exception, match="no frames"):
+        ingest.insert_videos(spark.createDataFrame([(1, 5, "w1", [])], schema), none).collect()
+
+
+def test_unit_of_work(spark, tmp_path):
+    folder = str(tmp_path)
+    first = ingest.unit_of_work(spark, folder, {"a": spark.range(3), "b": spark.range(5)})
+    second = ingest.unit_of_work(spark, folder, {"a": spark.range(4)})
+    assert spark.read.parquet(second["a"]).count() == 4 and second["b"] == first["b"]
+    broken = spark.range(2).select(F.raise_error(F.lit("broken")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        ingest.unit_of_work(spark, folder, {"a": spark.range(9), "b": broken})
+    assert len(list((tmp_path / "a").iterdir())) == 2
+
+
+def test_frames_that_do_not_fit_their_ban(spark):
+    frames = spark.createDataFrame([(1, 7, [1.0, 2.0]), (2, 7, [1.0]), (3, 8, [1.0]), (4, 7, None)], "id BIGINT, ban_id BIGINT, vector ARRAY<FLOAT>")
+    bans = spark.createDataFrame([(7, 2)], "id BIGINT, vector_dim INT")
+    assert {tuple(r) for r in artifacts.frame_violations(frames, bans).collect()} == {(2, "other length"), (3, "no ban"), (4, "no vector")}
+
+
+def test_stale_indexes_are_counted(spark):
+    cp = spark.createDataFrame([("c", "x", True), ("c", "y", False), ("d", "x", True)], "consumer_id STRING, index_name STRING, stale BOOLEAN")
+    assert progress.of_indexes(cp, "c", ["x", "z"]).count() == 1
+    progress.require_fresh(cp, "c", ["y"])
+    with pytest.raises(RuntimeError, match="1 stale"):
+        progress.require_fresh(cp, "c", ["x", "y"])

@@ -47,6 +47,75 @@ def test_catch_up_and_replay(follow):
     assert bans(run()) == bans(run("y"))  # an index that starts later gets the same
 
 
+def test_parts_are_merged_and_batches_replaced(spark, tmp_path):
+    target = str(tmp_path / "p")
+    run = catchup.projection(target, lambda b: b, ["ban_uid"])
+    rows = lambda *x: spark.createDataFrame([(u, Decimal(1), k) for k, u in enumerate(x)], "ban_uid STRING, tx DECIMAL(20,0), off BIGINT")
+    run(rows(), 0)
+    assert catchup.snapshot(spark, target).count() == 0
+    for k in range(1, 20):
+        run(rows(f"a{k}", f"a{k // 2}", "same"), k)
+    run(rows("a19", "b"), 19)  # the same batch again, with other rows
+    assert sorted(r.ban_uid for r in catchup.snapshot(spark, target).collect()) == sorted(["same", "b", *(f"a{k}" for k in range(20))])
+    assert len(catchup._state(spark, target)["parts"]) < 10
+
+
+def test_settled_checkpoints(spark):
+    have = spark.createDataFrame([("c", "x", Decimal(1), 1, False, None), ("c", "y", Decimal(1), 1, True, "old"), ("d", "x", Decimal(9), 9, False, None)], "consumer_id STRING, index_name STRING, last_tx DECIMAL(20,0), last_offset BIGINT, stale BOOLEAN, stale_reason STRING")
+    got = {(r.consumer_id, r.index_name): (int(r.last_tx), r.stale, r.stale_reason) for r in catchup.settled(have, "c", ["x", "y", "z"], {"x": "down"}, 5, 2).collect()}
+    assert got == {("c", "x"): (1, True, "down"), ("c", "y"): (5, False, None), ("c", "z"): (5, False, None), ("d", "x"): (9, False, None)}
+
+
+def test_live_only_after_catch_up(spark, follow):
+    add, run = follow
+    add(event(1, 1, "a"))
+    at = lambda n: (str(run.dir / n), str(run.dir / f"{n}-progress"))
+    bad = lambda b: catchup.applied(b).select("ban_uid", F.raise_error(F.lit("down")).alias("v"))
+    with pytest.raises(RuntimeError, match="bad: "):
+        catchup.catch_up_then_follow(catchup.log_stream(spark, add.log), {"bad": (*at("bad"), bad)}, seconds=60)
+    assert not spark.streams.active
+    live = catchup.catch_up_then_follow(catchup.log_stream(spark, add.log), {"good": (*at("good"), catchup.applied)}, "1 second", 60)
+    add(event(2, 1, "b"))
+    live["good"].processAllAvailable()
+    live["good"].stop()
+    assert bans(catchup.snapshot(spark, at("good")[0])) == [("a", 1, 1), ("b", 2, 1)]
+
+
+def test_forwarding_is_at_least_once(spark, follow):
+    add, run = follow
+    add(event(1, 1, "a"), event(1, 2, "b", "other"))
+    sent, failures = [], [1]
+
+    def send(rows, number):
+        sent.extend((r.topic, r.event_uid) for r in rows.collect())
+        if failures.pop() if failures else 0:
+            raise RuntimeError("broker gone")
+
+    start = lambda: catchup.forward(catchup.log_stream(spark, add.log), str(run.dir / "sent"), send)
+    catchup.with_restarts(start, wait=0.1)
+    assert set(sent) == {(CREATED, "1-1"), ("other", "1-2")} and len(sent) == 4
+    with pytest.raises(Exception, match="broker gone"):
+        failures.extend([1, 1, 1])
+        add(event(2, 1, "c"))
+        catchup.with_restarts(start, attempts=2, wait=0.1)
+
+
+def test_messages_arrive_as_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"message_id": 1, "chat": {"id": 5}, "photo": [{"file_id": "p", "file_unique_id": "u"}]}\nnot json\n')
+    out = []
+    q = messages.updates(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda b, n: out.extend(tuple(r) for r in messages.targets(messages.normalized(b)).collect())).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert out == [(1, 5, "u", "photo")]
+
+
+def test_predicates_of_messages(spark):
+    d = spark.createDataFrame([("ban", "private", ("f", "u", "photo")), (None, "supergroup", ("", "", "")), ("", None, None)], "command STRING, chat_type STRING, content STRUCT<file_id: STRING, file_unique_id: STRING, type: STRING>")
+    c = F.col("content")
+    got = [tuple(r) for r in d.select(messages.can_download(c), messages.is_zero(c), messages.is_command("command"), messages.is_command("command", "ban"), messages.is_private("chat_type")).collect()]
+    assert got == [(True, False, True, True, True), (False, True, False, False, False), (False, True, False, False, False)]
+
+
 def test_failed_batch_is_taken_again(follow):
     add, run = follow
     add(event(1, 1, "a"))
@@ -84,8 +153,7 @@ def test_an_index_out_of_time_is_reported(spark, follow):
     at = (str(run.dir / "slow"), str(run.dir / "slow-progress"))
     slow = lambda b: time.sleep(8) or catchup.applied(b)
     assert list(catchup.catch_up(catchup.log_stream(spark, add.log), {"slow": (*at, slow)}, 1)) == ["slow"]
-    for q in spark.streams.active:
-        q.awaitTermination(60)
+    assert not spark.streams.active
 
 
 def test_messages(spark):
