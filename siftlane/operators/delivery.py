@@ -1,25 +1,27 @@
 """Messages delivered more than once: exactly one copy of each stays.
 
 Method: only (identifier, delivery order, file, row position) are shuffled. The winner of an identifier is its smallest
-delivery order; the others become per-file deletion vectors, which are applied while the wide rows are read once more,
-so payloads never cross the network.
+delivery order; the others become per-file deletion vectors. Files without any are read as they are; the others are read
+with their vectors beside them, which are broadcast for as many files at a time as a bound allows. Every file is read
+once, by Spark's own reader and inside the JVM, and payloads never cross the network.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlane.functions.ids import uuid_key
 from siftlane.operators.skew import heavy_keys, lookup
-from siftlane.session import cut, shared_folder
+from siftlane.session import cut, written
 from siftlane.sources.outbox import unwrap
 
-#: Rows of a file that one deletion vector covers; its bitmap has at most BLOCK / 64 words.
+#: Rows of a file that one deletion vector covers; its bitmap has BLOCK / 64 words, 8 KiB.
 BLOCK = 1 << 16
+#: Deletion vectors that are broadcast at a time: 64 MiB.
+VECTORS = 8192
 
 
 def positions(log: DataFrame, identifier: str = "event_uid", order: str = "delivery_id") -> DataFrame:
@@ -44,63 +46,49 @@ def losers(narrow: DataFrame) -> DataFrame:
 
 
 def deletion_vectors(lost: DataFrame) -> DataFrame:
-    """(file, block, words): per file and block of rows the 64-bit words of a bitmap that have a bit set."""
+    """(file, block, words): per file and block of rows a bitmap of BLOCK bits; a bit that is set is a row to leave out."""
     word = F.expr("shiftleft(cast(1 as bigint), cast(pos % 64 as int))")
     words = lost.groupBy("file", F.floor(F.col("pos") / BLOCK).cast("bigint").alias("block"), F.floor(F.col("pos") % BLOCK / 64).cast("int").alias("word")).agg(F.bit_or(word).alias("bits"))
-    return words.groupBy("file", "block").agg(F.collect_list(F.struct("word", "bits")).alias("words"))
-
-
-def _surviving(folder: str, columns: list[str]):
-    """A function for mapInArrow that drops the rows whose bit is set in the deletion vector of their file."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        filesystem, path = fs.FileSystem.from_uri(folder)
-        vectors = ds.dataset(path, filesystem=filesystem, format="parquet", partitioning="hive") if filesystem.get_file_info(path).type != fs.FileType.NotFound else None
-        have: dict[int, dict[int, np.ndarray]] = {}
-
-        def load(file: int) -> dict[int, np.ndarray]:
-            bits: dict[int, np.ndarray] = {}
-            if vectors is not None and len(vectors.files):
-                for row in vectors.to_table(filter=(pc.field("bucket") == file % 256) & (pc.field("file") == file)).to_pylist():
-                    m = bits.setdefault(row["block"], np.zeros(BLOCK // 64, "<u8"))
-                    for w in row["words"]:
-                        m[w["word"]] |= np.uint64(w["bits"] & 0xFFFFFFFFFFFFFFFF)
-            return bits
-
-        for batch in batches:
-            files, pos = batch.column("_file_id").to_numpy(), batch.column("_pos").to_numpy()
-            keep = np.ones(len(pos), bool)
-            for file in np.unique(files):
-                if file not in have:
-                    have.clear()  # a task reads one file after the other
-                    have[file] = load(int(file))
-                here = files == file
-                for block, words in have[file].items():
-                    at = np.flatnonzero(here & (pos // BLOCK == block))
-                    inside = pos[at] % BLOCK
-                    keep[at] = (words[inside // 64] >> (inside % 64).astype("u8")) & np.uint64(1) == 0
-            yield batch.select(columns).filter(keep)
-
-    return run
-
-
-def read_once(spark: SparkSession, path: str, identifier: str = "event_uid", order: str = "delivery_id") -> DataFrame:
+    found = words.groupBy("file", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return found.select("file", "block", F.expr(f"transform(sequence(0, {BLOCK // 64 - 1}), w -> coalesce(m[w], 0L))").alias("words"))
+
+
+def read_once(spark: SparkSession, path: str, identifier: str = "event_uid", order: str = "delivery_id", vectors: int = VECTORS) -> DataFrame:
     """The log at ``path`` with all its columns and exactly one delivery of each identifier.
 
-    The deletion vectors are written to the shared folder; each task that reads wide rows loads those of its own files.
+    At most ``vectors`` deletion vectors are broadcast at a time; a file with more than that many blocks is alone.
     """
     log = spark.read.parquet(path)
-    folder = f"{shared_folder(spark)}/deletion-vectors-{uuid.uuid4().hex}"
-    folder = folder if ":" in folder else f"file://{folder}"
-    dv = deletion_vectors(losers(positions(log, identifier, order)))
-    dv.withColumn("bucket", F.pmod("file", F.lit(256)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(folder)
-    wide = log.select("*", F.xxhash64("_metadata.file_path").alias("_file_id"), F.col("_metadata.row_index").alias("_pos"))
-    return wide.mapInArrow(_surviving(folder, log.columns), log.schema)
+    dv = written(deletion_vectors(losers(positions(log, identifier, order))))
+    blocks = {r["file"]: r["n"] for r in dv.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a file
+    # the driver holds the list of files anyway, for the scan
+    names = [unquote(f) for f in log.inputFiles()]
+    ids = {}
+    if blocks:
+        listed = spark.createDataFrame([(k, f) for k, f in enumerate(log.inputFiles())], "k INT, f STRING")
+        ids = {r["k"]: r["id"] for r in listed.select("k", F.xxhash64(F.regexp_replace("f", "^file:/+", "file:/")).alias("id")).collect()}
+        if missing := set(blocks) - set(ids.values()):
+            raise ValueError(f"{len(missing)} files of the log are not in its list of files")
+    groups: list[list[str]] = [[]]
+    room = vectors
+    clean = [f for k, f in enumerate(names) if ids.get(k) not in blocks]
+    for k, f in enumerate(names):
+        if n := blocks.get(ids.get(k)):
+            if n > room and groups[-1]:
+                groups.append([])
+                room = vectors
+            groups[-1].append(f)
+            room -= n
+    read = lambda files: spark.read.schema(log.schema).option("basePath", path).parquet(*files)
+    out = read(clean) if clean else log.limit(0)
+    for files in groups:
+        if files:
+            wide = read(files).select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_pos"))
+            at = wide.withColumn("_b", F.floor(F.col("_pos") / BLOCK).cast("bigint"))
+            here = F.broadcast(dv.select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.col("words").alias("_w")).filter(F.col("_f").isin([ids[k] for k, f in enumerate(names) if f in set(files)])))
+            lost = F.coalesce(F.expr(f"shiftrightunsigned(get(_w, cast(_pos % {BLOCK} as int) div 64), cast(_pos % 64 as int)) & 1L"), F.lit(0))
+            out = out.unionByName(at.join(here, ["_f", "_b"], "left").filter(lost == 0).select(*log.columns))
+    return out
 
 
 def repeated_deliveries(log: DataFrame) -> DataFrame:

@@ -71,6 +71,8 @@ def _rows(refs: DataFrame, groups: DataFrame, bad: DataFrame) -> DataFrame:
 def orphan_rows(refs: DataFrame, target: DataFrame) -> DataFrame:
     """(src, period_ym, row_key) of every reference whose target is missing, deleted or arrives later; each row once.
 
+    Rows that repeat need not be removed before: they weigh in the groups, and orphans are made distinct at the end.
+
     A reference is an orphan if no target has its key, or none with it was created at or before the row's time and is
     not yet deactivated then. Rows without a time have a null period and are orphans only if the target is missing.
     """

@@ -12,8 +12,7 @@ from siftlane.session import table
 
 def _refs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     images, frames, log = (table(spark, d, t) for t in ("blocked_image", "stored_vector_frame", "outbox_event"))
-    refs = ban_references(images, frames, log).dropDuplicates(["src", "row_key"])  # equal rows are one record
-    return refs, ban_targets(table(spark, d, "media_ban"), table(spark, d, "vector_ban"))
+    return ban_references(images, frames, log), ban_targets(table(spark, d, "media_ban"), table(spark, d, "vector_ban"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +20,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(*_refs(spark, d))
+    refs, there = _refs(spark, d)
+    return orphan_report(refs.distinct(), there)  # equal rows are one record
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -31,12 +31,14 @@ def session(name: str = "siftlane", master: str | None = None, **conf: str) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is unset (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on one machine."""
     sc = spark.sparkContext
     given = sc._jsc.sc().getCheckpointDir()
     if given.isDefined():
         return given.get()
     conf = sc.getConf().get("spark.checkpoint.dir")
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="siftlane-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
