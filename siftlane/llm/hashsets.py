@@ -7,8 +7,9 @@ Method: token-combination prefixes. An element is cut into bits + 1 pieces, its
 common. If a pair is similar, one side has at least the share ``cover`` of its elements near the other, so any prefix of
 it that weighs more than the rest, 1 - cover, holds a near element. Prefixes take the least frequent elements first. A
 token that few rows have is a key by itself; a frequent one is extended by the tokens of the bits outside it, again
-bits + 1 pieces, so combinations of two and three tokens are indexed there. A key's two elements are compared within the
-join, so only pairs with a near element leave it; these are verified over all elements.
+bits + 1 pieces, so combinations of two and three tokens are indexed there. Rows that share a key meet in one task, where
+their elements are compared at once, so only pairs with a near element leave it; these are verified over all elements. A
+key that even at the last level has more than BLOCK rows is split into blocks, which meet block by block.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlane.operators.skew import heavy_keys, lookup
@@ -29,6 +30,8 @@ FREQUENT, LEVELS = 32, 3
 #: Tokens in buckets with more rows than this may be hot: they are counted before they are shuffled, the others within
 #: the partition that joins them.
 HEAVY = 200_000
+#: Rows of a key, or of a class, that meet in one task; more are split into blocks of about so many.
+BLOCK = 4096
 
 
 def pieces(width: int, n: int) -> list[tuple[int, int]]:
@@ -122,38 +125,115 @@ def tokens(seed: str, value: str, width: int, bits: int) -> str:
     return f"array({', '.join(out)})"
 
 
-def _counted(at: DataFrame, any_hot: bool) -> DataFrame:
-    """``at`` with n, the rows of each key, and nx, those of them in a prefix; keys that cannot give a pair are left out."""
-    w = Window.partitionBy("key")
-    seen = {"n": F.count(F.lit(1)).over(w), "nx": F.sum(F.col("x").cast("int")).over(w)}
-    if not any_hot:  # the sketch bounds every key, so none is too large for the task that joins it
-        return at.withColumns(seen).filter("n > 1 and nx > 0")
-    at = cut(at)
-    cold, hot = at.filter("not hot").withColumns(seen), at.filter("hot")
-    counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("int")).alias("nx"))
-    keys = counts.filter(F.col("n") > HEAVY)
-    hot = lookup(hot, counts, "key", cut(heavy_keys(keys, "key")), "inner") if not keys.isEmpty() else hot.join(counts, "key")
-    return cold.unionByName(hot).filter("n > 1 and nx > 0")
+def _rests(value: np.ndarray, p: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The bits of each value outside its token p."""
+    out = np.zeros_like(value)
+    for k, (low, size) in enumerate(pieces(width, bits + 1)):
+        at = p == k
+        v = value[at]
+        high = (v >> np.uint64(low + size)) << np.uint64(low) if low + size < 64 else np.zeros_like(v)
+        out[at] = high | v & np.uint64((1 << low) - 1)
+    return out
+
+
+def _pairs_of(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, e: np.ndarray, x: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """(a, b), a < b, in rows: near elements of different ids, one of them in a prefix, within runs of sorted rows."""
+    for m in np.unique(sizes):
+        first = starts[sizes == m]
+        across = max(1, 4_000_000 // int(m * m))
+        for lo in range(0, len(first), across):
+            at = first[lo : lo + across, None] + np.arange(m)
+            near = np.bitwise_count(e[at][:, :, None] ^ e[at][:, None, :]) <= bits
+            near &= (x[at][:, :, None] | x[at][:, None, :]) & np.triu(np.ones((m, m), bool), 1)
+            run, i, j = np.nonzero(near)
+            a, b = ids[at[run, i]], ids[at[run, j]]
+            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+
+
+_MET = "a BIGINT, b BIGINT, key BIGINT, id BIGINT, e BIGINT, x BOOLEAN, v BIGINT, nx BIGINT, n BIGINT"
+
+
+def _meet(bits: int, width: int, limit: int):
+    """For whole keys: the near pairs of those with at most ``limit`` rows; the rows of the others, with what is left of v.
+
+    Keys without a prefix element, or of a single row, end here. A partition is as large as Spark makes those of a shuffle.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(parts) if (parts := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, ids, px = key[order], table.column("id").to_numpy()[order], table.column("px").to_numpy()[order]
+        e, v = (table.column(c).to_numpy()[order].view("u8") for c in ("e", "v" if "v" in table.column_names else "e"))
+        x = (px & 1).astype(bool)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        nx = np.add.reduceat(x.astype(np.int64), starts)
+        alive = (sizes > 1) & (nx > 0)
+        small = alive & (sizes <= limit)
+        found = list(_pairs_of(starts[small], sizes[small], ids, e, x, bits))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        more = np.repeat(alive & ~small, sizes)
+        none = pa.nulls
+        names = [c.split()[0] for c in _MET.split(", ")]
+        k, m = len(pairs), int(more.sum())
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(none(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], names)
+        if m:
+            left = _rests(v[more], px[more] >> 1, width, bits)
+            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), pa.array(key[more]), pa.array(ids[more]), pa.array(e[more].view("i8")), pa.array(x[more]), pa.array(left.view("i8")), pa.array(np.repeat(nx, sizes)[more]), pa.array(np.repeat(sizes, sizes)[more])], names)
+
+    return run
+
+
+def _split(rows: DataFrame, bits: int) -> DataFrame:
+    """(a, b) of keys with very many rows: blocks of prefix elements meet blocks of all elements, each in its own place."""
+    p = rows.filter("x").selectExpr("key", "id as a", "e as ea", f"cast(pmod(xxhash64(id), ceil(nx / {BLOCK})) as int) as i", f"explode(sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)) as j")
+    q = rows.selectExpr("key", "id as b", "e as eb", f"explode(sequence(0, cast(ceil(nx / {BLOCK}) as int) - 1)) as i", f"cast(pmod(xxhash64(id), ceil(n / {BLOCK})) as int) as j")
+    met = p.join(q, ["key", "i", "j"]).filter(f"a <> b and bit_count(ea ^ eb) <= {bits}")
+    return met.selectExpr("least(a, b) as a", "greatest(a, b) as b")
+
+
+def _hot_rows(at: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(few, many) of rows whose key may be hot, told apart by counts made before anything is shuffled; many has n and nx."""
+    counts = cut(at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("px").bitwiseAND(1)).alias("nx")))
+    seen = lookup(at, counts, "key", cut(heavy_keys(counts, "key")), "inner").filter("n > 1 and nx > 0")
+    return seen.filter(F.col("n") <= limit).drop("n", "nx"), seen.filter(F.col("n") > limit)
 
 
 def near_elements(elems: DataFrame, any_hot: bool, bits: int) -> DataFrame:
     """(a, b), a < b, each once: rows of which one has a prefix element near some element of the other.
 
-    Level by level: keys that at most FREQUENT rows have, or of the last level, are joined; the rows of the others go on
-    with one more token. Keys without a prefix element, or of a single row, end there.
+    Level by level: the rows of keys that at most FREQUENT rows have, or of the last level, meet; the others go on with
+    one more token.
     """
     at = elems.select("id", "e", "x", "hot", F.explode(F.expr(tokens("g", "e", 64, bits))).alias("t"))
-    at = at.select("id", "e", "x", F.expr("shiftright(hot, t.p) & 1 = 1").alias("hot"), "t.key", "t.rest")
+    at = at.selectExpr("t.key as key", "id", "e", "t.p * 2 + cast(x as int) as px", *(["shiftright(hot, t.p) & 1 = 1 as hot"] if any_hot else []))
     width, found = 64, []
     for level in range(1, LEVELS + 1):
-        seen = cut(_counted(at, any_hot))
-        here = seen if level == LEVELS else seen.filter(F.col("n") <= FREQUENT)
-        p, q = here.filter("x").select("key", F.col("id").alias("a"), F.col("e").alias("ea")), here.select("key", F.col("id").alias("b"), F.col("e").alias("eb"))
-        pairs = p.join(q, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) <= bits))
-        found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        limit = BLOCK if level == LEVELS else FREQUENT
+        many = None
+        if any_hot:
+            at = cut(at)
+            few, many = _hot_rows(at.filter("hot").drop("hot"), limit)
+            at = at.filter("not hot").drop("hot").unionByName(few)
+        met = cut(at.repartition("key").mapInArrow(_meet(bits, width, limit), _MET))
+        found.append(met.filter("a is not null").select("a", "b"))
+        more = met.filter("a is null").select("key", "id", "e", "x", "v", "nx", "n")
+        if many is not None:
+            left = f"get({tokens('0', 'e' if level == 1 else 'v', width, bits)}, shiftright(px, 1)).rest"
+            more = more.unionByName(many.selectExpr("key", "id", "e", "px & 1 = 1 as x", f"{left} as v", "nx", "n"))
+        if level == LEVELS:
+            found.append(_split(more, bits))
+            break
         width -= min(size for _, size in pieces(width, bits + 1))
-        deeper = seen.filter(F.col("n") > FREQUENT)
-        at = deeper.select("id", "e", "x", "hot", F.explode(F.expr(tokens("key", "rest", width, bits))).alias("t")).select("id", "e", "x", "hot", "t.key", "t.rest")
+        # a key has no more rows than the one it extends
+        deeper = more.selectExpr("id", "e", "x", f"explode({tokens('key', 'v', width, bits)}) as t", "v", f"n > {HEAVY} as hot")
+        at = deeper.selectExpr("t.key as key", "id", "e", "t.p * 2 + cast(x as int) as px", "v", *(["hot"] if any_hot else []))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -220,10 +300,18 @@ def similar_sets(rows: DataFrame, group: list[str], key: str = "id", hashes: str
 
 
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of similar rows, those within a class included. Its size is that of the result asked for."""
-    a, b = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.join(a, "a").join(b, "b").select("x", "y")
-    several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep")
-    of = members.join(several, "rep", "left_semi")
-    within = of.select("rep", F.col("id").alias("x")).join(of.select("rep", F.col("id").alias("y")), "rep").filter("x < y").select("x", "y")
+    """(a, b), a < b: all pairs of similar rows, those within a class included. Its size is that of the result asked for.
+
+    The rows of a class with many are put into blocks, and classes meet block by block.
+    """
+    blocks = f"cast(ceil(n / {BLOCK}) as int)"
+    several = cut(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").selectExpr("rep", f"{blocks} as k"))
+    sized = members.join(several, "rep", "left").selectExpr("rep", "id", "coalesce(k, 0) as k", "cast(pmod(xxhash64(id), coalesce(k, 1)) as int) as i")
+    # of a class only blocks i <= j meet; within a block each pair once
+    own, other = sized.filter("k > 0").selectExpr("rep", "id as x", "i", "explode(sequence(i, k - 1)) as j"), sized.filter("k > 0").selectExpr("rep", "id as y", "explode(sequence(0, i)) as i", "i as j")
+    within = own.join(other, ["rep", "i", "j"]).filter("i < j or x < y").select("x", "y")
+    for side, name in (("a", "x"), ("b", "y")):
+        links = links.join(several.withColumnRenamed("rep", side), side, "left").withColumn("i", F.expr("explode(sequence(0, coalesce(k, 1) - 1))")).drop("k")
+        links = links.join(sized.selectExpr(f"rep as {side}", f"id as {name}", "i"), [side, "i"]).drop("i")
+    across = links.select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

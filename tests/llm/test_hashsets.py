@@ -63,6 +63,16 @@ def test_heavy_tokens_are_counted_before_they_are_joined(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_one_key_and_one_class_of_a_third_of_all_rows(spark, monkeypatch):
+    """Blocks of few rows: keys beyond them at the last level are split, and so are classes."""
+    monkeypatch.setattr(hashsets, "BLOCK", 7)
+    monkeypatch.setattr(hashsets, "FREQUENT", 4)
+    rng = np.random.default_rng(5)
+    rows = [(k, 1, [5, int(rng.integers(-(2**62), 2**62))]) for k in range(60)] + [(100 + k, 1, [5, 6]) for k in range(50)]
+    rows += [(200 + k, 1, [int(rng.integers(-(2**62), 2**62))]) for k in range(40)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_edges(spark):
     rows = [(1, 1, [1, 2, 3, 4]), (2, 1, [4, 3, 2, 1]), (3, 1, None), (4, 1, []), (5, 1, [None]), (6, 1, [1, None, 2, 3, 4]), (7, None, [1, 2, 3, 4]), (8, 2, [1, 2, 3, 4]), (None, 1, [1, 2, 3, 4]), (1, 1, [1, 2, 3, 4]), (9, 1, [1] * 40), (10, 1, [-1, -2]), (11, 1, list(range(0, 400_000, 1000))), (12, 1, list(range(0, 400_000, 1000))[::-1])]
     assert found(spark, rows) == brute(rows)
