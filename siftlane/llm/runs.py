@@ -1,11 +1,13 @@
 """Repeated consecutive events in sequences (problem 4).
 
-Method: per entity the events become a string of code points, one per canonical event; the regular expression
-``(.)\\1*`` cuts it into its repetitions, whose spans are mapped back to index and time.
+Method: per entity the events become a string of code points, one per canonical event; a regular expression with a
+backreference finds its repetitions, whose spans are mapped back to index and time.
 
-An event is canonical with its predecessor if both have a hash and these differ by at most ``bits`` bits, so a symbol
-stands for a chain of near-identical events. A string covers one block of an entity's index range, so that an entity
-of any length is never gathered in one task; runs that touch across blocks are joined by their ends afterwards.
+A canonical event is a class of hashes: hashes of neighbouring events that differ by at most ``bits`` bits are of one
+class, and so is what they are linked with. Near neighbours therefore always have one symbol. The converse does not hold,
+as a class may drift: a span is cut once more where two neighbours in it are further apart. Events without a hash have a
+symbol the expression does not repeat. A string covers one block of an entity's index range, so that an entity of any
+length is never gathered in one task; runs that touch across blocks are joined by their ends afterwards.
 """
 
 from __future__ import annotations
@@ -13,21 +15,51 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlane.session import cut
+
 #: Index range of a block; one string has at most so many symbols.
 BLOCK = 4096
-#: Symbols are code points from here on, in turn; neighbours always differ.
-FIRST, SYMBOLS = 0xE000, 6000
+#: Symbols of a block are code points from here on; there are enough for blocks of up to a million events.
+FIRST = 0x10000
 
-_REPEATED = re.compile(r"(.)\1*", re.DOTALL)
+_REPEATED = re.compile("([^\0])\\1*|\0")
 _RUN = "entity BIGINT, block BIGINT, n_blocks BIGINT, edge BOOLEAN, first_index INT, last_index INT, n BIGINT, first_millis INT, last_millis INT, head BIGINT, tail BIGINT"
 
 
+def _canonical(owner: np.ndarray, h: np.ndarray, has: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The symbol of each event: its class's place among those of its block, from 1 on; 0 without a hash."""
+    order = np.lexsort((h, ~has, owner))
+    fresh = np.append(True, (owner[order][1:] != owner[order][:-1]) | (h[order][1:] != h[order][:-1]) | (has[order][1:] != has[order][:-1]))
+    node = np.empty(len(h), np.int64)
+    node[order] = np.cumsum(fresh) - 1
+    label = np.arange(int(fresh.sum()))
+    a, b = node[:-1][same[1:]], node[1:][same[1:]]
+    while True:  # the smaller label spreads along links and then jumps to that label's own
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            break
+        for end in (label[a], label[b], a, b):
+            np.minimum.at(label, end, low)
+        label = label[label]
+    classes = label[node]
+    first = np.zeros(len(label), np.int64)
+    first[node[order][fresh]] = owner[order][fresh]
+    below = np.searchsorted(first, owner)  # nodes of earlier blocks; nodes stand in the order of blocks
+    return np.where(has, classes - below + 1, 0)
+
+
+def _pieces(start: int, end: int, apart: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of the pieces of a span, cut before events that are not near the one before them."""
+    at = apart[np.searchsorted(apart, start, "right") : np.searchsorted(apart, end)].tolist() if end - start > 1 else []
+    return [(a, z - 1) for a, z in zip([start, *at], [*at, end], strict=True)]
+
+
 def _cut(bits: int):
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -45,15 +77,16 @@ def _cut(bits: int):
             ms = millis.fill_null(0).to_numpy().astype("i8")
             same = np.zeros(len(idx), bool)
             same[1:] = (owner[1:] == owner[:-1]) & has[1:] & has[:-1] & (np.bitwise_count(h[1:] ^ h[:-1]) <= bits)
-            symbols = FIRST - 1 + np.cumsum(~same) % SYMBOLS + 1
-            text = symbols.astype("<u4").tobytes().decode("utf-32-le")
+            symbols = _canonical(owner, h, has, same)
+            text = np.where(symbols > 0, symbols + FIRST, 0).astype("<u4").tobytes().decode("utf-32-le")
+            apart = np.flatnonzero(~same)
             out: list[tuple] = []
             entity, block, n_blocks = (batch.column(k).to_pylist() for k in ("entity", "block", "n_blocks"))
             start = 0
             for k, size in enumerate(sizes):
                 end = start + size
-                for m in _REPEATED.finditer(text, start, end):
-                    a, z = m.start(), m.end() - 1
+                spans = ((m.start(), m.end()) for m in _REPEATED.finditer(text, start, end))
+                for a, z in (x for span in spans for x in _pieces(*span, apart)):
                     edge = n_blocks[k] > 1 and (a == start or z == end - 1)
                     if z > a or edge:
                         times = ms[a : z + 1][timed[a : z + 1]]
@@ -85,7 +118,7 @@ def runs(events: DataFrame, entity: str, index: str, millis: str, hash_: str, bi
     blocks = d.groupBy("entity", F.floor(F.col("i") / block).cast("bigint").alias("block")).agg(F.array_sort(F.collect_list(one)).alias("frames"))
     heads = blocks.groupBy("entity").agg(F.count(F.lit(1)).alias("n_blocks"))
     counted = blocks.join(heads, "entity").select("entity", "block", "n_blocks", F.col("frames").cast("array<struct<i:int,ms:int,h:bigint>>").alias("frames"))
-    cut_ = counted.mapInArrow(_cut(bits), _RUN)
+    cut_ = cut(counted.mapInArrow(_cut(bits), _RUN))
     inner = cut_.filter(~F.col("edge"))
     # the ends of blocks, joined where the tail of one continues in the head of the next
     w = Window.partitionBy("entity").orderBy("first_index")
