@@ -17,10 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from siftlane.operators.skew import in_blocks
+from siftlane.session import cut
+
+#: Rows of one look, or of one text, that meet in a task; more are split into blocks of about so many.
+BLOCK = 4096
+
 # Letters of one case that look alike; the first of each group stands for all.
 LOOK_ALIKE = (
-    "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІӀ", "JЈͿ", "KΚК", "MΜМϺ", "NΝ", "OΟО", "PΡР", "QԚ", "SЅ", "TΤТ", "WԜ", "XΧХ", "YΥУҮ", "ZΖ", "ГΓ", "ПΠ", "ФΦ",
-    "aаα", "cсϲ", "dԁ", "eе", "hһ", "iіι", "jјϳ", "lӏ", "oоο", "pрρ", "qԛ", "sѕ", "vνѵ", "wԝ", "xхχ", "yуү", "кκ",
+    "AΑА", "BΒВ", "CСϹ", "EΕЕ", "FϜ", "GԌ", "HΗН", "IΙІӀ", "JЈͿ", "KΚК", "MΜМϺ", "NΝ", "OΟО", "PΡР", "QԚ", "SЅ", "TΤТ", "VѴ", "WԜ", "XΧХ", "YΥУҮ", "ZΖ", "ГΓ", "ПΠ", "ФΦ", "ΨѰ",
+    "aаα", "cсϲ", "dԁ", "eе", "hһ", "iіι", "jјϳ", "lӏ", "oоο", "pрρ", "qԛ", "sѕ", "uυ", "vνѵ", "wԝ", "xхχ", "yуүγ", "кκ", "фφϕ", "ψѱ", "єϵ",
 )
 # Kinds of compatibility forms that look like what they stand for.
 STYLES = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -140,7 +146,7 @@ def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ``look`` and ``raw`` are 128-bit digests, so texts of any length stay where they are read. Null texts are left out;
     an empty text looks like one of only invisible characters. Rows that repeat count once.
     """
-    return docs.select(F.col(key).alias("doc"), F.md5(one_form(text)).alias("look"), F.md5(text).alias("raw")).filter(F.col("raw").isNotNull())
+    return docs.select(F.col(key).alias("doc"), F.md5(one_form(text)).alias("look"), F.md5(text).alias("raw")).filter(F.col("raw").isNotNull()).distinct()
 
 
 def same_look(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,14 +155,17 @@ def same_look(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Copies of one text are first counted as one, and only looks with several texts are paired, text by text; documents
     come in at the end, so a text that a third of all documents share is compared once with each of its look-alikes.
     """
-    from siftlane.session import cut
-
-    d = cut(look_classes(docs, key, text).distinct())
+    d = cut(look_classes(docs, key, text))
     texts = d.select("look", "raw").distinct()
-    several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("look")
-    texts = cut(texts.join(several, "look", "left_semi"))
-    pairs = texts.alias("p").join(texts.alias("q"), "look").filter("p.raw < q.raw").select(F.col("p.raw").alias("raw"), F.col("q.raw").alias("other"))
-    docs_of = d.join(several, "look", "left_semi").select("raw", "doc")
-    first = pairs.join(docs_of, "raw").select(F.col("doc").alias("x"), F.col("other").alias("raw"))
-    both = first.join(docs_of, "raw").select("x", F.col("doc").alias("y")).filter("x <> y")
+    several = cut(texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    # looks of very many texts are compared block by block, of which only i <= j meet
+    blocks = f"cast(ceil(n / {BLOCK}) as int)"
+    texts = texts.join(several, "look").selectExpr("look", "raw", f"{blocks} as k", f"cast(pmod(xxhash64(raw), {blocks}) as int) as own")
+    p, q = texts.selectExpr("look", "raw", "own as i", "explode(sequence(own, k - 1)) as j"), texts.selectExpr("look", "raw as other", "explode(sequence(0, own)) as i", "own as j")
+    pairs = cut(p.join(q, ["look", "i", "j"]).filter("i < j or raw < other").select("raw", "other"))
+    docs_of = cut(d.join(several, "look", "left_semi").select("raw", "doc"))
+    left, right = in_blocks(pairs, docs_of, "raw", BLOCK)
+    first = left.join(right, ["raw", "_i", "_j"]).selectExpr("doc as x", "other as raw")
+    left, right = in_blocks(cut(first), docs_of, "raw", BLOCK)
+    both = left.join(right, ["raw", "_i", "_j"]).selectExpr("x", "doc as y").filter("x <> y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
