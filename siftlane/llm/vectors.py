@@ -319,9 +319,9 @@ def usable(frames: DataFrame, bans: DataFrame) -> DataFrame:
     """(id, ban, g, h): frames that can be compared; g is their group, h a digest of the vector.
 
     A frame's ban must exist and be active; its vector must have vector_dim elements, none null, NaN or infinite and not
-    all zero. Groups are chat, model, revision and dimension.
+    all zero. Groups are chat, model, revision and dimension; a ban without one of these is comparable with none.
     """
-    b = bans.filter("active").select(F.col("id").alias("ban"), F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("chat_id", "model_name", "model_revision", "vector_dim"))).alias("g"), F.col("vector_dim").alias("dim")).dropDuplicates(["ban"])
+    b = bans.filter("active and chat_id is not null and model_name is not null and model_revision is not null").select(F.col("id").alias("ban"), F.xxhash64("chat_id", "model_name", "model_revision", "vector_dim").alias("g"), F.col("vector_dim").alias("dim")).dropDuplicates(["ban"])
     v = F.col("vector")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     f = frames.filter(F.col("id").isNotNull() & v.isNotNull()).filter(fine).select("id", F.col("ban_id").alias("ban"), F.size(v).alias("size"), F.xxhash64(v).alias("h"))
