@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlane.llm.hashsets import similar_pairs, similar_sets
@@ -71,6 +71,34 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p8_mix(spark, d), table(spark, d, "mix_target"))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(container, docs, lost, overfull, split_short): what must hold of the bins of a kind, counted; all but docs are 0."""
+    sizes = _sizes(spark, d).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n"))
+    kinds = table(spark, d, "token_container")
+    b = cut(pack(sizes.withColumnRenamed("n", "n_tokens"), kinds))
+    docs = b.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("first_token").alias("starts"))
+    seen = docs.join(sizes, "doc_id").join(kinds, "container").groupBy("container").agg(F.count(F.lit(1)).alias("docs"), F.count_if((F.col("packed") != F.col("n")) | (F.col("starts") != F.col("pieces"))).alias("lost"), F.count_if((F.col("n") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)).alias("split_short"))
+    bins = b.filter("bin_id is not null").groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("filled")).join(kinds, "container")
+    return seen.join(bins.groupBy("container").agg(F.count_if(F.col("filled") > F.col("capacity_tokens")).alias("overfull")), "container").select("container", "docs", "lost", "overfull", "split_short")
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(source, overused, misplaced, near_target): what must hold of each source of the mix.
+
+    overused and misplaced count its documents used too often or of another source, and are 0; near_target tells whether
+    its tokens miss the target share by no more than its largest document.
+    """
+    sizes, target = _sizes(spark, d), table(spark, d, "mix_target")
+    m = cut(mix(sizes, target))
+    of = sizes.select("doc_id", F.col("source").alias("own"))
+    used = m.join(of, "doc_id").join(target, "source").groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("overused"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("misplaced"))
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    reached = shares(m, target).join(largest, "source", "left")
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # a row a source
+    near = F.abs(F.col("tokens") - F.col("target_share") * total) <= F.coalesce("largest", F.lit(0))
+    return reached.withColumn("near_target", near).join(used, "source", "left").select("source", F.coalesce("overused", F.lit(0)).alias("overused"), F.coalesce("misplaced", F.lit(0)).alias("misplaced"), "near_target")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
@@ -79,7 +107,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"), "look")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_classes": p9_classes}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_runs": p4_runs, "p5_found": p5_found, "p5_classes": p5_classes, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_invariants": p7_invariants, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_invariants": p8_invariants, "p9_found": p9_found, "p9_classes": p9_classes}
 
 _RUNS = """WITH f AS (SELECT video_like_id, frame_index, position_millis, hash, row_number() OVER (PARTITION BY video_like_id, frame_index ORDER BY hash NULLS LAST, position_millis NULLS LAST) AS nth
   FROM (SELECT DISTINCT * FROM blocked_video_like_frame_hash) WHERE video_like_id IS NOT NULL AND frame_index IS NOT NULL),
@@ -92,6 +120,12 @@ _SETS = """WITH r AS (SELECT DISTINCT id, chat_id, list_filter(hashes, lambda h:
 e AS (SELECT id, chat_id, len(hs) AS n, unnest(hs) AS h, unnest(range(len(hs))) AS k FROM r),
 m AS (SELECT a.id AS id_a, b.id AS id_b, count(DISTINCT a.k) + count(DISTINCT b.k) AS near, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.chat_id = b.chat_id AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY 1, 2)
 """
+_CLASSES = """WITH r AS (SELECT DISTINCT id, chat_id, list_sort(list_filter(hashes, lambda h: h IS NOT NULL)) AS hs FROM stored_image_hash WHERE id IS NOT NULL AND chat_id IS NOT NULL),
+c AS (SELECT *, min(id) OVER (PARTITION BY chat_id, hs) AS class_id FROM r WHERE len(hs) > 0),
+e AS (SELECT id, chat_id, len(hs) AS n, unnest(hs) AS h, unnest(range(len(hs))) AS k FROM c WHERE id = class_id),
+m AS (SELECT a.id AS id_a, b.id AS id_b, count(DISTINCT a.k) + count(DISTINCT b.k) AS near, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.chat_id = b.chat_id AND a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY 1, 2),
+l AS (SELECT unnest([id_a, id_b]) AS class_id, count(*) AS n_links FROM m WHERE near / n >= 0.6 GROUP BY 1)
+"""
 _NEIGHBOURS = """WITH b AS (SELECT DISTINCT ON (id) id AS ban, chat_id, model_name, model_revision, vector_dim FROM vector_ban WHERE active),
 f AS (SELECT DISTINCT ON (id) id, ban_id AS ban, vector FROM stored_vector_frame WHERE vector IS NOT NULL),
 u AS (SELECT id, ban, chat_id, model_name, model_revision, list_transform(vector, lambda x: x::DOUBLE) AS v FROM f JOIN b USING (ban)
@@ -104,6 +138,10 @@ t AS (SELECT q, n FROM c WHERE cos >= 0.8 QUALIFY row_number() OVER (PARTITION B
 SQL = {
     "p1_found": _NEIGHBOURS + "SELECT DISTINCT least(q, n) AS frame_id_a, greatest(q, n) AS frame_id_b FROM t",
     "p5_found": _SETS + "SELECT id_a, id_b FROM m WHERE near / n >= 0.6",
+    "p5_classes": _CLASSES + "SELECT id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l USING (class_id)",
+    # what must hold, whatever the bins and the choice
+    "p7_invariants": "SELECT container, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS split_short FROM token_container",
+    "p8_invariants": "SELECT source, 0::BIGINT AS overused, 0::BIGINT AS misplaced, true AS near_target FROM mix_target",
     "p4_found": _RUNS + "SELECT video_like_id, a AS first_frame_index, z AS last_frame_index FROM r",
     "p4_runs": _RUNS + "SELECT video_like_id, a AS first_index, z AS last_index, n AS n_events, dur::BIGINT AS duration_millis FROM r",
 }

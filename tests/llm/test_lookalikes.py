@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siftlane.llm import lookalikes
 from siftlane.llm.lookalikes import INVISIBLE, LOOK_ALIKE, look_classes, one_form, same_look, transducer
 
 ALIKE = {x: g[0] for g in LOOK_ALIKE for x in g[1:]}
@@ -27,8 +28,8 @@ def brute(rows):
     return {(min(a, b), max(a, b)) for x in of.values() for (a, s), (b, t) in combinations(x, 2) if s != t and a != b}
 
 
-SAME = [("Ｔｈｅ", "The"), ("Τhе", "The"), ("ﬁn", "fin"), ("𝐚b", "ab"), ("é", "é"), ("е́", "é"), ("e‍́", "é"), ("a b", "a b"), ("a　b", "a b"), ("x​y⁠z﻿", "xyz"), ("­ab", "ab"), ("О", "O"), ("ṩ", "ṩ"), ("ṩ", "ṩ"), ("і́", "í"), ("й", "й"), ("ё", "ë"), ("１２", "12"), ("ﾊﾞ", "バ"), ("각", "각"), ("́a", "́а")]
-OTHER = [("a", "A"), ("é", "e"), ("O", "0"), ("l", "1"), ("a b", "a  b"), ("a\nb", "a b"), ("a\n", "a\r\n"), ("a,b", "a.b"), ("²", "2"), ("①", "1"), ("k", "к"), ("З", "3"), ("ß", "ss"), ("ſ", "s"), ("T", "т")]
+SAME = [("Ｔｈｅ", "The"), ("Τhе", "The"), ("ﬁn", "fin"), ("𝐚b", "ab"), ("é", "é"), ("е́", "é"), ("e‍́", "é"), ("a b", "a b"), ("a　b", "a b"), ("x​y⁠z﻿", "xyz"), ("­ab", "ab"), ("О", "O"), ("ṩ", "ṩ"), ("ṩ", "ṩ"), ("і́", "í"), ("й", "й"), ("ё", "ë"), ("１２", "12"), ("ﾊﾞ", "バ"), ("각", "각"), ("́a", "́а"), ("V", "Ѵ"), ("v", "ѵ"), ("u", "υ"), ("y", "γ"), ("G", "Ԍ"), ("F", "Ϝ"), ("Ψ", "Ѱ")]
+OTHER = [("a", "A"), ("é", "e"), ("O", "0"), ("l", "1"), ("a b", "a  b"), ("a\nb", "a b"), ("a\n", "a\r\n"), ("a,b", "a.b"), ("²", "2"), ("①", "1"), ("k", "к"), ("З", "3"), ("ß", "ss"), ("ſ", "s"), ("T", "т"), ("Ӏ", "l"), ("σ", "o"), ("г", "r")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -62,3 +63,13 @@ def test_edges(spark):
     assert len(got) == len(set(got)) and set(got) == brute(rows) == {(1, 2), (2, 3), (5, 6), (6, 7), (8, 9)}
     assert same_look(d.limit(0)).count() == 0
     assert look_classes(d).filter("doc = 4").count() == 0 and d.filter("doc_id = 4").select(one_form("text")).first()[0] is None
+
+
+def test_hot_looks_and_texts_meet_in_blocks(spark, monkeypatch):
+    """One look that a third of all texts have, one text that a third of all documents have."""
+    monkeypatch.setattr(lookalikes, "BLOCK", 5)
+    rows = [(k, "ab" + "\u200b" * (k % 23)) for k in range(40)] + [(100 + k, "cо") for k in range(40)] + [(200, "co"), (201, "со")] + [(300 + k, f"t{k}") for k in range(40)]
+    d = spark.createDataFrame(rows + rows[:9], "doc_id BIGINT, text STRING")
+    got = [(r.a, r.b) for r in same_look(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    assert look_classes(d).count() == len(rows)

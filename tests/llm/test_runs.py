@@ -57,6 +57,15 @@ def test_blocks_are_joined(spark, block):
     assert found(spark, rows, block=block) == brute(rows)
 
 
+def test_classes_drift_and_come_back(spark):
+    """A chain of near hashes ends far from where it began: its class is one, but neighbours that are far apart part runs."""
+    chain = [(1 << 3 * k) - 1 for k in range(12)]
+    rows = [(1, k, k * 10, h) for k, h in enumerate(chain + [chain[0]] * 3 + chain[::-1] + [None, chain[5], chain[5], None, None])]
+    rows += [(2, k, k, chain[(k * 5) % 12]) for k in range(60)] + [(3, k, k, chain[k % 2]) for k in range(9)]
+    assert found(spark, rows) == brute(rows)
+    assert {r for r in brute(rows) if r[0] == 1} == {(1, 0, 11, 12, 110), (1, 12, 14, 3, 20), (1, 15, 26, 12, 110), (1, 28, 29, 2, 10)}
+
+
 def test_edges(spark):
     rows = [(1, 0, 0, 5), (1, 0, 0, 5), (1, 1, None, 5), (1, 2, None, None), (1, 3, 9, 5), (None, 1, 1, 5), (2, None, 1, 5), (3, 0, 0, 5), (4, 0, 0, -1), (4, 5, 10, -1), (5, 0, None, 1), (5, 1, None, 1), (6, 0, 0, 1), (6, 1, 1, 2**40), (6, 1, 1, 1)]
     assert found(spark, rows) == brute(rows)

@@ -13,7 +13,7 @@ def brute(frames, bans, k=5, least=0.8):
     of = {b[0]: b for b in bans if b[5]}
     use = {}
     for i, b, v in frames:
-        if b in of and v is not None and len(v) == of[b][4] and None not in v and np.isfinite(v).all() and np.any(v):
+        if b in of and None not in of[b][1:4] and v is not None and len(v) == of[b][4] and None not in v and np.isfinite(v).all() and np.any(v):
             use[i] = (of[b][1:5], b, np.array(np.float32(v), float))
     out = set()
     for q, (g, b, v) in use.items():
