@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a file or folder; one that is not there is none."""
     fs, p = _at(spark, path)

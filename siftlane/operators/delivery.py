@@ -13,6 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.files import is_folder
 from siftlane.functions.ids import uuid_key
 from siftlane.operators.skew import heavy_keys, lookup
 from siftlane.session import cut, written
@@ -79,7 +80,9 @@ def read_once(spark: SparkSession, path: str, identifier: str = "event_uid", ord
                 room = vectors
             groups[-1].append(f)
             room -= n
-    read = lambda files: spark.read.schema(log.schema).option("basePath", path).parquet(*files)
+    # columns told by folders are those below the path itself
+    below = {"basePath": path} if is_folder(spark, path) else {}
+    read = lambda files: spark.read.schema(log.schema).options(**below).parquet(*files)
     out = read(clean) if clean else log.limit(0)
     for files in groups:
         if files:

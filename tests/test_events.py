@@ -99,6 +99,18 @@ def test_read_once_without_copies_and_empty(spark, tmp_path):
         assert delivery.repeated_deliveries(spark.read.parquet(str(tmp_path / name))).count() == 0
 
 
+@pytest.mark.parametrize("vectors", [1, 2, 100])
+def test_files_in_groups_and_folders_with_odd_names(spark, tmp_path, vectors):
+    """Files with and without copies, more than one broadcast holds, in folders that tell a column."""
+    path = str(tmp_path / "a log%20of x")
+    for k in range(6):
+        rows = [row(10 * k + j, msg=U[1] if j == 0 and k % 2 else f"m{k}-{j}") for j in range(4)]
+        spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{path}/day=d {k % 2}/part={k}")
+    kept = delivery.read_once(spark, path, vectors=vectors)
+    assert {"day", "part"} <= set(kept.columns)
+    assert sorted((r.delivery_id, r.day, r.part) for r in kept.collect()) == sorted((10 * k + j, f"d {k % 2}", k) for k in range(6) for j in range(4) if not (j == 0 and k in (3, 5)))
+
+
 def test_rows_written_twice_keep_one(spark, tmp_path):
     d = spark.createDataFrame([row(1, msg=U[1], payload=b"x" * 5000)] * 3 + [row(2, msg=U[1])], LOG)
     d.write.parquet(str(tmp_path / "c"))
