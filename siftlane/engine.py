@@ -17,6 +17,7 @@ from siftlane.functions.vectors import vector_signature
 from siftlane.operators import ingest, matching, progress
 from siftlane.operators.approximate import Parameters, approximate_top_k
 from siftlane.session import cut
+from siftlane.sources.media import contained, cosine_rows, decode_png, resized
 
 
 class Matcher(Protocol):
@@ -166,27 +167,40 @@ def request_violation(files: DataFrame) -> DataFrame:
     return d.select("request_id", F.when(F.col("n") == 0, "no files").when(F.col("nameless") > 0, "a file without a name").when(F.col("empty") > 0, "an empty file").alias("violation"))
 
 
-def embedder(load: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> Callable[[Column | str], Column]:
+def embedder(load: Callable[[], Callable[[list[np.ndarray]], np.ndarray]], decode: Callable[[bytes], tuple[int, int, int, bytes] | None] = decode_png, edge: int = 320) -> Callable[[Column | str], Column]:
     """A column function from image bytes to unit vectors; ``load`` runs once a worker and gives the model.
 
-    The model takes a batch of images and gives a matrix; rows are normalised here. Null stays null.
+    The model takes a batch of images (height, width, 3), red first, scaled to fit into ``edge``, and gives a matrix; rows
+    are normalised here. Null, and what ``decode`` does not know, gives null.
     """
 
+    def picture(content: bytes | None) -> np.ndarray | None:
+        if content is None or (p := decode(bytes(content))) is None:
+            return None
+        width, height, channels, pixels = p
+        a = np.frombuffer(pixels, np.uint8).reshape(height, width, channels)
+        a = np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, ::-1]
+        return resized(a, *contained(width, height, edge))
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for images in batches:
-            there = images.notna()
+        for contents in batches:
+            images = [picture(x) for x in contents]
+            there = [k for k, x in enumerate(images) if x is not None]
             out = pd.Series([None] * len(images), dtype=object)
-            if there.any():
-                v = np.asarray(model([bytes(x) for x in images[there]]), np.float32)
+            if there:
+                v = np.asarray(model([images[k] for k in there]), np.float32)
                 v = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
-                out[there.to_numpy()] = pd.Series(list(v), index=out.index[there.to_numpy()])
+                for k, row in zip(there, v, strict=True):
+                    out[k] = row
             yield out
 
     return lambda c: embed(F.col(c) if isinstance(c, str) else c)
 
 
-def byte_histogram(images: list[bytes]) -> np.ndarray:
-    """A stand-in for a model: the frequencies of 64 ranges of byte values; equal bytes give equal vectors."""
-    return np.stack([np.bincount(np.frombuffer(x, np.uint8) // 4, minlength=64).astype(np.float32) for x in images])
+def spectrum(images: list[np.ndarray], side: int = 8) -> np.ndarray:
+    """A descriptor that needs no weights: the lowest ``side`` x ``side`` cosine coefficients of each colour, 64 x 64 pixels."""
+    c = cosine_rows(64, side)
+    small = np.stack([resized(x, 64, 64) for x in images]).astype(np.float64) / 255 - 0.5
+    return np.einsum("ay,nyxk,bx->nkab", c, small, c, optimize=True).reshape(len(images), -1)

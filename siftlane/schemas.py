@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftlane import files
+
 # Columns and keys of the tables.
 TABLES: dict[str, tuple[str, tuple[tuple[str, ...], ...]]] = {
     "media_ban": ("ban_uid STRING, chat_id BIGINT, media_type STRING, file_unique_id STRING, created_by_user_id BIGINT, created_from_message_id BIGINT, active BOOLEAN, origin_replica_id STRING, source_event_id STRING, created_at TIMESTAMP, updated_at TIMESTAMP, deactivated_at TIMESTAMP", (("ban_uid",),)),
@@ -41,3 +43,26 @@ def key_violations(df: DataFrame, name: str) -> DataFrame:
         d = d.select(F.concat_ws("|", F.lit(",".join(columns)), *columns).alias("key"), "n")
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def migrate(spark: SparkSession, folder: str, to: int | None = None) -> int:
+    """Brings the tables in ``folder`` to version ``to``, the latest if none is given: table by table, up or down.
+
+    Version k has the first k tables. A table that comes is empty; one that goes is removed with its rows, after the
+    version without it is in force, so a step that fails is done again from the version before or after it.
+    """
+    names = list(TABLES)
+    to = len(names) if to is None else to
+    if not 0 <= to <= len(names):
+        raise ValueError(f"there is no version {to}")
+    at = int(files.current(spark, f"{folder}/version") or 0)
+    while at != to:
+        up = to > at
+        name = names[at] if up else names[at - 1]
+        if up and not files.exists(spark, f"{folder}/{name}/_SUCCESS"):
+            spark.createDataFrame([], schema(name)).write.mode("overwrite").parquet(f"{folder}/{name}")
+        at += 1 if up else -1
+        files.publish(spark, f"{folder}/version", str(at))
+        if not up:
+            files.delete(spark, f"{folder}/{name}")
+    return at

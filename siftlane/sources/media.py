@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -96,6 +97,63 @@ def images(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS, decode:
     return d.select("path", "kind", "width", "height", keep("channels"), keep("pixels"), lost.alias("problem"))
 
 
+def decode_png(content: bytes) -> tuple[int, int, int, bytes] | None:
+    """(width, height, channels, pixels blue first) of a PNG of 8 bits a sample, as sampled frames are; else None.
+
+    Grey and colour, with or without alpha (which is left out), or with a palette; not interlaced.
+    """
+    if (head := _size_of(content)) is None or head[0] != "png" or len(content) < 33 or content[24] != 8 or content[28]:
+        return None
+    _, width, height = head
+    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(content[25])
+    at, data, palette = 8, b"", None
+    while at + 12 <= len(content):
+        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        if kind == b"IDAT":
+            data += content[at + 8 : at + 8 + size]
+        elif kind == b"PLTE":
+            palette = np.frombuffer(content[at + 8 : at + 8 + size], np.uint8).reshape(-1, 3)
+        at += 12 + size
+    try:
+        raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    except zlib.error:
+        return None
+    if samples is None or len(raw) != height * (1 + width * samples):
+        return None
+    rows = raw.reshape(height, 1 + width * samples)
+    out = np.zeros((height, width * samples), np.uint8)
+    before = np.zeros(width * samples, np.uint8)
+    for y in range(height):
+        out[y] = before = _unfiltered(int(rows[y, 0]), rows[y, 1:], before, samples)
+    pixels = out.reshape(height, width, samples)
+    if content[25] == 3:
+        if palette is None or pixels.max() >= len(palette):
+            return None
+        pixels = palette[pixels[:, :, 0]]
+    colour = pixels[:, :, :1] if samples <= 2 and content[25] != 3 else pixels[:, :, 2::-1]
+    return width, height, colour.shape[2], colour.tobytes()
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A row of samples from its differences to the left, to the row above, to their mean, or to the best of three."""
+    if kind == 0:
+        return row
+    if kind == 2:
+        return row + above
+    if kind == 1:
+        return np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+    out, up = [0] * step + row.tolist(), [0] * step + above.tolist()
+    for i in range(step, len(out)):
+        left, top, corner = out[i - step], up[i], up[i - step]
+        if kind == 3:
+            guess = (left + top) // 2
+        else:
+            nearest = left + top - corner
+            guess = min((left, top, corner), key=lambda v: abs(nearest - v))
+        out[i] = (out[i] + guess) & 255
+    return np.array(out[step:], np.uint8)
+
+
 def contained(width: int, height: int, edge: int = 320) -> tuple[int, int]:
     """The size of an image scaled to fit into a square of ``edge``, larger or smaller, with its aspect kept."""
     scale = edge / max(width, height)
@@ -128,8 +186,9 @@ def sampled(frames: DataFrame, fps: int = 1, max_frames: int = MAX_FRAMES) -> Da
     return d.select("video", F.posexplode("slots").alias("frame_index", "_")).select("video", "frame_index", (F.col("frame_index") * (1000 // fps)).alias("position_millis"))
 
 
-def _cosine(n: int) -> np.ndarray:
-    k, x = np.arange(n)[:, None], np.arange(n)[None, :]
+def cosine_rows(n: int, rows: int) -> np.ndarray:
+    """The first ``rows`` rows of the cosine transform of ``n`` values."""
+    k, x = np.arange(rows)[:, None], np.arange(n)[None, :]
     return np.cos(np.pi * k * (2 * x + 1) / (2 * n))
 
 
@@ -142,7 +201,7 @@ def perceptual_hash(grey: np.ndarray) -> int:
     fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
     top = grey[np.ix_(y0, x0)] * (1 - fx) + grey[np.ix_(y0, x1)] * fx
     low = grey[np.ix_(y1, x0)] * (1 - fx) + grey[np.ix_(y1, x1)] * fx
-    c = _cosine(64)
+    c = cosine_rows(64, 64)
     # rounding keeps a flat image's coefficients at zero, whatever its size
     block = np.round((c @ (top * (1 - fy) + low * fy) @ c.T)[:8, :8].ravel(), 6)
     return int("".join("1" if b else "0" for b in block > np.median(block)), 2)

@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,21 @@ def log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+@dataclass(frozen=True)
+class Applier:
+    """One index's way to follow the log: which events it supports, and the rows it makes of them.
+
+    Events of other types are not handed on, and do not hold the index up.
+    """
+
+    name: str
+    apply: Callable[[DataFrame], DataFrame]
+    supports: tuple[str, ...] = (CREATED,)
+
+    def __call__(self, batch: DataFrame) -> DataFrame:
+        return self.apply(unwrap(batch).filter(F.col("event_type").isin(*self.supports)).select(*batch.columns))
+
+
 def applied(batch: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     """(ban_uid, chat_id, file_unique_id, tx, off): rows the created-ban events of a batch add, one a ban, the first in the log.
 

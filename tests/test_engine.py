@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlane.config import Settings
-from siftlane.engine import Engine, ExactMatcher, ImageMatcher, VectorMatcher, VideoMatcher, byte_histogram, embedder, request_violation, upload_violation
+from siftlane.engine import Engine, ExactMatcher, ImageMatcher, VectorMatcher, VideoMatcher, embedder, request_violation, spectrum, upload_violation
 from siftlane.operators import index
 from siftlane.sources.log_source import OutboxSource
 
@@ -41,9 +41,15 @@ def test_uploads(spark):
 
 
 def test_embedding(spark):
-    d = spark.createDataFrame([(b"abc" * 10,), (b"abc" * 20,), (None,), (b"\x00\xff",)], "img BINARY").coalesce(1)
-    r = [x[0] for x in d.select(embedder(lambda: byte_histogram)("img")).collect()]
-    assert r[2] is None and np.allclose(r[0], r[1]) and abs(float(np.dot(r[3], r[3])) - 1) < 1e-6
+    from test_functions import png
+
+    rng = np.random.default_rng(1)
+    scene = rng.integers(0, 255, (6, 8))
+    picture = lambda scale: np.kron(scene, np.ones((scale, scale))).astype(np.uint8)
+    d = spark.createDataFrame([(png(picture(4)),), (png(picture(7)),), (None,), (b"no image",), (png(255 - picture(4)),)], "img BINARY").coalesce(1)
+    r = [x[0] for x in d.select(embedder(lambda: spectrum)("img")).collect()]
+    assert r[2] is None and r[3] is None and len(r[0]) == 192 and abs(float(np.dot(r[4], r[4])) - 1) < 1e-6
+    assert np.dot(r[0], r[1]) > 0.98 and np.dot(r[0], r[4]) < 0
 
 
 VECTORS = "frame_id BIGINT, ban_id BIGINT, chat_id BIGINT, model_name STRING, model_revision STRING, frame_index INT, vector ARRAY<FLOAT>"

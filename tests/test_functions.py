@@ -109,13 +109,40 @@ def test_files_are_bounded(spark, tmp_path):
     assert [r.length for r in media.files(spark, str(tmp_path), 10).collect()] == [3]
 
 
-def png(width, height, value):
-    import struct
+def png(pixels, filters=(0,), colour=None):
+    """A PNG of grey (height, width) or colour (height, width, samples) pixels, its rows filtered in turn."""
     import zlib
 
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = b"".join(b"\0" + bytes([value]) * width for _ in range(height))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    pixels = np.asarray(pixels, np.uint8)
+    pixels = pixels[:, :, None] if pixels.ndim == 2 else pixels
+    h, w, n = pixels.shape
+    flat, rows, above = pixels.reshape(h, w * n).astype(int), b"", np.zeros(w * n, int)
+    for y, row in enumerate(flat):
+        left, corner = (np.concatenate([np.zeros(n, int), x[:-n]]) for x in (row, above))
+        best = np.array([min((a, b, c), key=lambda v: abs(a + b - c - v)) for a, b, c in zip(left, above, corner, strict=True)])
+        kind = filters[y % len(filters)]
+        rows += bytes([kind]) + ((row - (np.zeros(w * n, int), left, above, (left + above) // 2, best)[kind]) % 256).astype(np.uint8).tobytes()
+        above = row
+    kind = {1: 0, 2: 4, 3: 2, 4: 6}[n] if colour is None else 3
+    table = b"" if colour is None else part(b"PLTE", np.asarray(colour, np.uint8).tobytes())
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + table + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("samples", [1, 2, 3, 4])
+def test_png_of_all_filters(samples):
+    x = np.random.default_rng(samples).integers(0, 256, (11, 7, samples)).astype(np.uint8)
+    width, height, channels, pixels = media.decode_png(png(x, (0, 1, 2, 3, 4)))
+    want = x[:, :, :1] if samples < 3 else x[:, :, 2::-1]
+    assert (width, height, channels) == (7, 11, want.shape[2]) and pixels == want.tobytes()
+
+
+def test_png_with_palette_and_broken_ones():
+    table = [[1, 2, 3], [4, 5, 6]]
+    assert media.decode_png(png([[0, 1], [1, 0]], colour=table))[3] == bytes([3, 2, 1, 6, 5, 4, 6, 5, 4, 3, 2, 1])
+    good = png([[0, 1], [1, 2]])
+    assert media.decode_png(png([[0, 1], [1, 2]], colour=table)) is None
+    assert [media.decode_png(x) for x in (b"", good[:20], good[:45], GIF, good.replace(b"IDAT", b"IDAX"))] == [None] * 5
 
 
 GIF = bytes.fromhex("47494638396101000100800000000000ffffff2c00000000010001000002024401003b")
@@ -128,7 +155,7 @@ WEBP = {
 
 
 def test_images_of_all_kinds(spark, tmp_path):
-    for name, data in {"a.png": png(5, 4, 9), "big.png": png(50, 40, 9), "b.gif": GIF, "c.jpg": JPEG, "d.webp": WEBP["x"] + b"\0" * 9, "e.txt": b"none"}.items():
+    for name, data in {"a.png": png(np.full((4, 5), 9)), "big.png": png(np.full((40, 50), 9)), "b.gif": GIF, "c.jpg": JPEG, "d.webp": WEBP["x"] + b"\0" * 9, "e.txt": b"none"}.items():
         (tmp_path / name).write_bytes(data)
     assert [media._size_of(w + b"\0" * 9) for w in WEBP.values()] == [("webp", 100, 50)] * 3
     got = {r.path.rsplit("/", 1)[1]: r for r in media.images(spark, str(tmp_path), max_pixels=1999 * 4).collect()}

@@ -159,3 +159,13 @@ def test_stale_indexes_are_counted(spark):
     progress.require_fresh(cp, "c", ["y"])
     with pytest.raises(RuntimeError, match="1 stale"):
         progress.require_fresh(cp, "c", ["x", "y"])
+
+
+def test_migrations_up_and_down(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    assert schemas.migrate(spark, folder, 3) == 3 and schemas.migrate(spark, folder) == len(schemas.TABLES)
+    first, last = next(iter(schemas.TABLES)), list(schemas.TABLES)[-1]
+    assert spark.read.parquet(f"{folder}/{last}").schema == schemas.schema(last)
+    assert schemas.migrate(spark, folder, 1) == 1 and {p.name for p in (tmp_path / "db").iterdir()} == {first, "version"}
+    with pytest.raises(ValueError):
+        schemas.migrate(spark, folder, 99)

@@ -147,6 +147,12 @@ def test_several_indexes(spark, follow):
     assert bans(catchup.snapshot(spark, at("exact")[0])) == [("a", 1, 1), ("b", 1, 2)] and bans(catchup.snapshot(spark, at("image")[0])) == [("b", 1, 2)]
 
 
+def test_an_applier_is_given_what_it_supports(spark):
+    d = spark.createDataFrame([event(1, 1, "a"), event(1, 2, "b", "other"), event(1, 3, "c", "third")], LOG)
+    assert catchup.Applier("x", lambda b: b, (CREATED, "third"))(d).count() == 2
+    assert bans(catchup.Applier("x", catchup.applied)(d)) == [("a", 1, 1)]
+
+
 def test_an_index_out_of_time_is_reported(spark, follow):
     add, run = follow
     add(event(1, 1, "a"))
