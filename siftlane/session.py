@@ -49,9 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder as parquet: later steps prune columns and know its size."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` computed once and written as parquet: later steps prune columns and know its size.
+
+    It lies in the shared folder, or in ``folder``, which whoever gives it removes when the rows are no longer needed.
+    """
+    path = f"{folder or shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
