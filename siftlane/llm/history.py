@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,16 +107,14 @@ def _text_chunks(rec: DataFrame) -> DataFrame:
 def chunks(rec: DataFrame) -> DataFrame:
     """The chunks of records, of one piece each: slot is what a hash counts as (its position, or itself), w how often."""
     base = "rid", "kind", "seq.batch as batch", "cast(size(elems) as bigint) as n"
-    of = lambda kind: rec.filter(f"kind = {kind}")
-    img = of(IMAGE).selectExpr(*base, "g", "posexplode(elems) as (p, e)").selectExpr("rid", "kind", "batch", "n", "e", "cast(p as bigint) as slot", "1L as w", "xxhash64(g, p) as seed")
-    vid = of(VIDEO).selectExpr(*base, "g", "explode(elems) as e").groupBy("rid", "kind", "batch", "n", "g", "e").agg(F.expr("count(1) as w"))
-    vid = vid.selectExpr("rid", "kind", "batch", "n", "e", "e as slot", "w", "g as seed")
-    out = None
-    for rows, kind in ((img, IMAGE), (vid, VIDEO)):
-        d = rows.selectExpr("*", f"explode({tokens('seed', 'e', 64, BITS[kind])}) as c")
-        d = d.selectExpr("c.key", "rid", "kind", "batch", f"{INDEX | PROBE} as role", "e", "slot", "w", "n", "1 as level", "c.p as path", "cast(null as string) as txt")
-        out = d if out is None else out.unionByName(d)
-    txt = _text_chunks(of(TEXT).selectExpr(*base, "g", "txt"))
+    # a video's hashes are sorted, so equal ones stand together: the places where another begins give how often each occurs
+    starts = f"if(kind = {VIDEO}, filter(sequence(0, size(elems) - 1), i -> i = 0 or elems[i] <> elems[i - 1]), array()) as starts"
+    at = "transform(elems, (e, i) -> struct(e as e, cast(i as bigint) as slot, 1L as w, xxhash64(g, i) as seed))"
+    own = "transform(starts, (s, i) -> struct(elems[s] as e, elems[s] as slot, cast(coalesce(get(starts, i + 1), size(elems)) - s as bigint) as w, g as seed))"
+    d = rec.filter(f"kind <> {TEXT}").selectExpr(*base, "g", "elems", starts).selectExpr("rid", "kind", "batch", "n", f"inline(if(kind = {IMAGE}, {at}, {own}))")
+    d = d.selectExpr("*", f"explode(if(kind = {IMAGE}, {tokens('seed', 'e', 64, BITS[IMAGE])}, {tokens('seed', 'e', 64, BITS[VIDEO])})) as c")
+    out = d.selectExpr("c.key", "rid", "kind", "batch", f"{INDEX | PROBE} as role", "e", "slot", "w", "n", "1 as level", "c.p as path", "cast(null as string) as txt")
+    txt = _text_chunks(rec.filter(f"kind = {TEXT}").selectExpr(*base, "g", "txt"))
     txt = txt.selectExpr("key", "rid", "kind", "batch", "role", "0L as e", "0L as slot", "0L as w", "0L as n", f"{LEVELS} as level", "0 as path", "txt")
     return _typed(out.unionByName(txt))
 
@@ -176,19 +174,19 @@ def _settled(batches: Iterator) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], ["rid"])
 
 
-def _in_order(pairs: DataFrame) -> DataFrame:
+def _in_order(pairs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(rid): records that an accepted earlier one matches, from all matching pairs (new, old, batch, id) of one batch.
 
-    batch and id are the place of the new record. Records without an earlier match are accepted and take their later matches
+    batch and id are the place of the new record; ``keep`` writes what is used several times. Records without an earlier match are accepted and take their later matches
     out, in rounds; once at most SETTLE pairs are left, which is counted, one task goes through them in order.
     """
-    pairs = written(pairs)
+    pairs = keep(pairs)
     out: DataFrame | None = None
     while pairs.count() > SETTLE:
         roots = pairs.select(F.col("old").alias("rid")).join(pairs.select(F.col("new").alias("rid")), "rid", "left_anti").distinct()
-        gone = written(pairs.join(roots.withColumnRenamed("rid", "old"), "old", "left_semi").select(F.col("new").alias("rid")).distinct())
+        gone = keep(pairs.join(roots.withColumnRenamed("rid", "old"), "old", "left_semi").select(F.col("new").alias("rid")).distinct())
         out = gone if out is None else out.unionByName(gone)
-        pairs = written(pairs.join(gone.withColumnRenamed("rid", "new"), "new", "left_anti").join(gone.withColumnRenamed("rid", "old"), "old", "left_anti"))
+        pairs = keep(pairs.join(gone.withColumnRenamed("rid", "new"), "new", "left_anti").join(gone.withColumnRenamed("rid", "old"), "old", "left_anti"))
     rest = pairs.select("new", "old", "batch", "id").coalesce(1).mapInArrow(_settled, "rid BIGINT")
     return rest if out is None else out.unionByName(rest)
 
@@ -206,13 +204,15 @@ class History:
         kept = json.loads(files.current(spark, f"{self.folder}/manifest") or "{}")
         self.parts: list[tuple[str, int]] = [(p, size) for p, size in kept.get("parts", [])]
         self.buckets = kept.get("buckets") or buckets or max(6, spark.sparkContext.defaultParallelism)
-        self.counts, self.hot = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, bool)
+        # by number of pieces and bucket of the sketch: rows counted, and whether the rows there have been extended
+        self.counts, self.hot = np.zeros((LEVELS + 1, SKETCH), np.int64), np.zeros((LEVELS + 1, SKETCH), bool)
+        for level, bucket in kept.get("hot", []):
+            self.hot[level, bucket] = True
         for name in ("chunks", "staged"):
             spark.sql(f"CREATE TABLE {self._name(name)} ({_CHUNK}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
         if self.parts:  # the sketch of what is stored
             spark.catalog.recoverPartitions(self._name("chunks"))
             self._count(self._stored(None))
-            self.hot = self.counts > frequent
 
     def _name(self, table: str) -> str:
         return f"siftlane_{table}_{self.tag}"
@@ -224,6 +224,10 @@ class History:
         rows.select(*_NAMES, F.lit(part).alias("part")).write.insertInto(self._name(table))
         self.spark.catalog.refreshTable(self._name(table))
 
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written for the time of one batch."""
+        return written(rows, f"{self.folder}/work")
+
     def _read(self, table: str, parts: list[str]) -> DataFrame:
         return self.spark.table(self._name(table)).filter(F.col("part").isin(parts)).drop("part")
 
@@ -231,43 +235,52 @@ class History:
         return self._read("chunks", [p for p, _ in self.parts if p != without])
 
     def _publish(self) -> None:
-        files.publish(self.spark, f"{self.folder}/manifest", json.dumps({"buckets": self.buckets, "parts": self.parts}))
+        files.publish(self.spark, f"{self.folder}/manifest", json.dumps({"buckets": self.buckets, "parts": self.parts, "hot": np.argwhere(self.hot).tolist()}))
 
     def _count(self, rows: DataFrame) -> None:
-        for bucket, n in rows.groupBy(_bucket().alias("bucket")).count().collect():  # at most SKETCH rows
-            self.counts[bucket] += n
+        for level, bucket, n in rows.groupBy("level", _bucket().alias("bucket")).count().collect():  # at most LEVELS * SKETCH rows
+            self.counts[level, bucket] += n
 
     def _marked(self, rows: DataFrame, which: np.ndarray, hot: bool) -> DataFrame:
-        """The rows whose chunk is in the buckets ``which`` of the sketch, or those whose is not, with ``salts``."""
-        at = np.flatnonzero(which)
-        salts = np.maximum(1, -(-self.counts[at] // self.frequent))
-        table = F.broadcast(self.spark.createDataFrame([(int(a), int(b)) for a, b in zip(at, salts, strict=True)], "bucket INT, salts INT"))  # at most SKETCH rows
+        """The rows whose chunk is at the places ``which`` of the sketch, with ``salts``, or those whose is not."""
+        level, at = np.nonzero(which)
+        salts = np.maximum(1, -(-self.counts[level, at] // self.frequent))
+        table = F.broadcast(self.spark.createDataFrame(list(zip(level.tolist(), at.tolist(), salts.tolist(), strict=True)), "level TINYINT, bucket INT, salts INT"))  # at most LEVELS * SKETCH rows
         d = rows.withColumn("bucket", _bucket())
-        return d.join(table, "bucket") if hot else d.join(table, "bucket", "left_anti").drop("bucket")
+        return d.join(table, ["level", "bucket"]) if hot else d.join(table, ["level", "bucket"], "left_anti").drop("bucket")
 
     def _extend(self, part: str) -> None:
-        """Counts the chunks of a staged batch and extends those that have become too frequent, stored or new."""
-        fresh = self._read("staged", [part])
+        """Counts the chunks of a staged batch and extends those that have become too frequent, stored or new.
+
+        Level by level: rows of the batch at all places that are hot, stored rows at places that have become so, and rows
+        that were stored for the level before at places that had been hot. A place once hot stays so.
+        """
+        fresh, added, hot = self._read("staged", [part]), None, self.hot.copy()
         self._count(fresh)
-        for _ in range(LEVELS):
-            was, self.hot = self.hot, self.counts > self.frequent
-            if not self.hot.any():
-                return
-            open_ = lambda d: d.filter((F.col("level") < LEVELS) & (F.col("kind") != TEXT))
-            # new rows of all hot chunks; stored rows only of those that have become hot, as others were extended then
-            longer = written(_longer(self._marked(open_(fresh), self.hot, True).select(*_NAMES)))
+        open_ = lambda d: d.filter(F.col("kind") != TEXT)
+        for level in range(1, LEVELS):
+            before, turned, now = (np.zeros_like(hot) for _ in range(3))
+            before[level] = hot[level]
+            now[level] = hot[level] | (self.counts[level] > self.frequent)
+            turned[level] = now[level] & ~before[level]
+            if not now.any():
+                break
+            hot |= now
+            longer = self._keep(_longer(self._marked(open_(fresh), now, True).select(*_NAMES)))
             self._write(longer.repartition(self.buckets, "key"), "staged", part, True)
             self._count(longer)
-            if (turned := self.hot & ~was).any() and self.parts:
-                old = written(_longer(self._marked(open_(self._stored(part)), turned, True).select(*_NAMES)))
-                if not old.isEmpty():
-                    name = f"{self.parts[-1][0]}-longer-{len(self.parts)}"
-                    self._write(old.repartition(self.buckets, "key"), "chunks", name)
-                    self.parts.append((name, 0))
-                    self._count(old)
+            old = [self._marked(open_(self._stored(part)), turned, True).select(*_NAMES)] if turned.any() and self.parts else []
+            old += [self._marked(open_(added), before, True).select(*_NAMES)] if added is not None and before.any() else []
+            added = None
+            if old:
+                added = self._keep(_longer(old[0] if len(old) == 1 else old[0].unionByName(old[1])))
+                name = f"longer-{uuid.uuid4().hex}"
+                self._write(added.repartition(self.buckets, "key"), "chunks", name)
+                self.parts.append((name, 0))
+                self._count(added)
             fresh = longer
-            if fresh.isEmpty():
-                return
+        hot[LEVELS] |= self.counts[LEVELS] > self.frequent  # their rows meet in blocks, and are not extended
+        self.hot = hot
 
     def _near(self, new: DataFrame, old: DataFrame, order: str = "true") -> DataFrame:
         """Pairs of rows n, o with one chunk and near contents; frequent chunks meet at the last level only, in blocks."""
@@ -276,8 +289,10 @@ class History:
         cold = self._marked(new, self.hot, False) if self.hot.any() else new
         # the batch is the side that is held in memory, the table streams by
         found = cold.alias("n").hint("shuffle_hash").join(old.alias("o"), F.expr("n.key = o.key")).filter(near).selectExpr(*_PAIR)
-        if self.hot.any():
-            last = lambda d: self._marked(d.filter(f"level = {LEVELS}"), self.hot, True)
+        if self.hot[LEVELS].any():
+            top = np.zeros_like(self.hot)
+            top[LEVELS] = self.hot[LEVELS]
+            last = lambda d: self._marked(d, top, True)
             a = last(new).selectExpr("*", "explode(sequence(0, salts - 1)) as salt")
             b = last(old).selectExpr("*", "cast(pmod(xxhash64(rid, slot), salts) as int) as salt")
             found = found.unionByName(a.alias("n").join(b.alias("o"), F.expr("n.key = o.key and n.salt = o.salt")).filter(near).selectExpr(*_PAIR))
@@ -295,19 +310,20 @@ class History:
         self._extend(part)
         left = staged = self._read("staged", [part])
         if any(p != part for p, _ in self.parts):
-            seen = written(_covered(self._near(staged, self._stored(part))).select(F.col("new").alias("rid")).distinct())
+            seen = self._keep(_covered(self._near(staged, self._stored(part))).select(F.col("new").alias("rid")))
             left = staged.join(seen, "rid", "left_anti")
         pairs = _covered(self._near(left, left, "n.rid < o.rid"))
         # the one with the later place in (batch, id) repeats the other; of one kind, ids are in the order of rids
         later = "struct(at_new, new) > struct(at_old, old)"
         turned = pairs.selectExpr(f"if({later}, new, old) as new", f"if({later}, old, new) as old", "greatest(at_new, at_old) as batch", f"if({later}, new, old) as id")
-        accepted = left.join(_in_order(turned), "rid", "left_anti")
-        # rows that are only looked up need not be kept, nor do those of chunks that are extended
+        accepted = left.join(_in_order(turned, self._keep), "rid", "left_anti")
+        # rows that are only looked up need not be kept
         self._write(accepted.filter(f"role & {INDEX} > 0"), "chunks", part)
         self.parts = [x for x in self.parts if x[0] != part] + [(part, 1)]
         self._merge()
         self._publish()
         files.delete(self.spark, f"{self.folder}/staged/part={part}")
+        files.delete(self.spark, f"{self.folder}/work")
 
     def _merge(self) -> None:
         """Parts of one size are merged when there are MERGE of them, so a table of k parts has about log k left."""

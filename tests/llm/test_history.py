@@ -91,6 +91,23 @@ def test_frequent_chunks_are_extended(spark, monkeypatch):
     assert len(want) > 60 and found(spark, images, videos, texts, frequent=12) == want
 
 
+def test_places_that_turn_hot_late_and_after_reopening(spark, tmp_path):
+    """Small batches, so places of every level turn hot at different times; the history is opened again in between."""
+    rng = np.random.default_rng(9)
+    flip = lambda h, n: h ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False))
+    base = [int(rng.integers(0, 2**63)) for _ in range(3)]
+    images = [(k, 1, "v", "|".join(str(flip(base[p], 3 + k % 4) if p < 3 and k % 5 else int(rng.integers(0, 2**63))) for p in range(4)), k // 25) for k in range(125)]
+    repeats = expected(images)
+    rec = history.records(spark.createDataFrame(images, IMAGES))
+    for batch in range(5):
+        h = history.History(spark, str(tmp_path / "h"), buckets=2, frequent=9)
+        h.accept(rec.filter(F.col("seq.batch") == batch), f"b{batch}")
+        accepted = {r.rid // 3 for r in h.accepted().collect()}
+        h.forget()
+        assert accepted == {k for k in range(25 * batch + 25) if (0, k) not in repeats}
+    assert h.hot[1].any() and 10 < len(repeats) < 110
+
+
 def test_edges(spark):
     images = [(1, 1, "v", "1|2|3|4", 1), (2, 1, "v", " 01 | 2|3|| 4 ", 1), (3, 1, "w", "1|2|3|4", 1), (4, 2, "v", "1|2|3|4", 1), (5, 1, "v", None, 1), (6, 1, "v", "", 1), (7, 1, "v", "|x|", 1), (8, 1, "v", "1|2|3", 2), (9, None, None, "1|2|3|4", 2), (10, None, None, "1|2|3|4", None), (11, 1, "v", "63|2|3|4", 2), (12, 1, "v", "127|2|3|18446744073709551615", 2), (1, 1, "v", "1|2|3|4", 1)]
     videos = [(1, 1, "v", "0:0:5", 1), (2, 1, "v", "0:0:5|1:1:5|2:2:5", 1), (3, 1, "v", "0:0:15|1:100:18446744073709551615", 2), (4, 1, "v", "0:0:", 2), (5, 1, "v", "|".join(f"{k}:{k}:{k * 2654435761 % 2**64}" for k in range(2000)), 1), (6, 1, "v", "|".join(f"{k}:{k}:{k * 2654435761 % 2**64}" for k in range(2000)), 3)]
