@@ -70,27 +70,26 @@ def read_once(spark: SparkSession, path: str, identifier: str = "event_uid", ord
         ids = {r["k"]: r["id"] for r in listed.select("k", F.xxhash64(F.regexp_replace("f", "^file:/+", "file:/")).alias("id")).collect()}
         if missing := set(blocks) - set(ids.values()):
             raise ValueError(f"{len(missing)} files of the log are not in its list of files")
-    groups: list[list[str]] = [[]]
+    groups: list[list[int]] = [[]]
     room = vectors
-    clean = [f for k, f in enumerate(names) if ids.get(k) not in blocks]
-    for k, f in enumerate(names):
+    for k in range(len(names)):
         if n := blocks.get(ids.get(k)):
             if n > room and groups[-1]:
                 groups.append([])
                 room = vectors
-            groups[-1].append(f)
+            groups[-1].append(k)
             room -= n
     # columns told by folders are those below the path itself
     below = {"basePath": path} if is_folder(spark, path) else {}
-    read = lambda files: spark.read.schema(log.schema).options(**below).parquet(*files)
+    read = lambda ks: spark.read.schema(log.schema).options(**below).parquet(*(names[k] for k in ks))
+    clean = [k for k in range(len(names)) if ids.get(k) not in blocks]
     out = read(clean) if clean else log.limit(0)
-    for files in groups:
-        if files:
-            wide = read(files).select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_pos"))
-            at = wide.withColumn("_b", F.floor(F.col("_pos") / BLOCK).cast("bigint"))
-            here = F.broadcast(dv.select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.col("words").alias("_w")).filter(F.col("_f").isin([ids[k] for k, f in enumerate(names) if f in set(files)])))
-            lost = F.coalesce(F.expr(f"shiftrightunsigned(get(_w, cast(_pos % {BLOCK} as int) div 64), cast(_pos % 64 as int)) & 1L"), F.lit(0))
-            out = out.unionByName(at.join(here, ["_f", "_b"], "left").filter(lost == 0).select(*log.columns))
+    for group in filter(None, groups):
+        wide = read(group).select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_pos"))
+        at = wide.withColumn("_b", F.floor(F.col("_pos") / BLOCK).cast("bigint"))
+        here = F.broadcast(dv.filter(F.col("file").isin([ids[k] for k in group])).select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.col("words").alias("_w")))
+        lost = F.coalesce(F.expr(f"shiftrightunsigned(get(_w, cast(_pos % {BLOCK} as int) div 64), cast(_pos % 64 as int)) & 1L"), F.lit(0))
+        out = out.unionByName(at.join(here, ["_f", "_b"], "left").filter(lost == 0).select(*log.columns))
     return out
 
 
