@@ -86,7 +86,7 @@ def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
     """(source, overused, misplaced, near_target): what must hold of each source of the mix.
 
     overused and misplaced count its documents used too often or of another source, and are 0; near_target tells whether
-    its tokens miss the target share by no more than its largest document.
+    its tokens miss the target share by no more than its largest document; shares are those of the sources that have any.
     """
     sizes, target = _sizes(spark, d), table(spark, d, "mix_target")
     m = cut(mix(sizes, target))
@@ -94,8 +94,10 @@ def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
     used = m.join(of, "doc_id").join(target, "source").groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("overused"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("misplaced"))
     largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
     reached = shares(m, target).join(largest, "source", "left")
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # a row a source
-    near = F.abs(F.col("tokens") - F.col("target_share") * total) <= F.coalesce("largest", F.lit(0))
+    whole = Window.partitionBy(F.lit(0))  # a row a source
+    there = F.coalesce(F.col("largest") > 0, F.lit(False))
+    goal = F.col("target_share") / F.sum(F.when(there, F.col("target_share"))).over(whole) * F.sum("tokens").over(whole)
+    near = ~there | (F.abs(F.col("tokens") - goal) <= F.col("largest"))
     return reached.withColumn("near_target", near).join(used, "source", "left").select("source", F.coalesce("overused", F.lit(0)).alias("overused"), F.coalesce("misplaced", F.lit(0)).alias("misplaced"), "near_target")
 
 
