@@ -42,8 +42,8 @@ INDEX, PROBE = 1, 2
 SETTLE = 200_000
 #: Counts of the sketch, rows beyond which a count is hot, pieces in a chunk at most.
 SKETCH, FREQUENT, LEVELS = 1 << 16, 20_000, 3
-#: Parts of the table that are merged into one of the next size.
-MERGE = 8
+#: Parts of the table that are merged into one of the next size; batches after which the driver's memory is cleaned.
+MERGE, CLEAN = 8, 4
 
 _RECORD = "rid", "kind", "grp", "g", "seq", "elems", "txt"
 _CHUNK = "key BIGINT, rid BIGINT, kind TINYINT, batch INT, role TINYINT, e BIGINT, slot BIGINT, w BIGINT, n BIGINT, level TINYINT, path INT, txt STRING"
@@ -199,7 +199,7 @@ class History:
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, frequent: int = FREQUENT) -> None:
-        self.spark, self.frequent, self.tag = spark, frequent, uuid.uuid4().hex
+        self.spark, self.frequent, self.tag, self.taken = spark, frequent, uuid.uuid4().hex, 0
         self.folder = folder or f"{shared_folder(spark)}/history-{self.tag}"
         kept = json.loads(files.current(spark, f"{self.folder}/manifest") or "{}")
         self.parts: list[tuple[str, int]] = [(p, size) for p, size in kept.get("parts", [])]
@@ -324,6 +324,9 @@ class History:
         self._publish()
         files.delete(self.spark, f"{self.folder}/staged/part={part}")
         files.delete(self.spark, f"{self.folder}/work")
+        self.taken += 1
+        if self.taken % CLEAN == 0:  # shuffles, broadcasts and classes of finished batches are let go on driver and executors
+            self.spark.sparkContext._jvm.System.gc()
 
     def _merge(self) -> None:
         """Parts of one size are merged when there are MERGE of them, so a table of k parts has about log k left."""
