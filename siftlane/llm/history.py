@@ -43,7 +43,7 @@ SETTLE = 200_000
 #: Counts of the sketch, rows beyond which a count is hot, pieces in a chunk at most.
 SKETCH, FREQUENT, LEVELS = 1 << 16, 20_000, 3
 #: Parts of the table that are merged into one of the next size; batches after which the driver's memory is cleaned.
-MERGE, CLEAN = 8, 4
+MERGE, CLEAN = 8, 2
 
 _RECORD = "rid", "kind", "grp", "g", "seq", "elems", "txt"
 _CHUNK = "key BIGINT, rid BIGINT, kind TINYINT, batch INT, role TINYINT, e BIGINT, slot BIGINT, w BIGINT, n BIGINT, level TINYINT, path INT, txt STRING"
@@ -177,8 +177,9 @@ def _settled(batches: Iterator) -> Iterator:
 def _in_order(pairs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(rid): records that an accepted earlier one matches, from all matching pairs (new, old, batch, id) of one batch.
 
-    batch and id are the place of the new record; ``keep`` writes what is used several times. Records without an earlier match are accepted and take their later matches
-    out, in rounds; once at most SETTLE pairs are left, which is counted, one task goes through them in order.
+    batch and id are the place of the new record; ``keep`` writes what is used several times. Records without an earlier
+    match are accepted and take their later matches out, in rounds; once at most SETTLE pairs are left, which is counted,
+    one task goes through them in order.
     """
     pairs = keep(pairs)
     out: DataFrame | None = None
@@ -195,7 +196,8 @@ class History:
     """What has been accepted: a table of chunks in ``folder``, bucketed by chunk, appended batch by batch.
 
     Its parts in force stand in a manifest, so a part that a failed batch left behind is not read, and is replaced when
-    the batch is given again. ``buckets`` is fixed with the first batch; it bounds the tasks that join a batch.
+    the batch is given again. ``buckets`` is fixed with the first batch: as many tasks join a batch, each of which holds the
+    batch's chunks of one bucket in memory, so it is chosen by the size of batches, not by that of the history.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, frequent: int = FREQUENT) -> None:
