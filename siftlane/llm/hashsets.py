@@ -9,7 +9,11 @@ it that weighs more than the rest, 1 - cover, holds a near element. Prefixes tak
 token that few rows have is a key by itself; a frequent one is extended by the tokens of the bits outside it, again
 bits + 1 pieces, so combinations of two and three tokens are indexed there. Rows that share a key meet in one task, where
 their elements are compared at once, so only pairs with a near element leave it; these are verified over all elements. A
-key that even at the last level has more than BLOCK rows is split into blocks, which meet block by block.
+near pair shares many keys and leaves only one of them: that of the lowest token it has in common at each level. A key that
+even at the last level has more than BLOCK rows is split into blocks, which meet block by block.
+
+Memory: keys come sorted, so a task holds about ROWS rows and one key, which has at most HEAVY rows, and compares CELLS
+pairs of elements at once, however many rows its partition has.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ FREQUENT, LEVELS = 32, 3
 HEAVY = 200_000
 #: Rows of a key, or of a class, that meet in one task; more are split into blocks of about so many.
 BLOCK = 4096
+#: Rows that a task holds of a partition, and of the pairs it found, and pairs of elements that it compares at once.
+ROWS, CELLS = 1 << 18, 1 << 20
 
 
 def pieces(width: int, n: int) -> list[tuple[int, int]]:
@@ -136,63 +142,128 @@ def _rests(value: np.ndarray, p: np.ndarray, width: int, bits: int) -> np.ndarra
     return out
 
 
-def _pairs_of(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, e: np.ndarray, x: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+def _first(d: np.ndarray, path: np.ndarray, level: int, bits: int) -> np.ndarray:
+    """Whether the tokens of ``path`` are the lowest that elements with the difference ``d`` have in common at each level."""
+    out, width = np.ones(len(d), bool), 64
+    for k in range(level - 1, -1, -1):
+        p = path // (bits + 1) ** k % (bits + 1)
+        for q, (low, size) in enumerate(pieces(width, bits + 1)):
+            out &= (p <= q) | ((d >> np.uint64(low)) & np.uint64((1 << size) - 1) != 0)
+        if k:
+            d, width = _rests(d, p, width, bits), width - min(size for _, size in pieces(width, bits + 1))
+    return out
+
+
+def _near(e: np.ndarray, x: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(run, i, j) of near elements i and j in the rows of ``e``, one of them in a prefix; each pair once, CELLS at once."""
+    n, m = e.shape
+    if m * m <= CELLS >> 6:  # with more rows, those in a prefix are few
+        across = CELLS // (m * m)
+        for lo in range(0, n, across):
+            at = slice(lo, lo + across)
+            near = np.bitwise_count(e[at, :, None] ^ e[at, None, :]) <= bits
+            near &= (x[at, :, None] | x[at, None, :]) & np.triu(np.ones((m, m), bool), 1)
+            run, i, j = np.nonzero(near)
+            yield run + lo, i, j
+        return
+    for run in range(n):
+        own = np.flatnonzero(x[run])
+        for lo in range(0, len(own), step := max(1, CELLS // m)):
+            i = own[lo : lo + step]
+            near = np.bitwise_count(e[run, i, None] ^ e[run, None, :]) <= bits
+            near &= ~x[run] | (i[:, None] < np.arange(m))
+            at, j = np.nonzero(near)
+            yield np.full(len(j), run), i[at], j
+
+
+def _pairs_of(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, e: np.ndarray, px: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
     """(a, b), a < b, in rows: near elements of different ids, one of them in a prefix, within runs of sorted rows."""
     for m in np.unique(sizes):
         first = starts[sizes == m]
-        across = max(1, 4_000_000 // int(m * m))
-        for lo in range(0, len(first), across):
-            at = first[lo : lo + across, None] + np.arange(m)
-            near = np.bitwise_count(e[at][:, :, None] ^ e[at][:, None, :]) <= bits
-            near &= (x[at][:, :, None] | x[at][:, None, :]) & np.triu(np.ones((m, m), bool), 1)
-            run, i, j = np.nonzero(near)
-            a, b = ids[at[run, i]], ids[at[run, j]]
-            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+        for lo in range(0, len(first), step := max(1, ROWS // int(m))):
+            at = first[lo : lo + step, None] + np.arange(m)
+            for run, i, j in _near(e[at], px[at] & 1 == 1, bits):
+                i, j = at[run, i], at[run, j]
+                keep = (ids[i] != ids[j]) & _first(e[i] ^ e[j], px[i] >> 1, level, bits)
+                a, b = ids[i[keep]], ids[j[keep]]
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-_MET = "a BIGINT, b BIGINT, key BIGINT, id BIGINT, e BIGINT, x BOOLEAN, v BIGINT, nx BIGINT, n BIGINT"
+def _once(pairs: list[np.ndarray]) -> np.ndarray:
+    p = np.concatenate(pairs)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    return p[np.append(True, (p[1:] != p[:-1]).any(1))] if len(p) else p
 
 
-def _meet(bits: int, width: int, limit: int):
-    """For whole keys: the near pairs of those with at most ``limit`` rows; the rows of the others, with what is left of v.
+def _whole_keys(batches: Iterator) -> Iterator:
+    """Tables of whole keys, of about ROWS rows or a single longer key, from batches sorted by key."""
+    import pyarrow as pa
 
-    Keys without a prefix element, or of a single row, end here. A partition is as large as Spark makes those of a shuffle.
+    parts, n, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        at = int(np.searchsorted(key, key[-1]))  # where the last key begins, which may go on
+        if n + at >= ROWS and (at or last != key[0]):
+            yield pa.Table.from_batches([*parts, batch.slice(0, at)])
+            parts, n, batch = [], 0, batch.slice(at)
+        parts.append(batch)
+        n, last = n + batch.num_rows, key[-1]
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+_MET = "a BIGINT, b BIGINT, key BIGINT, id BIGINT, e BIGINT, px INT, v BIGINT, nx BIGINT, n BIGINT"
+
+
+def _meet(bits: int, width: int, level: int, limit: int):
+    """For rows sorted by key: the near pairs of keys with at most ``limit`` rows; the rows of the others, with what is left of v.
+
+    Keys without a prefix element, or of a single row, end here.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = pa.Table.from_batches(parts) if (parts := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        key = table.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key, ids, px = key[order], table.column("id").to_numpy()[order], table.column("px").to_numpy()[order]
-        e, v = (table.column(c).to_numpy()[order].view("u8") for c in ("e", "v" if "v" in table.column_names else "e"))
-        x = (px & 1).astype(bool)
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
-        nx = np.add.reduceat(x.astype(np.int64), starts)
-        alive = (sizes > 1) & (nx > 0)
-        small = alive & (sizes <= limit)
-        found = list(_pairs_of(starts[small], sizes[small], ids, e, x, bits))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        more = np.repeat(alive & ~small, sizes)
-        none = pa.nulls
         names = [c.split()[0] for c in _MET.split(", ")]
-        k, m = len(pairs), int(more.sum())
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(none(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], names)
-        if m:
-            left = _rests(v[more], px[more] >> 1, width, bits)
-            yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.int64()), pa.array(key[more]), pa.array(ids[more]), pa.array(e[more].view("i8")), pa.array(x[more]), pa.array(left.view("i8")), pa.array(np.repeat(nx, sizes)[more]), pa.array(np.repeat(sizes, sizes)[more])], names)
+        types = [pa.int32() if c == "px" else pa.int64() for c in names]
+
+        def batch_of(size: int, **own: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(own[c], t) if c in own else pa.nulls(size, t) for c, t in zip(names, types, strict=True)], names)
+
+        def pairs_of(parts: list[np.ndarray]):
+            p = _once(parts)
+            return batch_of(len(p), a=p[:, 0], b=p[:, 1])
+
+        found, held = [], 0
+        for table in _whole_keys(batches):
+            key, ids, px = (table.column(c).to_numpy() for c in ("key", "id", "px"))
+            e, v = (table.column(c).to_numpy().view("u8") for c in ("e", "v" if "v" in table.column_names else "e"))
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sizes = np.diff(np.append(starts, len(key)))
+            nx = np.add.reduceat((px & 1).astype(np.int64), starts)
+            alive = (sizes > 1) & (nx > 0)
+            small = alive & (sizes <= limit)
+            for pairs in _pairs_of(starts[small], sizes[small], ids, e, px, level, bits):
+                found.append(pairs)
+                held += len(pairs)
+                if held >= ROWS:
+                    yield pairs_of(found)
+                    found, held = [], 0
+            more = np.repeat(alive & ~small, sizes)
+            if m := int(more.sum()):
+                left = _rests(v[more], (px[more] >> 1) % (bits + 1), width, bits)
+                yield batch_of(m, key=key[more], id=ids[more], e=e[more].view("i8"), px=px[more], v=left.view("i8"), nx=np.repeat(nx, sizes)[more], n=np.repeat(sizes, sizes)[more])
+        if held:
+            yield pairs_of(found)
 
     return run
 
 
 def _split(rows: DataFrame, bits: int) -> DataFrame:
     """(a, b) of keys with very many rows: blocks of prefix elements meet blocks of all elements, each in its own place."""
-    p = rows.filter("x").selectExpr("key", "id as a", "e as ea", f"cast(pmod(xxhash64(id), ceil(nx / {BLOCK})) as int) as i", f"explode(sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)) as j")
+    p = rows.filter("px & 1 = 1").selectExpr("key", "id as a", "e as ea", f"cast(pmod(xxhash64(id), ceil(nx / {BLOCK})) as int) as i", f"explode(sequence(0, cast(ceil(n / {BLOCK}) as int) - 1)) as j")
     q = rows.selectExpr("key", "id as b", "e as eb", f"explode(sequence(0, cast(ceil(nx / {BLOCK}) as int) - 1)) as i", f"cast(pmod(xxhash64(id), ceil(n / {BLOCK})) as int) as j")
     met = p.join(q, ["key", "i", "j"]).filter(f"a <> b and bit_count(ea ^ eb) <= {bits}")
     return met.selectExpr("least(a, b) as a", "greatest(a, b) as b")
@@ -212,6 +283,7 @@ def near_elements(elems: DataFrame, any_hot: bool, bits: int) -> DataFrame:
     one more token.
     """
     at = elems.select("id", "e", "x", "hot", F.explode(F.expr(tokens("g", "e", 64, bits))).alias("t"))
+    # px: the tokens so far, a digit each, and whether the element is in the prefix
     at = at.selectExpr("t.key as key", "id", "e", "t.p * 2 + cast(x as int) as px", *(["shiftright(hot, t.p) & 1 = 1 as hot"] if any_hot else []))
     width, found = 64, []
     for level in range(1, LEVELS + 1):
@@ -221,19 +293,19 @@ def near_elements(elems: DataFrame, any_hot: bool, bits: int) -> DataFrame:
             at = cut(at)
             few, many = _hot_rows(at.filter("hot").drop("hot"), limit)
             at = at.filter("not hot").drop("hot").unionByName(few)
-        met = cut(at.repartition("key").mapInArrow(_meet(bits, width, limit), _MET))
+        met = cut(at.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(bits, width, level, limit), _MET))
         found.append(met.filter("a is not null").select("a", "b"))
-        more = met.filter("a is null").select("key", "id", "e", "x", "v", "nx", "n")
+        more = met.filter("a is null").select("key", "id", "e", "px", "v", "nx", "n")
         if many is not None:
-            left = f"get({tokens('0', 'e' if level == 1 else 'v', width, bits)}, shiftright(px, 1)).rest"
-            more = more.unionByName(many.selectExpr("key", "id", "e", "px & 1 = 1 as x", f"{left} as v", "nx", "n"))
+            left = f"get({tokens('0', 'e' if level == 1 else 'v', width, bits)}, shiftright(px, 1) % {bits + 1}).rest"
+            more = more.unionByName(many.selectExpr("key", "id", "e", "px", f"{left} as v", "nx", "n"))
         if level == LEVELS:
             found.append(_split(more, bits))
             break
         width -= min(size for _, size in pieces(width, bits + 1))
         # a key has no more rows than the one it extends
-        deeper = more.selectExpr("id", "e", "x", f"explode({tokens('key', 'v', width, bits)}) as t", "v", f"n > {HEAVY} as hot")
-        at = deeper.selectExpr("t.key as key", "id", "e", "t.p * 2 + cast(x as int) as px", "v", *(["hot"] if any_hot else []))
+        deeper = more.selectExpr("id", "e", "px", f"explode({tokens('key', 'v', width, bits)}) as t", "v", f"n > {HEAVY} as hot")
+        at = deeper.selectExpr("t.key as key", "id", "e", f"(shiftright(px, 1) * {bits + 1} + t.p) * 2 + (px & 1) as px", "v", *(["hot"] if any_hot else []))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -250,11 +322,16 @@ def near_counts(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, bi
     start = 0
     for end in ends + 1:
         ka, kb = int(na[order[start]]), int(nb[order[start]])
-        step = max(1, 2_000_000 // max(1, ka * kb))
+        step = max(1, CELLS // max(1, ka * kb))
         for lo in range(start, end, step):
             at = order[lo : min(end, lo + step)]
-            near = np.bitwise_count(a[sa[at][:, None] + np.arange(ka)][:, :, None] ^ b[sb[at][:, None] + np.arange(kb)][:, None, :]) <= bits
-            out[at] = near.any(2).sum(1) + near.any(1).sum(1)
+            y = b[sb[at][:, None] + np.arange(kb)]
+            hit = np.zeros((len(at), kb), bool)
+            for i in range(0, ka, part := max(1, CELLS // max(1, kb * len(at)))):
+                near = np.bitwise_count(a[sa[at][:, None] + np.arange(i, min(ka, i + part))][:, :, None] ^ y[:, None, :]) <= bits
+                out[at] += near.any(2).sum(1)
+                hit |= near.any(1)
+            out[at] += hit.sum(1)
         start = end
     return out
 

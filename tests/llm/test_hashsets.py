@@ -91,3 +91,64 @@ def test_pieces_cover_all_bits():
         for n in (5, 7):
             p = hashsets.pieces(width, n)
             assert [b for low, size in p for b in range(low, low + size)] == list(range(width))
+
+
+def _keys(n_keys, rows, seed):
+    """Batches sorted by key, as Spark hands them on: keys of ``rows`` rows whose elements are near each other."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    key = np.repeat(np.arange(n_keys), rows)
+    e = rng.integers(0, 2**60, n_keys)[key] ^ (np.int64(1) << rng.integers(16, 60, len(key)))
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key))), pa.array(e), pa.array(np.ones(len(key), np.int32))], ["key", "id", "e", "px"])
+    return whole, [whole.slice(k, 10_000) for k in range(0, len(key), 10_000)]
+
+
+def _traced(batches, level=1, limit=10**9):
+    """Pairs that leave a task, its largest batch, and its peak of memory in MB without what it was given."""
+    import tracemalloc
+
+    tracemalloc.start()
+    seen, largest = 0, 0
+    for out in hashsets._meet(4, 64, level, limit)(iter(batches)):
+        seen, largest = seen + out.num_rows, max(largest, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return seen, largest, peak
+
+
+def test_memory_of_a_task_does_not_grow_with_its_partition():
+    """1.5 million rows in small keys; a batch that leaves the task is bounded too."""
+    _, batches = _keys(500_000, 3, 1)
+    seen, largest, peak = _traced(batches)
+    assert seen == 1_500_000 and largest < 600_000 and peak < 150
+
+
+def test_memory_of_a_key_of_many_near_rows(monkeypatch):
+    """A key of BLOCK rows that are all near: 8.4 million pairs, each leaving it once."""
+    whole, batches = _keys(1, hashsets.BLOCK, 2)
+    seen, largest, peak = _traced(batches)
+    assert seen == hashsets.BLOCK * (hashsets.BLOCK - 1) // 2 and largest < 1_500_000 and peak < 250
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_whole_keys_across_batches(monkeypatch, rows):
+    monkeypatch.setattr(hashsets, "ROWS", rows)
+    whole, _ = _keys(60, 5, 3)
+    for size in (1, 3, 5, 10, 300):
+        tables = list(hashsets._whole_keys(whole.slice(k, size) for k in range(0, whole.num_rows, size)))
+        keys = [set(t.column("key").to_pylist()) for t in tables]
+        assert sum(map(len, keys)) == len(set().union(*keys)) == 60 and sum(t.num_rows for t in tables) == 300
+        assert max(t.num_rows for t in tables) <= rows + 5 + size
+
+
+def test_strips_of_keys_and_sets_give_the_same_pairs(spark, monkeypatch):
+    """Few pairs of elements at once, streams of few rows: every strip of a key and of two large sets."""
+    monkeypatch.setattr(hashsets, "CELLS", 64)
+    monkeypatch.setattr(hashsets, "ROWS", 16)
+    rng = np.random.default_rng(6)
+    hot = int(rng.integers(0, 2**60))
+    rows = [(k, k % 2, [hot ^ (1 << int(rng.integers(60))), *map(int, rng.integers(0, 2**60, int(rng.integers(0, 3))))]) for k in range(150)]
+    long = [int(x) for x in rng.integers(0, 2**60, 90)]
+    rows += [(200 + k, 1, [h ^ (1 << int(rng.integers(60))) for h in long[k:]]) for k in range(4)]
+    assert found(spark, rows) == brute(rows)
