@@ -3,115 +3,140 @@
 Method: min-cost flow for overlapping sources. Documents with one text are one item that belongs to every source it
 occurs in; items are aggregated by this membership pattern. Token capacity is routed from patterns to source quotas, and
 using a pattern for the second, third ... time costs more each time. Documents are then selected in a seeded order.
+
+All patterns are routed, however many there are (at most 2 ** sources, and no more than texts): the driver holds numbers
+of their memberships in arrays, and moves the tokens of all patterns from source to source at once.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 from math import ceil, log2
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from siftlane.session import cut
 
 #: Items of one range of the seeded order, within which sizes are summed one by one.
 RANGE = 4000
-#: Membership patterns the flow takes by themselves. There are at most 2 ** sources of them; should there be more, the
-#: items of the smallest ones are put to the pattern of their scarcest source, which any item may serve.
+#: Patterns with the most items whose use is broadcast to the items; that of the others meets them in a shuffle.
 PATTERNS = 20_000
-#: Unused items of one source and size class (powers of two) looked at when what rounding left of a quota is filled.
-SPARE = 64
+#: Unused items of one source and size class (powers of two) looked at in the first round of filling what rounding left of
+#: a quota; each further round looks at so many times as many, until nothing that has uses left fits.
+SPARE, MORE = 64, 4
+
+
+def _part(room: np.ndarray, push: int) -> np.ndarray:
+    """``push`` put into ``room``, from its start on."""
+    return np.clip(push - (np.cumsum(room) - room), 0, room)
 
 
 class Flow:
-    """A network with capacities and costs; ``route`` sends as much as possible at the least cost."""
-
-    def __init__(self, n: int) -> None:
-        self.arcs: list[list[int]] = []  # to, capacity left, cost
-        self.out: list[list[int]] = [[] for _ in range(n)]
-
-    def arc(self, a: int, b: int, capacity: int, cost: int = 0) -> int:
-        self.out[a].append(len(self.arcs))
-        self.out[b].append(len(self.arcs) + 1)
-        self.arcs += [[b, capacity, cost], [a, 0, -cost]]
-        return len(self.arcs) - 2
-
-    def route(self, s: int, t: int) -> int:
-        """Successive cheapest paths; each uses up an arc, and there are few patterns and sources."""
-        total = 0
-        while True:
-            cost, via, inside = {s: 0}, {}, {s}
-            queue = deque([s])
-            while queue:
-                a = queue.popleft()
-                inside.discard(a)
-                for k in self.out[a]:
-                    b, free, c = self.arcs[k]
-                    if free and cost[a] + c < cost.get(b, 1 << 62):
-                        cost[b], via[b] = cost[a] + c, k
-                        if b not in inside:
-                            inside.add(b)
-                            queue.append(b)
-            if t not in cost:
-                return total
-            path, b = [], t
-            while b != s:
-                path.append(via[b])
-                b = self.arcs[via[b] ^ 1][0]
-            push = min(self.arcs[k][1] for k in path)
-            for k in path:
-                self.arcs[k][1] -= push
-                self.arcs[k ^ 1][1] += push
-            total += push
-
-    def reached(self, s: int) -> set[int]:
-        seen, queue = {s}, deque([s])
+    """Tokens from patterns to sources; ``pattern`` and ``source`` have an entry for each membership, sorted by pattern.
+
+    A token costs as much as its pattern has been used up before, whichever way it takes; so all that can be routed at
+    the first use is routed first, then all at the second. A step moves what it can of all patterns along a shortest path
+    of sources, so the number of steps depends on the number of sources, not of patterns.
+    """
+
+    def __init__(self, pattern: np.ndarray, source: np.ndarray, size: np.ndarray, repeats: np.ndarray) -> None:
+        self.pattern, self.source, self.size = pattern, source, size
+        self.at = [np.flatnonzero(source == k) for k in range(len(repeats))]
+        self.starts = np.flatnonzero(np.diff(pattern, prepend=-1))
+        self.most = np.maximum.reduceat(repeats[source], self.starts)
+        self.cap = size[pattern] * repeats[source]
+        self.flow = np.zeros(len(pattern), np.int64)
+
+    def _new(self, k: int, supply: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of source ``k``, and what each can take of its pattern's supply."""
+        e = self.at[k]
+        return e, np.minimum(supply[self.pattern[e]], self.cap[e] - self.flow[e])
+
+    def _moved(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of sources ``a`` and ``b`` in one pattern, and what can be moved from one to the other."""
+        x, y = self.at[a], self.at[b]
+        at = np.searchsorted(self.pattern[y], self.pattern[x])
+        both = np.isin(self.pattern[x], self.pattern[y], assume_unique=True)
+        x, y = x[both], y[at[both]]
+        return x, y, np.minimum(self.flow[x], self.cap[y] - self.flow[y])
+
+    def reached(self, supply: np.ndarray, lack: np.ndarray | None = None) -> tuple[dict[int, int | None], int | None]:
+        """The sources that supply reaches, each with the one before it; only up to the first that lacks tokens, if given."""
+        via = {k: None for k in range(len(self.at)) if self._new(k, supply)[1].any()}
+        queue = deque(via)
         while queue:
-            for k in self.out[queue.popleft()]:
-                if self.arcs[k][1] and self.arcs[k][0] not in seen:
-                    seen.add(self.arcs[k][0])
-                    queue.append(self.arcs[k][0])
-        return seen
-
-
-def _network(patterns: list[tuple[tuple[str, ...], int]], repeats: dict[str, int], quota: dict[str, int]) -> tuple[Flow, dict[tuple[int, str], int], dict[str, int]]:
-    names = sorted(quota)
-    node = {s: 2 + len(patterns) + k for k, s in enumerate(names)}
-    net, between = Flow(2 + len(patterns) + len(names)), {}
-    for p, (members, size) in enumerate(patterns):
-        for use in range(max(repeats[s] for s in members)):
-            net.arc(0, 2 + p, size, use)
-        for s in members:
-            between[p, s] = net.arc(2 + p, node[s], size * repeats[s])
-    for s in names:
-        net.arc(node[s], 1, quota[s])
-    return net, between, node
+            a = queue.popleft()
+            if lack is not None and lack[a]:
+                return via, a
+            for b in range(len(self.at)):
+                if b not in via and self._moved(a, b)[2].any():
+                    via[b] = a
+                    queue.append(b)
+        return via, None
 
+    def route(self, quota: np.ndarray) -> np.ndarray:
+        """What each source lacks when as much as possible is routed at the least cost."""
+        self.flow[:], lack = 0, quota.copy()
+        for use in range(self.most.max()):
+            supply = np.where(self.most > use, self.size, 0)
+            while (found := self.reached(supply, lack))[1] is not None:
+                via, end = found
+                path = [end]
+                while via[path[-1]] is not None:
+                    path.append(via[path[-1]])
+                steps = list(zip(path[1:], path, strict=False))  # from the end on, so each leaves room for the one before
+                push = min(lack[end], self._new(path[-1], supply)[1].sum(), *(self._moved(a, b)[2].sum() for a, b in steps))
+                for a, b in steps:
+                    x, y, room = self._moved(a, b)
+                    n = _part(room, push)
+                    self.flow[x] -= n
+                    self.flow[y] += n
+                e, room = self._new(path[-1], supply)
+                n = _part(room, push)
+                self.flow[e] += n
+                supply[self.pattern[e]] -= n
+                lack[end] -= push
+        return lack
 
-def routed(patterns: list[tuple[tuple[str, ...], int]], share: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[tuple[int, str], int]:
-    """Tokens by (pattern, source). Without ``total`` as many as all shares can be met with.
+
+def _routed(net: Flow, share: list[float], total: int | None) -> np.ndarray:
+    """Tokens by entry of ``net``. Without ``total`` as many as all shares can be met with.
 
     That number is found by cuts: while a quota cannot be met, the sources cut off bound it by their capacity.
     """
-    most = sum(size * max(repeats[s] for s in members) for members, size in patterns)
-    want = most if total is None else total
+    most = net.size * net.most
+    want = int(most.sum()) if total is None else total
     while True:
-        quota = {s: int(w * want) for s, w in share.items()}
-        net, between, node = _network(patterns, repeats, quota)
-        if net.route(0, 1) == sum(quota.values()) or total is not None:
-            return {k: net.arcs[a ^ 1][1] for k, a in between.items() if net.arcs[a ^ 1][1]}
-        seen = net.reached(0)
-        short = {s for s, v in node.items() if v not in seen}
-        if not (weight := sum(share[s] for s in short)):
-            return {k: net.arcs[a ^ 1][1] for k, a in between.items() if net.arcs[a ^ 1][1]}
-        # capacity of the cut towards these sources: patterns not reached whole, others by their arcs
-        cap = 0
-        for p, (members, size) in enumerate(patterns):
-            into = sum(size * repeats[s] for s in members if s in short)
-            cap += min(into, size * max(repeats[s] for s in members)) if 2 + p in seen or into else 0
-        want = min(want - 1, int(cap / weight))
+        lack = net.route(np.array([int(w * want) for w in share], np.int64))
+        if total is not None or not lack.any():
+            return net.flow
+        via, _ = net.reached(most - np.add.reduceat(net.flow, net.starts))
+        short = np.array([k not in via for k in range(len(share))])
+        if not (weight := sum(w for w, s in zip(share, short, strict=True) if s)):
+            return net.flow
+        # capacity of the cut towards these sources
+        into = np.add.reduceat(np.where(short[net.source], net.cap, 0), net.starts)
+        want = min(want - 1, int(np.minimum(into, most).sum() / weight))
+
+
+def routed(patterns: list[tuple[tuple[str, ...], int]], share: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[tuple[int, str], int]:
+    """Tokens by (pattern, source); see _routed."""
+    names = sorted(share)
+    entries = [(p, names.index(s)) for p, (members, _) in enumerate(patterns) for s in members]
+    pattern, source = np.array(entries, np.int64).T
+    net = Flow(pattern, source, np.array([n for _, n in patterns], np.int64), np.array([repeats[s] for s in names], np.int64))
+    flow = _routed(net, [share[s] for s in names], total)
+    return {(p, names[k]): int(f) for (p, k), f in zip(entries, flow, strict=True) if f}
+
+
+_PLAN = "pattern STRING, tokens BIGINT, used BIGINT, spans ARRAY<STRUCT<source: STRING, a: BIGINT, z: BIGINT>>"
 
 
 def mix(docs: DataFrame, target: DataFrame, key: str = "doc_id", source: str = "source", text_hash: str = "text_hash", size: str = "n_tokens", total: int | None = None, seed: int = 1) -> DataFrame:
@@ -132,48 +157,47 @@ def mix(docs: DataFrame, target: DataFrame, key: str = "doc_id", source: str = "
     items = one.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("n").alias("n"))
     items = cut(items.withColumn("pattern", F.array_join(F.col("members.source"), "\x1f")))
     sums = items.groupBy("pattern").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("items"))
-    if (rest := sums.count() - PATTERNS) > 0:
-        size_of = {r["source"]: r["n"] for r in one.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row a source
-        scarce = F.array_min(F.transform("members", lambda m: F.struct(F.element_at(F.create_map(*(F.lit(x) for s in size_of.items() for x in s)), m["source"]).alias("n"), m["source"].alias("source"))))["source"]
-        small = sums.withColumn("nth", F.row_number().over(Window.partitionBy(F.size(F.split("pattern", "\x1f")) > 1).orderBy("tokens", "pattern"))).filter((F.size(F.split("pattern", "\x1f")) > 1) & (F.col("nth") <= rest + len(size_of))).select("pattern")
-        merged = items.join(small.withColumn("_small", F.lit(True)), "pattern", "left").withColumn("s", scarce)
-        items = cut(merged.withColumns({"members": F.when(F.col("_small"), F.filter("members", lambda m: m["source"] == F.col("s"))).otherwise(F.col("members")), "pattern": F.when(F.col("_small"), F.col("s")).otherwise(F.col("pattern"))}).drop("_small", "s"))
-        sums = items.groupBy("pattern").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("items"))
-    found = sums.orderBy("pattern").collect()  # at most PATTERNS rows
-    patterns = [(tuple(r["pattern"].split("\x1f")), r["tokens"]) for r in found]
-    there = {s for members, _ in patterns for s in members}
-    weight = sum(w for s, (w, _) in settings.items() if s in there)
-    share = {s: w / weight for s, (w, _) in settings.items() if s in there}
-    flow = routed(patterns, share, {s: r for s, (_, r) in settings.items()}, total) if patterns else {}
-    rows = []
-    for p, (members, tokens) in enumerate(patterns):
-        at, spans = 0, []
-        for s in members:
-            if f := flow.get((p, s), 0):
-                spans.append((s, at, at + f))
-                at += f
-        rows.append(("\x1f".join(members), tokens, at, spans))
+    found = sums.orderBy("pattern").toArrow().combine_chunks()  # a row a pattern
+    members = pc.split_pattern(found["pattern"], "\x1f").combine_chunks()
+    flat = members.flatten()
+    there = sorted(flat.unique().to_pylist())
+    weight = sum(settings[s][0] for s in there)
+    pattern, source = np.repeat(np.arange(len(members)), pc.list_value_length(members)), pc.index_in(flat, pa.array(there, pa.string())).to_numpy()
+    flow, used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if there:
+        net = Flow(pattern, source, found["tokens"].to_numpy(), np.array([settings[s][1] for s in there], np.int64))
+        flow = _routed(net, [settings[s][0] / weight for s in there], total)
+        used = np.add.reduceat(flow, net.starts)
+    # where in its pattern each source's tokens lie
+    ends = np.cumsum(flow) - np.repeat(np.cumsum(used) - used, pc.list_value_length(members))
+    some = flow > 0
+    spans = pa.StructArray.from_arrays([flat.filter(pa.array(some)), pa.array((ends - flow)[some]), pa.array(ends[some])], ["source", "a", "z"])
+    offsets = np.append(0, np.cumsum(np.bincount(pattern[some], minlength=len(members))))
+    uses_of = pa.table({"pattern": found["pattern"], "tokens": found["tokens"], "used": pa.array(used), "spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)})
+    by_items = np.argsort(-found["items"].to_numpy(), kind="stable")
     spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(rows, "pattern STRING, tokens BIGINT, used BIGINT, spans ARRAY<STRUCT<source: STRING, a: BIGINT, z: BIGINT>>"))  # at most PATTERNS rows
+    plans = [F.broadcast(spark.createDataFrame(uses_of.take(by_items[:PATTERNS]), StructType.fromDDL(_PLAN)))]
+    if len(by_items) > PATTERNS:
+        plans.append(spark.createDataFrame(uses_of.take(by_items[PATTERNS:]), StructType.fromDDL(_PLAN)))
     # the seeded order of a pattern's items, and where each begins: sums of ranges, then sums within a range
-    bits = max(1, ceil(log2(max(2, sum(r["items"] for r in found) / RANGE))))
+    bits = max(1, ceil(log2(max(2, int(found["items"].to_numpy().sum()) / RANGE))))
     order = F.xxhash64("t", F.lit(seed))
     placed = items.withColumns({"u": order, "range": F.shiftrightunsigned(order, 64 - bits)})
     sums = placed.groupBy("pattern", "range").agg(F.sum("n").alias("in_range"))
     before = F.sum("in_range").over(Window.partitionBy("pattern").orderBy("range")) - F.col("in_range")
     inside = F.sum("n").over(Window.partitionBy("pattern", "range").orderBy("u", "t").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    placed = placed.withColumn("inside", inside).join(sums.withColumn("before", before).drop("in_range"), ["pattern", "range"]).join(plan, "pattern")
+    placed = placed.withColumn("inside", inside).join(sums.withColumn("before", before).drop("in_range"), ["pattern", "range"])
+    placed = reduce(DataFrame.unionByName, [placed.join(plan, "pattern") for plan in plans])
     # an item is used wherever it lies, moved on by whole passes over the pattern, within what one source uses
     at = F.col("before") + F.col("inside")
     passes = F.floor((F.col("used") - at - F.col("n")) / F.col("tokens")).cast("int") + 1
     placed = cut(placed.withColumns({"at": at, "passes": F.greatest(passes, F.lit(0))}).select("t", "members", "n", "spans", "at", "tokens", "passes"))
     uses = placed.filter("passes > 0").select("t", "members", "n", "spans", "at", "tokens", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
     uses = uses.select("t", "members", "n", "spans", (F.col("at") + F.col("pass") * F.col("tokens")).alias("at"))
-    span = F.filter("spans", lambda s: (s["a"] <= F.col("at")) & (F.col("at") + F.col("n") <= s["z"]))[0]["source"]
+    # an item across two spans has none
+    span = F.get(F.filter("spans", lambda s: (s["a"] <= F.col("at")) & (F.col("at") + F.col("n") <= s["z"])), 0)["source"]
     uses = cut(uses.select("t", "members", "n", span.alias("s")).filter("s is not null"))
-    quota: dict[str, int] = {}
-    for (_, s), f in flow.items():
-        quota[s] = quota.get(s, 0) + f
+    quota = {s: int(flow[source == k].sum()) for k, s in enumerate(there)}
     had = {r["s"]: r["n"] for r in uses.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row a source
     uses = uses.unionByName(_filled(placed, uses, {s: q - had.get(s, 0) for s, q in quota.items() if q > had.get(s, 0)}, {s: r for s, (_, r) in settings.items()}))
     uses = uses.select(F.filter("members", lambda m: m["source"] == F.col("s"))[0].alias("m"), "n")
@@ -183,30 +207,49 @@ def mix(docs: DataFrame, target: DataFrame, key: str = "doc_id", source: str = "
 def _filled(items: DataFrame, uses: DataFrame, short: dict[str, int], repeats: dict[str, int]) -> DataFrame:
     """(t, members, n, s): further uses that fill what each source is ``short`` of, never beyond it.
 
-    What is missing is less than the items at the ends of a source's spans. It is filled with items that have uses left,
-    largest first; of each size class SPARE are looked at, so the driver holds a number of rows that depends on the
-    number of sources alone, and what still lacks is less than the smallest item looked at that has uses left.
+    What is missing is less than the items at the ends of a source's spans. It is filled in rounds with items that have
+    uses left, largest first; a round looks at a number of items of each size class, the next one at more of those that
+    still have uses left and fit, until there are none. So the driver holds no more rows than a multiple of the uses it
+    adds, and what still lacks is less than any item of the source that has uses left.
     """
     spark = items.sparkSession
-    most = F.create_map(*(F.lit(x) for s, r in repeats.items() for x in (s, r)))
-    lack = F.create_map(*(F.lit(x) for s, k in (short or {"": 0}).items() for x in (s, k)))
+    short = dict(short)
+    none = spark.createDataFrame([], items.select("t", "members", "n", F.lit("").alias("s")).schema)
+    if not short:
+        return none
+    table_of = lambda of: F.create_map(*(F.lit(x) for s, k in of.items() for x in (s, k)))
+    most = table_of(repeats)
     free = items.select("t", "n", F.array_max(F.transform("members", lambda m: F.element_at(most, m["source"]))).alias("in_all"), F.explode("members.source").alias("s"))
-    free = free.filter(F.col("n") <= F.coalesce(F.element_at(lack, F.col("s")), F.lit(0)))
+    free = free.filter(F.col("n") <= F.coalesce(F.element_at(table_of(short), F.col("s")), F.lit(0)))
     # an item may be used so often for one source, and so often in all
     here, there = uses.groupBy("t", "s").agg(F.count(F.lit(1)).alias("here")), uses.groupBy("t").agg(F.count(F.lit(1)).alias("there"))
-    free = free.join(here, ["t", "s"], "left").join(there, "t", "left").withColumns({"left": F.element_at(most, F.col("s")) - F.coalesce("here", F.lit(0)), "in_all": F.col("in_all") - F.coalesce("there", F.lit(0))}).filter("left > 0 and in_all > 0")
-    w = Window.partitionBy("s", F.floor(F.log2("n"))).orderBy(F.xxhash64("t"), "t")
-    seen = free.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= SPARE).select("t", "n", "s", "left", "in_all").collect()
-    chosen, given, in_all = [], {}, {}
-    for r in sorted(seen, key=lambda r: (-r["n"], r["t"], r["s"])):
-        t, s = r["t"], r["s"]
-        while short[s] >= r["n"] and given.get((t, s), 0) < r["left"] and in_all.get(t, 0) < r["in_all"]:
-            short[s] -= r["n"]
-            given[t, s] = given.get((t, s), 0) + 1
-            in_all[t] = in_all.get(t, 0) + 1
-            chosen.append((t, s))
-    picked = F.broadcast(spark.createDataFrame(chosen, "t STRING, s STRING"))
-    return items.join(picked, "t").select("t", "members", "n", "s")
+    free = free.join(here, ["t", "s"], "left").join(there, "t", "left").withColumns({"left": F.element_at(most, F.col("s")) - F.coalesce("here", F.lit(0)), "in_all": F.col("in_all") - F.coalesce("there", F.lit(0))}).filter("left > 0 and in_all > 0 and t is not null")
+    free = cut(free.select("t", "n", "s", "left", "in_all"))
+    w = Window.partitionBy("s", F.floor(F.log2("n"))).orderBy(F.desc("n"), F.xxhash64("t"), "t")
+    given, in_all, limit = {}, {}, SPARE
+    while lacking := {s: k for s, k in short.items() if k > 0}:
+        open_ = free.filter(F.col("n") <= F.coalesce(F.element_at(table_of(lacking), F.col("s")), F.lit(0)))
+        if given:
+            # what earlier rounds used up; a row an item they chose
+            gone = [(t, s, k) for (t, s), k in given.items()]
+            own = F.broadcast(spark.createDataFrame(gone, "t STRING, s STRING, _own INT"))
+            all_ = F.broadcast(spark.createDataFrame(list(in_all.items()), "t STRING, _all INT"))
+            open_ = open_.join(own, ["t", "s"], "left").join(all_, "t", "left").filter("left > coalesce(_own, 0) and in_all > coalesce(_all, 0)")
+        seen = open_.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= limit).select("t", "n", "s", "left", "in_all").collect()
+        if not seen:
+            break
+        for r in sorted(seen, key=lambda r: (-r["n"], r["t"], r["s"])):
+            t, s = r["t"], r["s"]
+            k = min(short[s] // r["n"], r["left"] - given.get((t, s), 0), r["in_all"] - in_all.get(t, 0))
+            if k > 0:
+                short[s] -= k * r["n"]
+                given[t, s] = given.get((t, s), 0) + k
+                in_all[t] = in_all.get(t, 0) + k
+        limit *= MORE
+    if not given:
+        return none
+    picked = F.broadcast(spark.createDataFrame([(t, s, k) for (t, s), k in given.items()], "t STRING, s STRING, k INT"))
+    return items.join(picked, "t").select("t", "members", "n", "s", F.explode(F.sequence(F.lit(1), "k"))).drop("col")
 
 
 def shares(chosen: DataFrame, target: DataFrame) -> DataFrame:

@@ -157,6 +157,47 @@ def test_more_patterns_than_the_flow_takes(spark, monkeypatch):
     assert all(r.share == pytest.approx(0.2, abs=0.01) and r.most_uses <= 2 for r in shares(got, target).collect())
 
 
+def test_rare_patterns_keep_all_their_sources(spark, monkeypatch):
+    """The rarest pattern must serve its larger source; put to the scarcer one, the total is 220."""
+    monkeypatch.setattr(mixing, "PATTERNS", 2)
+    rows = [(k, "a", f"a{k}", 10) for k in range(10)] + [(100 + k, "b", f"b{k}", 10) for k in range(11)]
+    rows += [(200 + 10 * k + j, s, f"c{k}", 10) for k in range(4) for j, s in enumerate("ab")]
+    target = spark.createDataFrame([("a", 0.5, 10), ("b", 0.5, 1)], TARGET)
+    by = {r.source: r.tokens for r in shares(mix(spark.createDataFrame(rows, DOCS), target), target).collect()}
+    assert by == {"a": 150, "b": 150}
+
+
+def test_many_patterns_are_routed_whole():
+    """30,000 patterns of 16 sources; the quotas are met and no pattern is used more often than it may."""
+    rng = random.Random(2)
+    names, sizes = [f"s{k:02d}" for k in range(16)], {}
+    while len(sizes) < 30_000:
+        sizes[tuple(sorted(rng.sample(names, rng.randint(1, 8))))] = rng.randint(1, 5000)
+    patterns, repeats = sorted(sizes.items()), {s: 1 + k % 3 for k, s in enumerate(names)}
+    total = sum(sizes.values()) // 2
+    flow = routed(patterns, {s: 1 / 16 for s in names}, repeats, total)
+    into, out = dict.fromkeys(names, 0), [0] * len(patterns)
+    for (p, s), f in flow.items():
+        assert s in patterns[p][0] and 0 < f <= patterns[p][1] * repeats[s]
+        into[s], out[p] = into[s] + f, out[p] + f
+    assert set(into.values()) == {total // 16}
+    assert all(u <= n for u, (_, n) in zip(out, patterns, strict=True))  # nothing is repeated while other texts are left
+
+
+def test_filling_looks_at_all_documents(spark):
+    """500 documents of one size class fill what a quota lacks, not the first 64; shared ones only as often as they may."""
+    one = lambda *sources: [(s, k) for k, s in enumerate(sources)]
+    schema = "t STRING, members ARRAY<STRUCT<source: STRING, doc_id: BIGINT>>, n BIGINT"
+    items = [(f"t{k}", one("a"), 1) for k in range(600)] + [(f"u{k}", one("b", "c"), 5) for k in range(300)] + [("big", one("a"), 10**6)]
+    uses = spark.createDataFrame([("u0", 5, "b")], "t STRING, n BIGINT, s STRING")
+    got = mixing._filled(spark.createDataFrame(items, schema), uses, {"a": 500, "b": 1000, "c": 1004}, {"a": 1, "b": 1, "c": 1}).collect()
+    tokens = {s: sum(r.n for r in got if r.s == s) for s in "abc"}
+    assert tokens["a"] == 500 and tokens["b"] + tokens["c"] == 299 * 5 and tokens["b"] <= 1000
+    assert len({r.t for r in got}) == len(got) and "u0" not in {r.t for r in got}
+    twice = mixing._filled(spark.createDataFrame(items, schema), uses.limit(0), {"a": 1100}, {"a": 2, "b": 1, "c": 1}).collect()
+    assert len(twice) == 1100 and all(r.s == "a" and r.n == 1 for r in twice)
+
+
 def test_mix_edges(spark):
     d, t = spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 1)], TARGET)
     assert mix(d, t).count() == 0 and shares(mix(d, t), t).first().tokens == 0
